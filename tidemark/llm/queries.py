@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import decontaminate, lines, mixing, secrets, simhash, toxicity
+from .common import held_out, table
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,46 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_groups,)}
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.fit(docs.where(~held_out(F.col("doc_id"), 0)), labels.where(~held_out(F.col("doc_id"), 0)))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scores(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.col("__dropped").cast("long").alias("n_dropped"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "end")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def of(kinds: list[str]) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+    base = [r.kind for r in secrets.BASE]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(F.size(of([k])).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(secrets.joined(of(base)), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_groups, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
 SQL: dict[str, str] = {}
