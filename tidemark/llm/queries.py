@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, secrets, simhash, toxicity
+from . import decontaminate, lines, mixing, secrets, simhash, toxicity, vafile
 from .common import held_out, table
 
 
@@ -25,6 +25,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op3_vafile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vafile.top_k(table(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", F.col("__dropped").cast("long").alias("n_dropped"))
@@ -55,5 +60,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_groups, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_vafile_topk, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
+SQL = {
+    "op3_vafile_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+}
