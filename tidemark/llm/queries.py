@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, secrets, simhash, toxicity, vafile
+from . import decontaminate, lines, logbilinear, mixing, secrets, simhash, toxicity, vafile
 from .common import held_out, table
 
 
@@ -30,6 +30,11 @@ def op3_vafile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op4_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = logbilinear.scores(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 1))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", F.col("__dropped").cast("long").alias("n_dropped"))
@@ -60,7 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_vafile_topk, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
 SQL = {
     "op3_vafile_topk": """
         WITH v AS (
