@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, logbilinear, mixing, secrets, simhash, toxicity, vafile
+from . import decontaminate, langid, lines, logbilinear, mixing, secrets, simhash, toolcalls, toxicity, vafile
 from .common import held_out, table
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(table(spark, sf_dir, "conversations"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.classify(table(spark, sf_dir, "pages"), langid.fit(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "page_id").withColumn("probability", F.round("probability", 6))
+
+
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), width=4, threshold=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -65,7 +74,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op5_language, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
 SQL = {
     "op3_vafile_topk": """
         WITH v AS (
