@@ -70,7 +70,7 @@ def _counted(text: bytes | None, terms: dict[bytes, int], starts: set[bytes]) ->
     return at, [found[t] for t in at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 8192, max_terms: int = 4096, min_docs: int = 4, least_chi2: float = 15.0, k: int = 15, block: int = 64) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 4096, max_terms: int = 1024, min_docs: int = 5, least_chi2: float = 30.0, k: int = 15, block: int = 64) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, label): rows without text, id or label take no part.
 
     A document labelled more than once counts as 1 if any label is 1. docs must hold the training rows only.
@@ -125,54 +125,57 @@ class Index:
     """Block-max inverted index over the examples' unit TF-IDF vectors."""
 
     def __init__(self, model: Model, idf: np.ndarray):
-        self.model, self.idf = model, idf
-        n, self.block = len(model.rows), model.block
-        vectors = [self.unit(t, c) for t, c in model.rows]
-        self.silent = np.array([not len(t) for t, _ in vectors], bool)
-        self.blocks = -(-n // self.block)
-        self.most = np.zeros((len(idf), self.blocks))
-        at = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)] or [np.zeros(0)]).astype(np.int64)
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        np.maximum.at(self.most, (term, at // self.block), weight)
-        order = np.lexsort((at, term, at // self.block))
-        self.at, self.weight = at[order], weight[order]
-        keys = (at // self.block)[order] * (len(idf) or 1) + term[order]
-        self.keys, first = np.unique(keys, return_index=True)  # postings of a term in a block lie together
-        self.first = np.append(first, len(keys))
-
-    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(np.maximum(counts, 1.0))) * self.idf[terms]
-        norm = math.sqrt(float(w @ w))
-        return (terms, w / norm) if norm > 0 else (terms[:0], w[:0])
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, but: int = -1) -> list[tuple[int, float]]:
-        """The k examples of highest cosine (above zero), ties to the earlier in the index; ``but`` is left out."""
-        t, w = self.unit(terms, counts)
-        if not len(t) or not self.blocks:
-            return []
-        bound = w @ self.most[t]
-        best: list[tuple[float, int]] = []
-        k, width = self.model.k, len(self.idf)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break
-            sums = np.zeros(self.block)
-            slot = np.searchsorted(self.keys, b * width + t)
-            for x, key, wt in zip(slot.tolist(), (b * width + t).tolist(), w.tolist()):
-                if x < len(self.keys) and self.keys[x] == key:
-                    own = slice(self.first[x], self.first[x + 1])
-                    sums[self.at[own] - b * self.block] += wt * self.weight[own]
-            hits = np.flatnonzero(sums > (best[-1][0] - 1e-9 if len(best) == k else 0))
-            best += [(round(float(sums[i]), 9), int(b * self.block + i)) for i in hits if b * self.block + i != but]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return [(i, s) for s, i in best]
-
-    def vote(self, near: list[tuple[int, float]], base: float) -> float:
-        """Similarity-weighted share of label 1, drawn to the base rate with half a vote."""
-        s = np.array([x for _, x in near])
-        y = self.model.labels[[i for i, _ in near]]
-        return float((s @ y + 0.5 * base) / (s.sum() + 0.5))
+        self.model, self.idf, self.block = model, idf, model.block
+        unit = self.units([t for t, _ in model.rows], [c for _, c in model.rows])
+        self.silent = ~unit.any(axis=1)
+        n = -(-len(unit) // self.block)
+        #: Each block's postings as terms x examples, and each term's largest weight in each block.
+        self.postings = [np.ascontiguousarray(unit[i * self.block : (i + 1) * self.block].T) for i in range(n)]
+        self.most = np.stack([x.max(axis=1) for x in self.postings], axis=1) if n else np.zeros((len(idf), 0))
+
+    def units(self, terms: list, counts: list) -> np.ndarray:
+        """Unit vectors, a row for each text; zero for a text without words."""
+        out = np.zeros((len(terms), len(self.idf)))
+        row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        if len(row):
+            at = np.concatenate([np.asarray(t, np.int64) for t in terms])
+            tf = np.concatenate([np.asarray(c, float) for c in counts])
+            out[row, at] = (1 + np.log(np.maximum(tf, 1.0))) * self.idf[at]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+    def nearest(self, q: np.ndarray, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, cosines) of the k examples nearest to each row of q, ties to the earlier; but: an example to leave out of each.
+
+        Padded with number -1 and cosine 0. A block is read for the queries alone whose bound reaches their kth cosine.
+        """
+        k, n = self.model.k, len(q)
+        best, who = np.zeros((n, k)), np.full((n, k), -1, np.int64)
+        bound = q @ self.most + 1e-9
+        first = bound.argmax(axis=1) if self.postings else np.zeros(n, np.int64)
+
+        def read(b: int, rows: np.ndarray) -> None:
+            sims = np.round(q[rows] @ self.postings[b], 9)
+            numbers = np.arange(b * self.block, b * self.block + sims.shape[1])
+            if but is not None:
+                sims[numbers[None, :] == but[rows, None]] = 0
+            both = np.concatenate((best[rows], sims), axis=1)
+            ids = np.concatenate((who[rows], np.broadcast_to(numbers, sims.shape)), axis=1)
+            ids = np.where(both > 0, ids, -1)
+            order = np.lexsort((np.where(ids < 0, 1 << 60, ids), -both), axis=1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+
+        for b in range(len(self.postings)):
+            if (rows := np.flatnonzero((first == b) & (bound[:, b] > 1e-9))).size:
+                read(b, rows)
+        for b in np.argsort(-bound.mean(axis=0)).tolist() if n else []:
+            if (rows := np.flatnonzero((first != b) & (bound[:, b] > 1e-9) & (bound[:, b] >= best[:, -1]))).size:
+                read(b, rows)
+        return who, best
+
+    def votes(self, who: np.ndarray, best: np.ndarray, base: float) -> np.ndarray:
+        """Similarity-weighted shares of label 1, drawn to the base rate with half a vote."""
+        y = np.append(self.model.labels, 0.0)[who]
+        return ((best * y).sum(1) + 0.5 * base) / (best.sum(1) + 0.5)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,32 +204,38 @@ class Scorer:
         self.base = (float(y.sum()) + 0.5) / (len(y) + 1)
         self.none = (float(y[silent].sum()) + 0.5 * self.base) / (float(silent.sum()) + 0.5)
         loud = np.flatnonzero(~silent)
-        votes = np.array([self.index.vote(self.index.nearest(*model.rows[i], but=i), self.base) for i in loud])
-        self.knots = isotonic(votes, y[loud]) if len(loud) else (np.array([0.0, 1.0]), np.array([self.base, self.base]))
+        self.knots = (np.array([0.0, 1.0]), np.array([self.base, self.base]))
+        if len(loud):
+            votes = [self.votes([model.rows[i] for i in part], part)[0] for part in np.array_split(loud, -(-len(loud) // 512))]
+            self.knots = isotonic(np.concatenate(votes), y[loud])
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        near = self.index.nearest(terms, counts)
-        if not near:
-            return self.none, []
-        return float(np.interp(self.index.vote(near, self.base), *self.knots)), near
+    def votes(self, rows: list, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, best = self.index.nearest(self.index.units([t for t, _ in rows], [c for _, c in rows]), but)
+        return self.index.votes(who, best, self.base), who, best
+
+    def scores(self, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        votes, who, best = self.votes(rows)
+        return np.where(who[:, 0] < 0, self.none, np.interp(votes, *self.knots)) if len(rows) else votes, who, best
 
 
 def _scored(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, tuple[float, list[dict]]] = {}
     model = scorer.index.model
+    ids, labels = np.append(model.ids, 0), np.append(model.labels, 0).astype(np.int32)
     for b in batches:
-        scores, evidence = [], []
-        for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            key = (tuple(t), tuple(c) if len(t) > 1 else ())  # a single term always makes the same unit vector
-            if key not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                score, near = scorer.score(np.array(t, np.int64), np.array(c, float))
-                known[key] = score, [{"example": int(model.ids[i]), "similarity": s, "label": int(model.labels[i])} for i, s in near]
-            scores.append(known[key][0])
-            evidence.append(known[key][1])
-        kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["id", "score", "evidence"])
+        for k in range(0, b.num_rows, 512):
+            part = b.slice(k, 512)
+            terms, counts = part.column(1).to_pylist(), part.column(2).to_pylist()
+            # rows that make the same vector are looked up once
+            keys = [(tuple(t), tuple(c) if len(t) > 1 else ()) for t, c in zip(terms, counts)]
+            firsts = {key: i for i, key in reversed(list(enumerate(keys)))}
+            slot = {key: n for n, key in enumerate(firsts)}
+            score, who, best = scorer.scores([(terms[i], counts[i]) for i in firsts.values()])
+            at = np.array([slot[key] for key in keys])
+            score, who, best = score[at], who[at], best[at]
+            real = who >= 0
+            flat = pa.StructArray.from_arrays([pa.array(ids[who[real]]), pa.array(best[real]), pa.array(labels[who[real]])], names=["example", "similarity", "label"])
+            ends = np.concatenate(([0], np.cumsum(real.sum(axis=1)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "score", "evidence"])
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
