@@ -53,7 +53,8 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, max_examples: int = 4000, max_langs: int = 64, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, np.ndarray]:
     """lang -> log probability of each bucket, from the ``max_examples`` labelled texts of smallest hash, whole."""
     some = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    some = some.orderBy(F.xxhash64(id_col, F.lit(7)), id_col).limit(max_examples).select(F.lower(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = some.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id", F.lit(7)), "__id").limit(max_examples)  # ids alone are sorted
+    some = some.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.lower(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sums: dict[str, np.ndarray] = {}
     for r in some.repartition(4).mapInArrow(_tallied, "lang string, counts binary").collect():  # a row for each task and language
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)

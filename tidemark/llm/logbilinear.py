@@ -185,7 +185,9 @@ def fit(texts: DataFrame, v: Vocabulary, dim: int = 16, warm: int = 200, warm_pa
     """Parameters from texts(text). The start comes from the ``warm`` texts of smallest hash, then one pass over all."""
     noise, rng = _noise(v), np.random.default_rng(seed)
     p = Parameters.first(noise, dim, seed)
-    some = texts.where(F.length("text").between(200, 20_000)).orderBy(F.xxhash64("text")).limit(warm).collect()
+    fit_ = texts.where(F.length("text").between(200, 20_000)).withColumn("h", F.xxhash64("text"))
+    least = [r["h"] for r in fit_.select("h").distinct().orderBy("h").limit(warm).collect()]
+    some = fit_.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if least else []
     rows = [_rows(v.numbers(words(bytes(r["text"]))), v.short[END]) for r in some]
     squares = [np.zeros_like(x) for x in p.parts()]
     for _ in range(warm_passes if rows else 0):
