@@ -65,25 +65,23 @@ def paragraphs(c: Column) -> Column:
 
 
 def availability(df: DataFrame, text: str, threshold: float = 0.85) -> DataFrame:
-    """df with counts of paragraphs, complete and noisy ones, rounded rates and whether the exact rate reaches threshold.
+    """df without text, with counts of paragraphs, complete and noisy ones, rates, and whether the exact rate reaches threshold.
 
-    Array functions within the row: no shuffle; a text without paragraphs gives zeros and false.
+    Each paragraph is judged once; only its flags are shuffled, summed beforehand. No paragraphs: zeros and false.
     """
-    def any_of(p: Column) -> Column:
-        hit = F.lit(False)
-        for x in NOISE:
-            hit = hit | p.rlike(x)
-        return hit
-
-    out = df.withColumn("__p", paragraphs(F.col(text)))
-    out = out.withColumn("__n", F.filter("__p", any_of)).withColumn("__o", F.filter("__p", lambda p: ~any_of(p) & p.rlike(OPEN_END)))
-    total, noise = F.size("__p"), F.size("__n")
-    complete = total - noise - F.size("__o")
-    per = F.nullif(total, F.lit(0))
-    return out.select(
-        *df.columns, total.cast("long").alias("total_paragraphs"), complete.cast("long").alias("complete_paragraphs"), noise.cast("long").alias("noise_paragraphs"),
-        F.coalesce(F.round(complete / per, 4), F.lit(0.0)).alias("availability_rate"), F.coalesce(F.round(noise / per, 4), F.lit(0.0)).alias("noise_rate"),
-        F.coalesce(complete / per >= threshold, F.lit(False)).alias("is_available"),
+    keys = [c for c in df.columns if c != text]
+    p = F.col("__p")
+    noise = F.lit(False)
+    for x in NOISE:
+        noise = noise | p.rlike(x)
+    rows = df.select(*keys, F.explode_outer(paragraphs(F.col(text))).alias("__p"))
+    rows = rows.select(*keys, p.isNotNull().alias("__one"), F.coalesce(noise, F.lit(False)).alias("__noise"), F.coalesce(p.rlike(OPEN_END), F.lit(False)).alias("__open"))
+    total, bad, cut = F.count_if("__one"), F.count_if("__noise"), F.count_if(F.col("__open") & ~F.col("__noise"))
+    sums = rows.groupBy(*keys).agg(total.alias("total_paragraphs"), (total - bad - cut).alias("complete_paragraphs"), bad.alias("noise_paragraphs"))
+    per = F.nullif(F.col("total_paragraphs"), F.lit(0))
+    return sums.select(
+        "*", F.coalesce(F.round(F.col("complete_paragraphs") / per, 4), F.lit(0.0)).alias("availability_rate"), F.coalesce(F.round(F.col("noise_paragraphs") / per, 4), F.lit(0.0)).alias("noise_rate"),
+        F.coalesce(F.col("complete_paragraphs") / per >= threshold, F.lit(False)).alias("is_available"),
     )
 
 
@@ -131,8 +129,9 @@ def blocks(df: DataFrame, key: str, text: str, stem: str, most: int = 1200, leas
 
 def tsv_blocks(lines: DataFrame, most: int = 300, least: int = 30) -> DataFrame:
     """(doc_id, title, section, chunk, keywords) from ten-column TSV lines(value); short lines and abstracts go."""
-    f = F.split("value", "\t", -1)
-    rows = lines.where(F.size(f) >= 10).select(F.coalesce(F.nullif(normalize_text(f[1]), F.lit("")), F.lit("CNKI 摘要")).alias("title"), f[1].alias("t"), f[4].alias("date"), f[9].alias("url"), normalize_text(f[8]).alias("abstract"), parse_keywords(f[7]).alias("keywords")).where(F.length("abstract") >= least)
+    cells = F.split("value", "\t", -1)
+    f = [F.get(cells, F.lit(i)) for i in range(10)]
+    rows = lines.where(F.size(cells) >= 10).select(F.coalesce(F.nullif(normalize_text(f[1]), F.lit("")), F.lit("CNKI 摘要")).alias("title"), f[1].alias("t"), f[4].alias("date"), f[9].alias("url"), normalize_text(f[8]).alias("abstract"), parse_keywords(f[7]).alias("keywords")).where(F.length("abstract") >= least)
     rows = rows.select(F.md5(F.concat_ws("|", "t", "date", "url")).alias("doc_id"), "title", "keywords", chunks(F.col("abstract"), most).alias("c"))
     part = rows.select("doc_id", "title", "keywords", F.size("c").alias("n"), F.posexplode("c").alias("i", "chunk"))
     return part.select("doc_id", "title", F.when(F.col("n") > 1, F.concat(F.lit("摘要片段"), F.col("i") + 1)).otherwise("摘要").alias("section"), "chunk", "keywords")

@@ -357,12 +357,12 @@ def _(s, d):
 AVAIL = r"""SELECT doc_id, count(*) AS total_paragraphs, count(*) FILTER (WHERE noise) AS noise_paragraphs, count(*) FILTER (WHERE NOT noise AND NOT cut) AS complete_paragraphs,
     round(count(*) FILTER (WHERE NOT noise AND NOT cut) / count(*), 4) AS availability_rate, round(count(*) FILTER (WHERE noise) / count(*), 4) AS noise_rate, count(*) FILTER (WHERE NOT noise AND NOT cut) / count(*) >= 0.85 AS is_available
     FROM (SELECT doc_id, regexp_matches(p, '^[-—=\s]{3,}$') OR regexp_matches(p, '^\s*\d{1,4}\s*$') OR regexp_matches(p, '[^\x{4e00}-\x{9fff}\p{L}\p{N}_]{5,}') OR regexp_matches(p, '(?i)(DOI|ISSN|doi\.org)') OR regexp_matches(p, '^.{1,5}$') AS noise, regexp_matches(p, '[，,、；;：:\(（【\[]$') AS cut
-        FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9)) AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM documents)) WHERE p <> '') GROUP BY 1"""
+        FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9)) AS p FROM documents  ) WHERE p <> '') GROUP BY 1"""
 
 
 def _available(s, d) -> DataFrame:
     docs = V.table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return D.availability(docs, "text").drop("text")
+    return D.availability(docs, "text")
 
 
 @q("doc_availability", AVAIL)
@@ -465,7 +465,7 @@ def _blocks(s, d) -> DataFrame:
 
 @q("sft_generate")
 def _(s, d):
-    return C.generate(_blocks(s, d), dict.fromkeys(C.TEMPLATES, 10)).drop("terms")
+    return C.generate(_blocks(s, d), dict.fromkeys(C.TEMPLATES, 4)).drop("terms")
 
 
 @q("key_sentences", "SELECT doc_id, array_to_string(CASE WHEN len(x) <= 3 THEN x ELSE list_slice(x, doc_id % (len(x) - 2) + 1, doc_id % (len(x) - 2) + 3) END, '|') AS v FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all('水产养殖材料。' || replace(regexp_replace(text, '[ ]+', ' ', 'g'), '.', '。'), '[^。！？；!?;]+[。！？；!?;]?|[。！？；!?;]'), lambda y: trim(y, ' ' || chr(10) || chr(9))), lambda y: y <> '') AS x FROM documents)")
