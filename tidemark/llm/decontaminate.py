@@ -117,9 +117,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, most: int
     for i in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
         own = sorted((r["item_id"], t, budget(t, rate, most)) for r in part.collect() if r["item_id"] is not None and len(t := normal(r["text"])) >= least)
+        if not own:
+            continue
         hit = rows.mapInArrow(partial(_matched, items=own), "id long, item_id long, distance int, end long")
         out = hit if out is None else out.unionByName(hit)
-    return out
+    return rows.limit(0).select("id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("end")) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
