@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 def rouge_l(rows: DataFrame, keys: tuple[str, ...], predict: str = "predict", target: str = "label") -> DataFrame:
     """ROUGE-L F1 of each row; the subsequence needs Python, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def f1(p: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([round(2 * lcs_length(list(a), list(b)) / (len(a) + len(b)), 6) if len(a) + len(b) else 0.0 for a, b in zip(p, t)])
