@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, langid, lines, logbilinear, mixing, secrets, simhash, toolcalls, toxicity, vafile
 from .common import held_out, table
+from .sql import SQL as SQL
 
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,15 +76,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op5_language, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
-SQL = {
-    "op3_vafile_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
-        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
-        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
-    """,
-}
