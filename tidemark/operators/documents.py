@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import chain, chunks, md_title, normalize_text, parse_keywords, strip
+from tidemark.functions.udf import arrow_udf
 
 #: Patterns of formulas, headers and footers, noise and open endings.
 HEADERS = (
@@ -50,7 +51,7 @@ def join_tables(text: str | None) -> str | None:
     return text if not out else "".join([*out, text[last:]])
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def merge_tables(texts: pd.Series) -> pd.Series:
     return texts.map(join_tables)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_text, strip
+from tidemark.functions.udf import arrow_udf
 
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 
@@ -86,17 +87,17 @@ def cards_of(html: str | None, most: int = 300) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<title:string,url:string>>")
+@arrow_udf("array<struct<title:string,url:string>>")
 def links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([links_of(h, b) for h, b in zip(html, base)])
 
 
-@F.pandas_udf("array<struct<sku:string,title:string,price:string>>")
+@arrow_udf("array<struct<sku:string,title:string,price:string>>")
 def cards(html: pd.Series) -> pd.Series:
     return html.map(cards_of)
 
 
-@F.pandas_udf("struct<title:string,text:string>")
+@arrow_udf("struct<title:string,text:string>")
 def detail(html: pd.Series) -> pd.DataFrame:
     out = []
     for page in html:
@@ -107,7 +108,7 @@ def detail(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["title", "text"])
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def resolve(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", h or "") for h, b in zip(href, base)])
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import storage_of_offline, type_of_offline
 from tidemark.functions.text import clean_nbsp, clean_text, mid_price, nonblank, parse_float, parse_time, strip, strip_html
+from tidemark.functions.udf import arrow_udf
 
 #: CSV header aliases by field, and header words of HTML tables in order.
 ALIASES = {
@@ -65,7 +66,7 @@ def read_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFram
 _ROWS = "array<struct<row_num:int,error:string," + ",".join(f"{f}:string" for f in ALIASES) + ">>"
 
 
-@F.pandas_udf(_ROWS)
+@arrow_udf(_ROWS)
 def _csv_rows(texts: pd.Series) -> pd.Series:
     import csv
     import io
@@ -166,7 +167,7 @@ def html_tables(html: str | None) -> list[list[list[str]]]:
 _FIELDS = ("product_name", "market_name", "region", "spec", "min_price", "max_price", "avg_price", "unit", "date", "remark")
 
 
-@F.pandas_udf("array<struct<" + ",".join(f"{f}:string" for f in _FIELDS) + ">>")
+@arrow_udf("array<struct<" + ",".join(f"{f}:string" for f in _FIELDS) + ">>")
 def _table_rows(pages: pd.Series) -> pd.Series:
     def rows(html: str | None) -> list[dict]:
         out = []
