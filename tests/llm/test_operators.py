@@ -79,6 +79,33 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3] and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
+def jaccard(a, b, width=5):
+    a, b = ({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_of_edited_copies(spark):
+    rng, rows = np.random.default_rng(7), []
+    for f in range(60):
+        base = text(300 + f, int(rng.integers(60, 400))).split()
+        for j in range(4):
+            w = list(base)
+            for at in rng.choice(len(w), int(len(w) * rng.uniform(0, 0.04)), replace=False):
+                w[at] = f"edit{f}x{j}"
+            rows.append((len(rows), " ".join(w)))
+    pairs = [(a, b) for a, s in rows for b, t in rows if a < b and a // 4 == b // 4 and jaccard(s, t) >= 0.8]
+    part = {i: i for i, _ in rows}
+    for _ in range(4):
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    assert sum(1 for a, b in pairs if jaccard(rows[a][1], rows[b][1]) < 0.9) > 30
+    for follow in (32, 2):
+        got = {r["id"]: r["component"] for r in simhash.near_groups(docs(spark, rows), follow=follow).collect()}
+        assert got == part
+    kept = simhash.keep_one(docs(spark, rows)).collect()
+    assert {r["doc_id"] for r in kept} == set(part.values())
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in rng.normal(0, 0.4, 8)]) for i in range(120)]

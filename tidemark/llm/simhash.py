@@ -33,21 +33,26 @@ RADIUS = (3, 3, 1)
 CELL = 2048
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """64-bit SimHash over the XXH64 (seed 42) of width-word shingles, repeats counted; no words: 0."""
+def shingles(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the width-word shingles in order, at most 65,536 at a time; no words: nothing."""
     words = (text or b"").lower().split()  # of bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - width + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        hashes = [xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        yield np.array([xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], "<u8")
+
+
+def fingerprint(text: bytes | None, width: int) -> int:
+    """64-bit SimHash over the XXH64 (seed 42) of width-word shingles, repeats counted; no words: 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingles(text, width):
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -224,7 +229,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """
     rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    tree = written(components(links(nodes, threshold)), "roots")
+    return _grouped(rows, nodes, written(components(links(nodes, threshold)), "roots"))
+
+
+def _grouped(rows: DataFrame, nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """(id, fp, component): rows(id, fp) with the smallest id of their component; nodes(fp, least); tree(node, root)."""
     whole = tree.union(tree.select("root", "root")).distinct()
     ids = nodes.join(whole, nodes["fp"] == whole["node"]).select("fp", "least", "root")
     least = ids.groupBy("root").agg(F.min("least").alias("component"))
@@ -237,13 +246,89 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 4) -> DataFrame:
+#: Bands, and minima a band: of pairs at similarity 0.8 all but 0.04 % meet in a band, of those at 0.9 all but 1e-8.
+BANDS, DEPTH = 20, 5
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * DEPTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+#: In a bucket each set is compared with so many that follow it; buckets with as many sets or fewer are compared whole.
+FOLLOW = 32
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fps, sizes, bands = [], [], []
+        for t in b.column(1).to_pylist():
+            have = np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(t, width)]))
+            low = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(have), 1024):
+                low = np.minimum(low, (have[None, at : at + 1024] * _SEEDS).min(axis=1))
+            fps.append(xxhash.xxh64_intdigest(have.tobytes(), 42))
+            sizes.append(len(have))
+            bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, DEPTH))] if len(have) else [])
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in bands], dtype=np.int64)))
+        keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(sum(bands, []), np.uint64).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), keys], names=["id", "fp", "n", "bands"])
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            have = np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(t, width)]))
+            one = pa.array([have.view(np.int64).tolist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(have.tobytes(), 42)], pa.uint64()).view(pa.int64()), one], names=["fp", "has"])
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, width: int, alike: float) -> DataFrame:
+    """The pairs (u, v) of sets whose Jaccard similarity is ``alike`` or more; texts(fp, text) holds a text of each set."""
+    wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    sets = written(texts.join(wanted, "fp", "left_semi").select("text").mapInArrow(partial(_set_batches, width=width), "fp long, has array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("has").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("has").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= alike * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8, follow: int = FOLLOW) -> DataFrame:
+    """(id, fp, component) for each row of docs: groups of texts linked by Jaccard similarity ``alike`` or more of their sets of shingles.
+
+    fp: hash of the set. Candidates share a band of MinHash minima; every link is verified on the whole sets. First
+    each set is compared with the smallest of its buckets, then, in buckets that hold more than one group, with the
+    ``follow`` sets after it in an order of the bucket's own, where these are of another group. Null texts count as
+    empty, and texts without words are one group; a set that stands only in rows with a null id links to no other.
+    """
+    from pyspark.sql import Window
+
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = written(given.mapInArrow(partial(_sketch_batches, width=width), "id long, fp long, n int, bands array<long>"), "sketches")
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    each = nodes.select("fp", "n", F.explode("bands").alias("key"))
+    crowd = each.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("m"), F.count("*").alias("c")).where("c > 1")
+    met = written(each.join(crowd.select("key", "m"), "key"), "buckets")
+
+    def close(a: Column, b: Column) -> Column:
+        return F.least(a, b) >= alike * F.greatest(a, b)
+
+    # a text of each set that meets another: by id, then by the set, since ids may repeat
+    own = rows.select("id", "fp").join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
+    texts = given.join(own, "id").select("fp", "text")
+    first = written(met.where((F.col("m.fp") != F.col("fp")) & close(F.col("m.n"), F.col("n"))).select(F.col("m.fp").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
+    star = written(_alike(first, texts, width, alike), "links")
+    tree = written(components(star), "roots")
+    rooted = met.join(tree, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    after = Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp").rowsBetween(1, follow)
+    rest = rooted.join(split, "key", "left_semi").withColumn("then", F.collect_list(F.struct("fp", "n", "root")).over(after))
+    rest = rest.withColumn("o", F.explode(F.filter("then", lambda o: (o["root"] != F.col("root")) & close(o["n"], F.col("n")))))
+    second = rest.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    more = _alike(written(second, "pairs"), texts, width, alike)
+    return _grouped(rows.select("id", "fp"), nodes, written(components(star.union(more)), "roots"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8) -> DataFrame:
     """docs without the near copies: of each group the row with the smallest id stays, with all columns of docs.
 
-    Of rows that repeat that id one stays. Rows with a null id can't be told apart from their group and all stay.
-    Empty texts are one group.
+    Groups are those of near_groups. Of rows that repeat that id one stays. Rows with a null id can't be told apart
+    from their group and all stay. Empty texts are one group.
     """
-    marked = groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, threshold)
+    marked = near_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, alike)
     stay = marked.where("id = component").select(F.col("id").cast(docs.schema[id_col].dataType).alias("__id")).distinct()
     kept = docs.join(stay, docs[id_col] == stay["__id"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
