@@ -240,6 +240,19 @@ def test_decontaminate(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()) == [3, 4, 5, 6]
 
 
+def test_decontaminate_long_short_and_nameless_items(spark):
+    long_, nameless = text(80, 200), text(81, 30)
+    words = long_.split()
+    for at in (20, 70, 120, 170):
+        words[at] = "#" * 5
+    rows = [(1, text(1, 40) + " " + " ".join(words)), (2, "so: Nine lives, she said"), (3, "canine livestock nine livess"), (4, text(2, 20) + " " + nameless), (5, "他说今天天气很好啊"), (6, text(3, 90))]
+    bench = spark.createDataFrame([(1, long_), (2, "nine  lives"), (None, nameless), (3, "今天天气"), (4, " ")], "item_id long, text string")
+    got = sorted((r["id"], r["item_id"], r["distance"]) for r in decontaminate.matches(docs(spark, rows), bench).collect())
+    d = edit(long_, rows[0][1])
+    assert 8 < d <= len(long_) * 0.05 and got == [(1, 1, d), (2, 2, 0), (4, None, 0), (5, 3, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()) == [3, 6]
+
+
 def test_myers():
     rng = np.random.default_rng(5)
     for _ in range(40):

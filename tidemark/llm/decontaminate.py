@@ -8,6 +8,7 @@ run of white space as one space.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -54,12 +55,22 @@ def nearest(masks: dict[str, int], m: int, window: str) -> tuple[int, int]:
     return best
 
 
-def budget(item: str, rate: float, most: int) -> int:
-    """Errors that an item may hold: the rate of its length, at most ``most``."""
-    return min(most, int(len(item) * rate))
+def budget(item: str, rate: float, least: int) -> int:
+    """Errors that an item may hold: the rate of its length; none under ``least`` characters."""
+    return int(len(item) * rate) if len(item) >= least else 0
 
 
-def _matched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str, int]]) -> Iterator[pa.RecordBatch]:
+def joins(a: str, b: str) -> bool:
+    """Whether two characters, one after the other, belong to one word; scripts without blanks have no such bounds."""
+    return all((c.isalnum() or c == "_") and not re.match("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]", c) for c in (a, b))
+
+
+def alone(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] begins and ends at word boundaries."""
+    return not (start and joins(text[start - 1], text[start]) or end < len(text) and joins(text[end - 1], text[end]))
+
+
+def _matched(batches: Iterator[pa.RecordBatch], items: list[tuple[int | None, str, int]], least: int) -> Iterator[pa.RecordBatch]:
     found: dict[str, list[tuple[int, int]]] = {}
     for n, (_, item, k) in enumerate(items):
         for at, piece in pieces(item, k):
@@ -85,6 +96,8 @@ def _matched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str, int]
                     if done.get(n) == start:
                         continue
                     done[n] = start
+                    if len(item) < least and not alone(text, start, start + len(item)):
+                        continue
                     if 0 <= start and text.startswith(item, start):
                         best[n] = (0, start + len(item))
                         continue
@@ -100,26 +113,27 @@ def _matched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str, int]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kind)], schema=kind)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, most: int = 8, least: int = 40, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 40, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, distance, end) for each row of docs and item that it holds within the item's error budget.
 
-    The budget is ``rate`` of the item's characters, at most ``most``; items under ``least`` characters would hit by
-    chance and are left out, as are null items; null and empty texts hold nothing. distance: the least over the
+    The budget is ``rate`` of the item's characters; items under ``least`` characters must stand in the text without
+    an edit, between word boundaries. Null and blank items are left out; null and empty texts hold nothing. An item
+    with a null id is searched like any other. distance: the least over the
     text's verified windows; end: where the first such place ends in the normalised text. Items with equal texts
     each match; repeated item ids with different texts each count; repeated rows of docs each give rows. Items are
     taken in blocks of at most ``block_chars`` characters, one pass over docs for each block, so that no automaton
     grows with the benchmark; very long texts are searched whole.
     """
-    items = benchmark.where(F.length("text") >= least).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = None
     for i in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        own = sorted((r["item_id"], t, budget(t, rate, most)) for r in part.collect() if r["item_id"] is not None and len(t := normal(r["text"])) >= least)
+        own = sorted(((r["item_id"], t, budget(t, rate, least)) for r in part.collect() if (t := normal(r["text"]))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if not own:
             continue
-        hit = rows.mapInArrow(partial(_matched, items=own), "id long, item_id long, distance int, end long")
+        hit = rows.mapInArrow(partial(_matched, items=own, least=least), "id long, item_id long, distance int, end long")
         out = hit if out is None else out.unionByName(hit)
     return rows.limit(0).select("id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("end")) if out is None else out
 
