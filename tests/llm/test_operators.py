@@ -169,6 +169,14 @@ def test_lines(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_documents_without_other_long_lines(spark):
+    one, two = " ".join(WORDS[60:90]), " ".join(WORDS[100:130])
+    rows = [(i, f"{one}\nno {WORDS[i]}") for i in range(5)] + [(10 + i, f"{two}\n{WORDS[200 + i]}\n{' '.join(WORDS[140:160])}") for i in range(5)]
+    rows += [(20 + i, text(21, 20) + "\n" + text(22, 20)) for i in range(5)]
+    got = {r["doc_id"]: r["__dropped"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: 1 if i < 5 else 2 if i < 15 else 0 for i, _ in rows}
+
+
 def test_toxicity(spark):
     bad = ["scum", "idiot", "moron"]
     rows = [(i, text(i, 60) + (" " + " x ".join(bad[: 1 + i % 3]) if i % 5 == 0 else "")) for i in range(300)] + [(400, None), (401, ""), (402, "IDIOT, scum! moron"), (402, "baaa bada")]

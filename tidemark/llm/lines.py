@@ -5,10 +5,8 @@ the variable field <*>. Lines of a leaf that agree with the leaf's most frequent
 more, share one template in which the other places are <*>; any other line is its own template, its variable fields
 masked. A template that recurs across documents is dropped from all of them.
 
-Copies of a document are no recurrence (the near-duplicate stage takes them): a template counts once for all
-documents that have the same least opening besides its own, an opening being the hash of a longer line's leading
-words. Several orders of openings are tried, and the one with the highest count decides, since two
-templates that always come together would else hide each other.
+Exact copies of a document are no recurrence (the near-duplicate stage takes them): a template counts once for all
+documents of equal text. Edited copies are distinct texts and count each.
 """
 
 from __future__ import annotations
@@ -19,8 +17,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 FIELD = "<*>"
-#: Orders of openings that are tried.
-ORDERS = 4
 
 
 def _blanks(line: Column) -> Column:
@@ -41,31 +37,18 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]") & fixed, F.array_join(tokens, " ")).otherwise(one)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least: int) -> DataFrame:
-    """A row for each line, with its number of tokens n, leaf, template by masking alone, and the masked line.
-
-    others: in each order, the document's least opening besides the line's own.
-    """
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """A row for each line, with its number of tokens n, leaf, template by masking alone, and the masked line."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.split(F.col(text_col), "\n", -1).alias("lines"))
-
-    def opening(x: Column) -> Column:
-        return F.xxhash64(F.substring_index(x, " ", depth))
-
-    long_ = F.filter("lines", lambda x: F.length(x) >= 4 * least)
-    rows = rows.withColumn("open", F.array_distinct(F.transform(long_, opening)))
-    two = F.array(*(F.slice(F.array_sort(F.transform("open", lambda o: F.xxhash64(o, F.lit(seed)))), 1, 2) for seed in range(ORDERS)))
-    cut = rows.select("id", "h", two.alias("two"), F.posexplode("lines").alias("pos", "line"))
-    cut = cut.select("id", "h", "two", "pos", opening(F.col("line")).alias("own"), _masked(F.col("line")).alias("masked"))
+    cut = rows.select("id", "h", F.posexplode("lines").alias("pos", "line")).select("id", "h", "pos", _masked(F.col("line")).alias("masked"))
     cut = cut.withColumn("n", _blanks(F.col("masked")) + 1)  # filtered by whoever has stored it: here the filter would mask each line again
-    others = F.transform("two", lambda t, i: F.coalesce(F.when(F.get(t, F.lit(0)) == F.xxhash64("own", i), F.get(t, F.lit(1))).otherwise(F.get(t, F.lit(0))), F.lit(0)))
-    return cut.select("id", "h", "pos", "n", others.alias("others"), F.xxhash64("n", F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("template"), "masked")
+    return cut.select("id", "h", "pos", "n", F.xxhash64("n", F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("template"), "masked")
 
 
 def _spread(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """The keys that stand in ``min_docs`` documents or more, copies counted once."""
-    some = lines.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key)
-    each = lines.select(key, "others").join(some, key, "left_semi").select(key, F.posexplode("others").alias("order", "other")).groupBy(key, "order", "other").agg(F.lit(1).alias("x"))
-    return each.groupBy(key, "order").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key).distinct()
+    """The keys that stand in ``min_docs`` distinct texts or more."""
+    each = lines.groupBy(key, "h").agg(F.lit(1).alias("x"))
+    return each.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key)
 
 
 #: Slots of leaf hashes; a table of those in use has so many rows at most, and may be broadcast.
@@ -88,11 +71,11 @@ def _general(tree: DataFrame, narrow: DataFrame, alike: float, min_docs: int) ->
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, least: int = 5, depth: int = 3, alike: float = 0.8) -> DataFrame:
     """(id, h, pos) of each line to drop; h: xxhash64 of the text; pos: the line's number from 0. See dedup_lines."""
-    tree = _lines(docs, id_col, text_col, depth, least)
+    tree = _lines(docs, id_col, text_col, depth)
     narrow = written(tree.drop("masked"), "lines").where(F.col("n") >= least)
     general = _general(tree, narrow, alike, min_docs)
     named = narrow.join(general, (F.col("leaf") == F.col("l")) & (F.col("template") == F.col("t")), "left")
-    named = named.select("id", "h", "pos", "others", F.when(F.col("l").isNotNull(), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("template")).alias("template"))
+    named = named.select("id", "h", "pos", F.when(F.col("l").isNotNull(), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("template")).alias("template"))
     named = written(named, "named-lines")
     often = _spread(named, "template", min_docs)
     return named.join(often, "template", "left_semi").select("id", "h", "pos")
@@ -101,7 +84,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, least: int = 5, depth: int = 3, alike: float = 0.8) -> DataFrame:
     """docs with all columns and rows, recurring lines cut from the texts, and a column __dropped: how many went.
 
-    A line recurs if its template stands in ``min_docs`` or more documents, copies counted once. Lines of fewer than
+    A line recurs if its template stands in ``min_docs`` or more documents of distinct text. Lines of fewer than
     ``least`` tokens stay. Null texts stay null, empty ones empty; a text of which all lines recur becomes empty.
     Repeated rows get the same result each, a null id is a value like any other; very long texts are parsed whole.
     Ties between a leaf's tokens go to the larger by code point.
