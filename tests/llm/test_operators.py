@@ -177,6 +177,13 @@ def test_lines_of_documents_without_other_long_lines(spark):
     assert got == {i: 1 if i < 5 else 2 if i < 15 else 0 for i, _ in rows}
 
 
+def test_lines_of_few_tokens(spark):
+    run = "这是一个没有空格的重复段落它出现在许多不同的文本之中"
+    rows = [(i, f"{text(400 + i, 30)}\nAll rights\n\n") for i in range(12)] + [(20 + i, f"{text(500 + i, 30)}\n{run}\nBack") for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert all(got[i] == text(400 + i, 30) + "\n\n" for i in range(12)) and all(got[20 + i] == text(500 + i, 30) + "\nBack" for i in range(4))
+
+
 def test_toxicity(spark):
     bad = ["scum", "idiot", "moron"]
     rows = [(i, text(i, 60) + (" " + " x ".join(bad[: 1 + i % 3]) if i % 5 == 0 else "")) for i in range(300)] + [(400, None), (401, ""), (402, "IDIOT, scum! moron"), (402, "baaa bada")]

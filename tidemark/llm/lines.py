@@ -45,10 +45,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
     return cut.select("id", "h", "pos", "n", F.xxhash64("n", F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("template"), "masked")
 
 
-def _spread(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """The keys that stand in ``min_docs`` distinct texts or more."""
-    each = lines.groupBy(key, "h").agg(F.lit(1).alias("x"))
-    return each.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key)
+def _spread(lines: DataFrame, key: str, min_docs: int, brief_docs: int) -> DataFrame:
+    """The keys that stand in ``min_docs`` distinct texts or more, those of brief lines in ``brief_docs`` or more."""
+    each = lines.groupBy(key, "h").agg(F.max("brief").alias("brief"))
+    return each.groupBy(key).agg(F.count("*").alias("n"), F.max("brief").alias("brief")).where(F.col("n") >= F.when(F.col("brief"), brief_docs).otherwise(min_docs)).select(key)
 
 
 #: Slots of leaf hashes; a table of those in use has so many rows at most, and may be broadcast.
@@ -57,8 +57,9 @@ SLOTS = 1 << 20
 
 def _general(tree: DataFrame, narrow: DataFrame, alike: float, min_docs: int) -> DataFrame:
     """(leaf, template) of the lines that share their leaf's template; only of leaves that can recur often enough."""
+    narrow = narrow.where(F.ceil(alike * F.col("n")) < F.col("n"))  # shorter lines share a template only if equal
     varied = narrow.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf")
-    mixed = written(_spread(narrow, "leaf", min_docs).join(varied, "leaf", "left_semi"), "leaves")
+    mixed = written(_spread(narrow, "leaf", min_docs, min_docs).join(varied, "leaf", "left_semi"), "leaves")
     slots = mixed.select(F.pmod("leaf", F.lit(SLOTS)).alias("slot")).distinct()
     near = tree.select("leaf", "template", "masked").join(F.broadcast(slots), F.pmod("leaf", F.lit(SLOTS)) == F.col("slot"), "left_semi")
     differ = near.join(mixed, "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("masked").alias("masked"))
@@ -69,27 +70,29 @@ def _general(tree: DataFrame, narrow: DataFrame, alike: float, min_docs: int) ->
     return differ.join(modal, "leaf").where(same >= alike * F.size("tokens")).select(F.col("leaf").alias("l"), F.col("template").alias("t"))
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, least: int = 5, depth: int = 3, alike: float = 0.8) -> DataFrame:
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, least: int = 5, brief_docs: int = 10, depth: int = 3, alike: float = 0.8) -> DataFrame:
     """(id, h, pos) of each line to drop; h: xxhash64 of the text; pos: the line's number from 0. See dedup_lines."""
     tree = _lines(docs, id_col, text_col, depth)
-    narrow = written(tree.drop("masked"), "lines").where(F.col("n") >= least)
+    size = F.length("masked")
+    brief = ((F.col("n") < least) & (size < 4 * least)).alias("brief")
+    narrow = written(tree.select("id", "h", "pos", "n", "leaf", "template", brief, (size > 0).alias("filled")), "lines").where("filled")
     general = _general(tree, narrow, alike, min_docs)
     named = narrow.join(general, (F.col("leaf") == F.col("l")) & (F.col("template") == F.col("t")), "left")
-    named = named.select("id", "h", "pos", F.when(F.col("l").isNotNull(), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("template")).alias("template"))
+    named = named.select("id", "h", "pos", "brief", F.when(F.col("l").isNotNull(), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("template")).alias("template"))
     named = written(named, "named-lines")
-    often = _spread(named, "template", min_docs)
+    often = _spread(named, "template", min_docs, brief_docs)
     return named.join(often, "template", "left_semi").select("id", "h", "pos")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, least: int = 5, depth: int = 3, alike: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, least: int = 5, brief_docs: int = 10, depth: int = 3, alike: float = 0.8) -> DataFrame:
     """docs with all columns and rows, recurring lines cut from the texts, and a column __dropped: how many went.
 
-    A line recurs if its template stands in ``min_docs`` or more documents of distinct text. Lines of fewer than
-    ``least`` tokens stay. Null texts stay null, empty ones empty; a text of which all lines recur becomes empty.
+    A line recurs if its template stands in ``min_docs`` or more documents of distinct text. Brief lines, of fewer than
+    ``least`` tokens and fewer than 4 * ``least`` characters, recur from ``brief_docs`` documents on; blank lines stay. Null texts stay null, empty ones empty; a text of which all lines recur becomes empty.
     Repeated rows get the same result each, a null id is a value like any other; very long texts are parsed whole.
     Ties between a leaf's tokens go to the larger by code point.
     """
-    gone = recurring(docs, id_col, text_col, min_docs, least, depth, alike)
+    gone = recurring(docs, id_col, text_col, min_docs, least, brief_docs, depth, alike)
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("pos").alias("__gone"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__h"]), "left")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
