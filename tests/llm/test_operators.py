@@ -184,6 +184,15 @@ def test_lines_of_few_tokens(spark):
     assert all(got[i] == text(400 + i, 30) + "\n\n" for i in range(12)) and all(got[20 + i] == text(500 + i, 30) + "\nBack" for i in range(4))
 
 
+def test_lines_of_leaves_with_several_templates(spark):
+    kinds = ("posted in the forum by user {} about new garden tools", "posted in the shop for buyer {} with free home delivery", "posted in the yard near gate {} under some old trees")
+    for sizes in ((8, 8, 0), (12, 8, 0), (8, 8, 8), (9, 3, 3)):
+        said = [k.format(WORDS[40 * j + i]) for j, k in enumerate(kinds) for i in range(sizes[j])]
+        rows = [(i, f"{text(600 + i, 25)}\n{x}") for i, x in enumerate(said)]
+        assert {r["text"] for r in lines.dedup_lines(docs(spark, rows)).collect()} == {text(600 + i, 25) for i in range(len(said))}, sizes
+    assert all(r["__dropped"] == 0 for r in lines.dedup_lines(docs(spark, [(i, f"posted in the {text(700 + i, 7)}") for i in range(9)])).collect())
+
+
 def test_toxicity(spark):
     bad = ["scum", "idiot", "moron"]
     rows = [(i, text(i, 60) + (" " + " x ".join(bad[: 1 + i % 3]) if i % 5 == 0 else "")) for i in range(300)] + [(400, None), (401, ""), (402, "IDIOT, scum! moron"), (402, "baaa bada")]
