@@ -88,3 +88,13 @@ def test_evaluation(spark):
 def test_terms():
     assert corpus.terms_in("本文不涉及水产养殖") == []
     assert "饲料" in corpus.terms_in("饲料配方")
+
+
+def test_sample_builders_cover_every_block_and_template(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i, f"Feed {i} for the fish pond. " * 8, "en", "s") for i in range(230)] + [(900, "short.", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, pick in (("context_input", "input"), ("sft_outputs", "plain"), ("cot_inject", "cot"), ("sft_candidates", "instruction")):
+        got = entry.queries()[name](spark, str(tmp_path)).collect()
+        assert len({(r["doc_id"], r["template"]) for r in got}) == len(got) == 231 * 5 and all(r[pick] for r in got), name

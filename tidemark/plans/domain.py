@@ -487,7 +487,7 @@ def _(s, d):
 for _name, _pick in (("context_input", "input"), ("sft_outputs", "plain"), ("cot_inject", "cot"), ("sft_candidates", "instruction")):
     @q(_name)
     def _(s, d, pick=_pick):
-        return C.candidates(C.prepared(_blocks(s, d)), "reasoning", 200).select("attempt", pick)
+        return C.of_each_block(C.prepared(_blocks(s, d))).select("doc_id", "template", pick)
 
 
 @q("sft_eligibility", "SELECT doc_id, length(c) >= 100 AS reasoning, length(c) >= 80 AS summary, regexp_matches(c, '[0-9]') OR length(c) >= 100 AS application FROM (SELECT doc_id, '水产养殖材料。' || replace(text, '.', '。') AS c FROM documents)")
