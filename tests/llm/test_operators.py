@@ -124,7 +124,7 @@ def test_log_bilinear(spark):
     df = docs(spark, rows)
     import pyspark.sql.functions as F
 
-    got = logbilinear.scores(df, F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1, shortlist=50, tails=8, head=100).collect()
+    got = logbilinear.scores(df, F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1, shortlist=50, endings=8, rest=4, head=100).collect()
     assert len(got) == len(rows) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     count = Counter()
     words = lambda t: (t or "").lower().split() + [None]
@@ -136,12 +136,51 @@ def test_log_bilinear(spark):
     assert sorted(round(r["base_score"], 6) for r in got) == pytest.approx(want) and all(r["train_tokens"] == n for r in got)
 
 
-def test_log_bilinear_sums_to_one():
-    short = {w: i for i, w in enumerate([b"a", b"b", logbilinear.END])}
-    v = logbilinear.Vocabulary(short, {b"a": 9, b"b": 5, logbilinear.END: 3}, 2, 27, 7, 2, np.array([6.5, 4.5]))
+def vocabulary(spark, counts, **bounds):
+    return logbilinear.vocabulary(spark.createDataFrame([(w, n) for w, n in counts.items()], "word binary, n long"), **({"shortlist": 3, "endings": 2, "rest": 2, "head": 4} | bounds))
+
+
+def test_log_bilinear_sums_to_one(spark):
+    counts = {b"a": 9, b"b": 5, b"xing": 4, b"ying": 3, b"zed": 2, b"q": 1, b"r": 1, logbilinear.END: 1}
+    v = vocabulary(spark, counts)
+    assert v.end < v.short == 3 and len(v.head) <= 5 and (v.tokens, v.types, v.once) == (26, 8, 3)
     p = logbilinear.Parameters.first(logbilinear._noise(v), 4, 1)
-    rows = np.array([[0, 1, w] for w in range(5)], np.int32)
-    assert np.exp(logbilinear.Normaliser(p).log_prob(rows)).sum() == pytest.approx(1, abs=1e-5)
+    outputs = np.exp(logbilinear.Normaliser(p).log_prob(np.array([[0, 1, w] for w in range(3 + len(v.mass))], np.int32)))
+    assert outputs.sum() == pytest.approx(1, abs=1e-5)
+    # words outside the shortlist share their class by their counts, and each class's shares sum to one
+    import pyarrow as pa
+
+    out, _ = v.outputs(pa.array(list(counts), pa.binary()))
+    share = Counter()
+    for w, o in zip(counts, out.tolist()):
+        if o >= v.short:
+            share[o] += (counts[w] + 0.5) / v.mass[o - v.short]
+    assert share and all(x == pytest.approx(1) for x in share.values())
+
+
+def test_log_bilinear_tokens():
+    import pyarrow as pa
+
+    said = ["A b\x0bÄ a", None, "", " \t ", "one\ntwo "]
+    numbers, types, ends = logbilinear.tokens(pa.array([None if t is None else t.encode() for t in said], pa.binary()))
+    names = types.to_pylist()
+    got = [[names[i] for i in numbers[a:b]] for a, b in zip([0, *ends], ends)]
+    assert got == [[*(t or "").translate(str.maketrans("AB", "ab")).encode().split(), logbilinear.END] for t in said]
+    rows = logbilinear._rows(np.arange(10, 10 + len(numbers)) * 0 + np.where(np.isin(np.arange(len(numbers)), ends - 1), 7, numbers), ends, 7)
+    firsts = np.concatenate(([0], ends[:-1]))
+    assert (rows[firsts, :2] == 7).all()
+
+
+def test_log_bilinear_learns_from_context(spark):
+    """On held-out texts the model is better than the base, on known tokens too."""
+    import pyspark.sql.functions as F
+
+    rng = np.random.default_rng(8)
+    tongues = [[f"{w}{end}" for w in WORDS[k * 100 : k * 100 + 90]] for k, end in enumerate(("ung", "eau"))]
+    rows = [(i, " ".join(rng.choice(tongues[i % 2], 60))) for i in range(400)]
+    got = logbilinear.scores(docs(spark, rows), F.col("doc_id") % 5 != 1, shortlist=20, endings=8, rest=4)
+    r = got.where("id % 5 = 1").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens"), F.sum("n_known")).first()
+    assert r[2] == r[3] and r[0] > r[1] + 0.1 * r[2]
 
 
 def test_language(spark):

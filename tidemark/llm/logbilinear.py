@@ -1,28 +1,29 @@
 """Log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
-Outputs are the ``shortlist`` most frequent tokens and ``tails`` classes, to which all other tokens belong by their
-last bytes; a class gives its tokens their training shares. Unseen tokens are one further type that takes the share
-of tokens seen once (Good-Turing). So the probabilities of all known tokens and the unseen type sum to one after
-every context. The context is the two outputs before a token; its predicted vector is the sum of their vectors, each
-times its place's weights, and a token's score is its inner product with the token's vector plus a bias.
-
-Counts cover all training texts. Training takes one pass over all training tokens: each task starts from the same
-parameters (fitted before on ``warm`` texts) and trains on what it reads; the results are averaged by tokens. The
-scoring pass normalises exactly: batched matrix products give each distinct context's log partition.
+Outputs are the ``shortlist`` most frequent tokens and classes of all other tokens by their last three bytes: a class
+of its own for each of the ``endings`` endings that hold most tokens, and ``rest`` hashed classes for other endings. A
+class gives its tokens their training shares. Unseen tokens are one further type that takes the share of tokens seen
+once (Good-Turing). So the probabilities of all known tokens and the unseen type sum to one after every context. The
+context is the two outputs before a token; its predicted vector is the sum of their vectors, each times its place's
+weights, and a token's score is its inner product with the token's vector plus a bias.
+
+Counts cover all training texts. Training takes two rounds, over one text in eight (by hash) and over all: each task
+starts from the same parameters and trains on what it reads, and the results are averaged by tokens, so that scores
+depend on how the input is dealt into tasks. The scoring pass normalises exactly: batched matrix products give each
+distinct context's log partition.
 """
 
 from __future__ import annotations
 
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,90 +31,140 @@ from .common import written
 
 #: The token that ends a text; no word holds a space.
 END = b" "
-#: Distinct words after which a task's counts are flushed.
-FLUSH = 300_000
+#: Bytes of texts that are taken apart at once (one text at least), and distinct words after which a task's counts are flushed.
+SLICE, FLUSH = 4_000_000, 300_000
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Lower-cased (A-Z) words of a text, then the end."""
-    return [*(text or b"").lower().split(), END]
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased (A-Z) words of all texts, and where each text's begin; one more place ends the last."""
+    lower = pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string()))
+    parts = pc.ascii_split_whitespace(lower)  # \x20 and \x09-\x0D
+    flat = parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    seen = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    return flat.filter(full).view(pa.binary()), seen[parts.offsets.to_numpy()]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(numbers, types, ends): tokens of all texts as numbers of types, an end after each text; ends: one past each text's end."""
+    flat, starts = words(texts)
+    coded = flat.dictionary_encode()
+    numbers = np.insert(coded.indices.to_numpy().astype(np.int64), starts[1:], len(coded.dictionary))
+    return numbers, pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())]), starts[1:] + np.arange(1, len(starts))
 
-    def flush() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-        found.clear()
-        return b
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows; the text is the last column."""
     for b in batches:
-        for t in b.column(0).to_pylist():
-            found.update(words(t))
-            if len(found) > FLUSH:
-                yield flush()
-    if found:
-        yield flush()
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy()) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for first, last in zip(cuts, cuts[1:]):
+            yield b.slice(first, last - first)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+    kept, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        whole = pa.concat_tables(kept).group_by("word").aggregate([("n", "sum")])
+        yield from whole.rename_columns({"n_sum": "n"}).select(["word", "n"]).cast(kind).to_batches(max_chunksize=50_000)
+
+    for b in _slices(batches):
+        found = pc.value_counts(words(b.column(0))[0])
+        values = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())])
+        kept.append(pa.table([values, pa.concat_arrays([found.field("counts"), pa.array([b.num_rows])])], schema=kind))
+        size += len(values)
+        if size > FLUSH:
+            yield from flush()
+            kept, size = [], 0
+    if kept:
+        yield from flush()
 
 
 @dataclass
 class Vocabulary:
-    """Bounded by its parameters: the numbers of the shortlist, counts of the head (frequent words), tail masses."""
+    """Bounded by its parameters: the most frequent words and their counts, the first ``short`` of which are outputs; the classes' endings and masses."""
 
-    short: dict[bytes, int]
-    head: dict[bytes, int]
-    tails: int
+    head: pa.Array
+    counts: np.ndarray
+    short: int
+    endings: pa.Array
+    rest: int
+    mass: np.ndarray
     tokens: int
     types: int
     once: int
-    mass: np.ndarray
-
-    def number(self, word: bytes) -> int:
-        found = self.short.get(word)
-        return len(self.short) + zlib.crc32(word[-3:]) % self.tails if found is None else found
 
-    def numbers(self, text: list[bytes]) -> list[int]:
-        short, n, tails, crc = self.short, len(self.short), self.tails, zlib.crc32
-        return [x if (x := short.get(w)) is not None else n + crc(w[-3:]) % tails for w in text]
-
-
-def vocabulary(counts: DataFrame, shortlist: int, tails: int, head: int) -> Vocabulary:
-    """From counts(word, n) over all training texts."""
-    sums = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()]
-    short = {w: i for i, (w, _) in enumerate(top[:shortlist])}
-    last = F.crc32(F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))) % tails
-    mass = np.zeros(tails)
-    for r in counts.groupBy(last.cast("int").alias("c")).agg(F.sum(F.col("n") + 0.5).alias("m")).collect():
+    @property
+    def end(self) -> int:
+        return self.head.slice(0, self.short).index(END).as_py()
+
+    def outputs(self, types: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(output, place in the head or -1) of each type."""
+        at = pc.fill_null(pc.index_in(types, value_set=self.head), -1).to_numpy().astype(np.int64)
+        tail = pc.binary_slice(types, -3, None).dictionary_encode()
+        own = pc.fill_null(pc.index_in(tail.dictionary, value_set=self.endings), -1).to_numpy()
+        hashed = np.array([len(self.endings) + zlib.crc32(x) % self.rest for x in tail.dictionary.to_pylist()], np.int64)
+        classes = np.where(own >= 0, own, hashed)[tail.indices.to_numpy()]
+        return np.where((at >= 0) & (at < self.short), at, self.short + classes), at
+
+
+def vocabulary(counts: DataFrame, shortlist: int, endings: int, rest: int, head: int) -> Vocabulary:
+    """From counts(word, n) over all training texts. The driver holds ``head`` words at most."""
+    step = F.floor(F.log2(F.col("n")) * 32)
+    levels = counts.groupBy(step.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).orderBy(F.desc("level")).collect()
+    total, types, once = (sum(r[c] for r in levels) for c in ("n", "words", "once"))
+    fit, held = 1 << 62, 0  # the least level down to which all words find room
+    for r in levels:
+        held += r["words"]
+        if held > head:
+            break
+        fit = r["level"]
+    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where((step >= fit) & (F.col("word") != END)).collect()), key=lambda x: (-x[1], x[0]))
+    ends = [r["n"] for r in counts.where(F.col("word") == END).collect()]
+    top.insert(min(len(top), shortlist - 1), (END, ends[0] if ends else 0))  # the end is an output, however rare
+    top[:shortlist] = sorted(top[:shortlist], key=lambda x: (-x[1], x[0]))
+    tail = counts.select("n", "word", F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word")).alias("ending"))
+    out = [w for w, _ in top[:shortlist]]
+    tail = tail.where(~F.col("word").isin(out)).groupBy("ending").agg(F.sum(F.col("n") + 0.5).alias("m"))
+    best = [bytes(r["ending"]) for r in tail.orderBy(F.desc("m"), "ending").limit(endings).collect()]
+    classes = counts.sparkSession.createDataFrame([(e, i) for i, e in enumerate(best)], "e binary, c int")  # ``endings`` rows at most
+    named = tail.join(F.broadcast(classes), F.col("ending") == F.col("e"), "left").groupBy(F.coalesce("c", (F.crc32("ending") % rest + len(best)).cast("int")).alias("c")).agg(F.sum("m").alias("m"))
+    mass = np.full(len(best) + rest, 0.5)
+    for r in named.collect():
         mass[r["c"]] = r["m"]
-    for w, n in top[:shortlist]:
-        mass[zlib.crc32(w[-3:]) % tails] -= n + 0.5
-    return Vocabulary(short, dict(top), tails, sums[0] or 0, sums[1] or 0, sums[2] or 0, np.maximum(mass, 0.5))
+    return Vocabulary(pa.array([w for w, _ in top], pa.binary()), np.array([n for _, n in top], float), min(shortlist, len(top)), pa.array(best, pa.binary()), rest, mass, total, types, once)
 
 
 @dataclass
 class Parameters:
+    """Vectors of context outputs and of targets, weights of the two places, biases; squares: Adagrad's sums for each."""
+
     context: np.ndarray
     target: np.ndarray
     place: np.ndarray
     bias: np.ndarray
+    squares: list[np.ndarray]
 
     @classmethod
     def first(cls, noise: np.ndarray, dim: int, seed: int) -> Parameters:
         r = np.random.default_rng(seed)
         n = len(noise)
-        return cls((r.standard_normal((n, dim)) * 0.1).astype("f4"), (r.standard_normal((n, dim)) * 0.1).astype("f4"), np.ones((2, dim), "f4"), np.log(noise).astype("f4"))
+        parts = (r.standard_normal((n, dim)) * 0.1).astype("f4"), (r.standard_normal((n, dim)) * 0.1).astype("f4"), np.ones((2, dim), "f4"), np.log(noise).astype("f4")
+        return cls(*parts, [np.zeros_like(x) for x in parts])
 
-    def parts(self) -> tuple[np.ndarray, ...]:
-        return self.context, self.target, self.place, self.bias
+    def parts(self) -> list[np.ndarray]:
+        return [self.context, self.target, self.place, self.bias, *self.squares]
 
-    def copy(self) -> Parameters:
-        return Parameters(*(x.copy() for x in self.parts()))
+    @classmethod
+    def of(cls, parts: list[np.ndarray]) -> Parameters:
+        return cls(*(x.astype("f4") for x in parts[:4]), [x.astype("f4") for x in parts[4:]])
 
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows added up by number: sorted, then in runs."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")  # 16 bits sort by radix
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     out = np.zeros((n, rows.shape[1]), "f4")
@@ -121,8 +172,8 @@ def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def train(p: Parameters, squares: list[np.ndarray], ids: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float, drawn: int = 32, batch: int = 4096) -> None:
-    """One NCE pass over rows of two context outputs and a target, in place, by Adagrad over ``squares``.
+def train(p: Parameters, ids: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float, drawn: int = 64, batch: int = 2048) -> None:
+    """One NCE pass over rows of two context outputs and a target, in place, by Adagrad.
 
     Each batch shares ``drawn`` noise outputs.
     """
@@ -135,11 +186,11 @@ def train(p: Parameters, squares: list[np.ndarray], ids: np.ndarray, noise: np.n
         r = v2 * p.place[0] + v1 * p.place[1]
         s = np.minimum(np.searchsorted(cdf, rng.random(drawn)), n - 1)
         own, other = p.target[w], p.target[s]
-        g = one - one / (one + np.exp(np.clip(log_noise[w] - p.bias[w] - np.einsum("ij,ij->i", r, own), -30, 30)))
-        h = r @ -other.T
-        h += log_noise[s] - p.bias[s]
-        np.clip(h, -30, 30, out=h)
-        np.exp(h, out=h)
+        with np.errstate(over="ignore"):  # e to a great power is infinite, its reciprocal zero
+            g = one - one / (one + np.exp(log_noise[w] - p.bias[w] - np.einsum("ij,ij->i", r, own)))
+            h = r @ -other.T
+            h += log_noise[s] - p.bias[s]
+            np.exp(h, out=h)
         h += one
         np.reciprocal(h, out=h)
         back = g[:, None] * own
@@ -150,37 +201,32 @@ def train(p: Parameters, squares: list[np.ndarray], ids: np.ndarray, noise: np.n
         np.add.at(bias, s, -h.sum(0))
         context = _summed(np.concatenate((c2, c1)), np.concatenate((back * p.place[0], back * p.place[1])), n)
         place = np.stack((np.einsum("ij,ij->j", back, v2), np.einsum("ij,ij->j", back, v1)))
-        for x, q, d in zip(p.parts(), squares, (context, target, place, bias)):
+        for x, q, d in zip(p.parts(), p.squares, (context, target, place, bias)):
             q += d * d
             x += np.float32(rate) * d / np.sqrt(q + np.float32(1e-6))
 
 
-def _rows(numbers: list[int], end: int) -> np.ndarray:
-    a = np.array([end, end, *numbers], np.int32)
-    return np.stack((a[:-2], a[1:-1], a[2:]), axis=1)
+def _rows(outputs: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
+    """Two context outputs and the target of each token; before a text stand two ends."""
+    c1 = np.concatenate(([end], outputs[:-1]))
+    c2 = np.concatenate(([end], c1[:-1]))
+    c2[ends[:-1]] = end  # the first token of each later text; its c1 is the end of the text before
+    return np.stack((c2, c1, outputs), axis=1).astype(np.int32)
 
 
 def _noise(v: Vocabulary) -> np.ndarray:
-    n = np.array([v.head[w] for w in v.short] + v.mass.tolist(), float)
+    n = np.concatenate((np.maximum(v.counts[: v.short], 0.5), v.mass))
     return n / n.sum()
 
 
-def _trained(batches: Iterator[pa.RecordBatch], v: Vocabulary, start: Parameters, squares: list[np.ndarray], seed: int, rate: float) -> Iterator[pa.RecordBatch]:
-    """What one task makes of the parameters: (weight, parameters) if it read any text."""
-    p, noise, end, seen = start.copy(), _noise(v), v.short[END], 0
-    squares = [x.copy() for x in squares]
+def _trained(batches: Iterator[pa.RecordBatch], v: Vocabulary, start: list[np.ndarray], seed: int, rate: float) -> Iterator[pa.RecordBatch]:
+    """What one task makes of the parameters: (weight, parts) if it read any text."""
+    p, noise, end, seen = Parameters.of(start), _noise(v), v.end, 0
     rng = np.random.default_rng(seed)
-    kept: list[np.ndarray] = []
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            kept.append(_rows(v.numbers(words(t)), end))
-            if sum(map(len, kept[-64:])) > 200_000 or len(kept) >= 512:
-                seen += sum(map(len, kept))
-                train(p, squares, np.concatenate(kept), noise, rng, rate)
-                kept = []
-    if kept:
-        seen += sum(map(len, kept))
-        train(p, squares, np.concatenate(kept), noise, rng, rate)
+    for b in _slices(batches):
+        numbers, types, ends = tokens(b.column(0))
+        seen += len(numbers)
+        train(p, _rows(v.outputs(types)[0][numbers], ends, end), noise, rng, rate)
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([pickle.dumps(p.parts())], pa.binary())], names=["weight", "parts"])
 
@@ -195,25 +241,18 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([pickle.dumps([(x / weight).astype("f4") for x in sums])], pa.binary())], names=["weight", "parts"])
 
 
-def fit(texts: DataFrame, v: Vocabulary, dim: int = 16, warm: int = 200, warm_passes: int = 6, seed: int = 42, rate: float = 0.1) -> Parameters:
-    """Parameters from texts(text). The start comes from the ``warm`` texts of smallest hash, then one pass over all."""
-    noise, rng = _noise(v), np.random.default_rng(seed)
-    p = Parameters.first(noise, dim, seed)
-    fit_ = texts.where(F.length("text").between(200, 20_000)).withColumn("h", F.xxhash64("text"))
-    least = [r["h"] for r in fit_.select("h").distinct().orderBy("h").limit(warm).collect()]
-    some = fit_.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if least else []
-    rows = [_rows(v.numbers(words(bytes(r["text"]))), v.short[END]) for r in some]
-    squares = [np.zeros_like(x) for x in p.parts()]
-    for _ in range(warm_passes if rows else 0):
-        train(p, squares, np.concatenate(rows), noise, rng, rate)
-    each = texts.mapInArrow(partial(_trained, v=v, start=p, squares=squares, seed=seed, rate=rate), "weight double, parts binary")
-    # averages of averages, so that no task and not the driver holds all tasks' parameters
-    mixed = written(each, "trained").repartition(16).mapInArrow(_averaged, "weight double, parts binary")
-    got = [(r["weight"], pickle.loads(r["parts"])) for r in mixed.collect()]
-    if not got:
-        return p
-    total = sum(w for w, _ in got)
-    return Parameters(*(sum(w / total * x[i] for w, x in got).astype("f4") for i in range(4)))
+def fit(texts: DataFrame, v: Vocabulary, dim: int = 16, first: int = 8, seed: int = 42, rate: float = 0.1) -> Parameters:
+    """Parameters from texts(text): a round over one text in ``first`` by hash, then one over all."""
+    parts = Parameters.first(_noise(v), dim, seed).parts()
+    for some in (texts.where(F.pmod(F.xxhash64("text"), F.lit(first)) == 0), texts):
+        each = some.mapInArrow(partial(_trained, v=v, start=parts, seed=seed, rate=rate), "weight double, parts binary")
+        # averages of averages, so that no task and not the driver holds all tasks' parameters
+        mixed = written(each, "trained").repartition(16).mapInArrow(_averaged, "weight double, parts binary")
+        got = [(r["weight"], pickle.loads(r["parts"])) for r in mixed.collect()]
+        total = sum(w for w, _ in got)
+        if got:
+            parts = [sum(w / total * x[i] for w, x in got) for i in range(len(parts))]
+    return Parameters.of(parts)
 
 
 class Normaliser:
@@ -229,13 +268,19 @@ class Normaliser:
         n, p = len(self.p.bias), self.p
         at = rows[:, 0].astype(np.int64) * n + rows[:, 1]
         fresh = np.unique(at[np.isnan(self.known[at])])
-        for k in range(0, len(fresh), 4096):
-            c = fresh[k : k + 4096]
-            z = (self.parts[0][c // n] + self.parts[1][c % n]) @ p.target.T + p.bias
-            top = z.max(1)
-            self.known[c] = top + np.log(np.exp(z - top[:, None]).sum(1))
-        r = self.parts[0][rows[:, 0]] + self.parts[1][rows[:, 1]]
-        return ((r * p.target[rows[:, 2]]).sum(1) + p.bias[rows[:, 2]] - self.known[at]).astype(float)
+        for k in range(0, len(fresh), 128):  # so that a block stays in the processor's cache
+            c = fresh[k : k + 128]
+            z = (self.parts[0][c // n] + self.parts[1][c % n]) @ p.target.T
+            z += p.bias
+            top = z.max(1, keepdims=True)
+            z -= top
+            np.exp(z, out=z)
+            self.known[c] = top[:, 0] + np.log(z.sum(1))
+        out = p.bias[rows[:, 2]] - self.known[at].astype(float)
+        for k in range(0, len(rows), 1 << 16):
+            c2, c1, w = rows[k : k + (1 << 16)].T
+            out[k : k + (1 << 16)] += np.einsum("ij,ij->i", self.parts[0][c2] + self.parts[1][c1], p.target[w])
+        return out
 
 
 def _scored(batches: Iterator[pa.RecordBatch], v: Vocabulary, p: Parameters) -> Iterator[pa.RecordBatch]:
@@ -244,62 +289,51 @@ def _scored(batches: Iterator[pa.RecordBatch], v: Vocabulary, p: Parameters) ->
     n: occurrences; known, base and score: what is certain of the text; of a word the score if it is known, without
     its count's logarithm.
     """
-    norm, end = Normaliser(p), v.short[END]
-    log10 = np.log(10.0)
+    norm, end = Normaliser(p), v.end
     seen = np.log10(max(1e-12, 1 - v.once / max(1, v.tokens))) if v.once < v.tokens else -0.30103
     tail = seen - np.log10(v.mass)
     bottom = np.log10(v.tokens + 0.5 * (v.types + 1))
-    head, short = {w: np.log10(n + 0.5) for w, n in v.head.items()}, len(v.short)
+    logs = np.append(np.log10(v.counts + 0.5), np.nan)
     names = ["id", "row", "word", "n", "n_tokens", "n_known", "base", "score"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    for b in batches:
-        texts = b.column(2).to_pylist()
-        ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for first in range(0, len(texts), 256):
-            out: list[list] = [[] for _ in names]
-            part = [words(t) for t in texts[first : first + 256]]
-            rows = [_rows(v.numbers(w), end) for w in part]
-            lp = norm.log_prob(np.concatenate(rows)) / log10
-            at = 0
-            for i, w in enumerate(part):
-                own, ws = lp[at : at + len(w)], rows[i][:, 2]
-                at += len(w)
-                is_short = ws < short
-                value = own + np.where(is_short, seen, tail[np.maximum(ws - short, 0)])
-                logs = np.array([head.get(x, np.nan) for x in w])
-                open_ = np.isnan(logs)
-                sure = ~open_
-                score = float(value[sure].sum() + logs[sure & ~is_short].sum())
-                line = (ids[first + i], keys[first + i], b" %d" % keys[first + i], 0, len(w), int(sure.sum()), float(logs[sure].sum()) - int(sure.sum()) * bottom, score)
-                for column, x in zip(out, line):
-                    column.append(x)
-                tally: dict[bytes, list] = {}
-                for k in np.flatnonzero(open_).tolist():
-                    entry = tally.setdefault(w[k], [0, 0.0])
-                    entry[0] += 1
-                    entry[1] += value[k]
-                for word, (n, s) in tally.items():
-                    for column, x in zip(out, (ids[first + i], keys[first + i], word, n, 0, 0, 0.0, float(s))):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-
-
-def scores(docs: DataFrame, training: Column, shortlist: int = 1000, tails: int = 64, head: int = 200_000, dim: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for b in _slices(batches):
+        numbers, types, ends = tokens(b.column(2))
+        out, at = v.outputs(types)
+        out, log = out[numbers], logs[at[numbers]]
+        value = norm.log_prob(_rows(out, ends, end)) / np.log(10.0)
+        value += np.where(out < v.short, seen, tail[np.maximum(out - v.short, 0)])
+        sure = ~np.isnan(log)
+        text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        known = np.bincount(text, sure, len(ends))
+        base = np.bincount(text, np.where(sure, log, 0), len(ends)) - known * bottom
+        score = np.bincount(text, np.where(sure, value + np.where(out < v.short, 0, log), 0), len(ends))
+        keys = b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip((b.column(0), b.column(1), [b" %d" % k for k in keys], np.zeros(len(ends), np.int64), np.diff(ends, prepend=0), known.astype(np.int64), base, score), kinds)], names=names
+        )
+        pair, back = np.unique(text[~sure] * len(types) + numbers[~sure], return_inverse=True)
+        at, zero = pair // len(types), np.zeros(len(pair), np.int64)
+        n, sums = np.bincount(back, minlength=len(pair)), np.bincount(back, value[~sure], len(pair))
+        for k in range(0, len(pair), 50_000):
+            cut = slice(k, k + 50_000)
+            own = pa.array(at[cut])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(own), b.column(1).take(own), types.take(pa.array(pair[cut] % len(types))), *(pa.array(x, t) for x, t in zip((n[cut], zero[cut], zero[cut], zero[cut].astype(float), sums[cut]), kinds[3:]))], names=names
+            )
+
+
+def scores(docs: DataFrame, training: Column, shortlist: int = 1000, endings: int = 256, rest: int = 64, head: int = 200_000, dim: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; log10 probabilities of the text.
 
     training: which rows to learn from. Null and empty texts hold the end alone. Repeated rows are learnt from and
-    scored each; a null id is a value like any other. If nothing is there to learn from, every token is unseen.
-    Words outside the head (the ``head`` most frequent) meet their counts by a join; very long texts are read whole.
-    An empty table gives an empty result.
+    scored each; a null id is a value like any other. If nothing is there to learn from, every token is unseen. Words
+    outside the head (the most frequent, ``head`` at most) meet their counts by a join; very long texts are read
+    whole. Equally frequent words go into the shortlist by their bytes. An empty table gives an empty result; other
+    columns of docs, whatever their names, are ignored.
     """
     texts = docs.where(training).select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counts = written(texts.mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    v = vocabulary(counts, shortlist, tails, head)
-    if END not in v.short:  # rare at most where texts are very long
-        if len(v.short) >= shortlist:
-            v.short.pop(next(reversed(v.short)))
-        v.short[END] = len(v.short)
-        v.head.setdefault(END, 0)
+    v = vocabulary(counts, shortlist, endings, rest, head)
     p = fit(texts, v, dim)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = "id long, row long, word binary, n long, n_tokens long, n_known long, base double, score double"
