@@ -55,7 +55,7 @@ def test_simhash_links_of_crowded_anchors(spark):
     centre = int(rng.integers(0, 2**63))
     fps = {centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(300)} | set(map(int, rng.integers(0, 2**63, 100)))
     fps = [f if f < 2**63 else f - 2**64 for f in fps]
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, cell=40).collect()
+    given = spark.createDataFrame([(f,) for f in fps], "fp long")
 
     def parts(pairs):
         root = {f: f for f in fps}
@@ -70,13 +70,34 @@ def test_simhash_links_of_crowded_anchors(spark):
         return {f: find(f) for f in fps}
 
     true = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
-    assert true and parts([(e["u"], e["v"]) for e in edges]) == parts(true)
+    assert true
+    for cell, wide in ((40, 1000), (2048, 1000), (2048, 1), (7, 1)):  # crowded anchors and not, three blocks and two
+        edges = simhash.links(given, 4, cell, wide).collect()
+        assert parts([(e["u"], e["v"]) for e in edges]) == parts(true), (cell, wide)
+
+
+def test_anchors_cover():
+    """Whatever differs in at most ``reach`` bits of a block is at home at one of the anchors."""
+    rng = np.random.default_rng(4)
+    for blocks, reach in ((simhash.FEW, 1), (simhash.MANY, 2)):
+        assert sum(b[1] + b[2] for b in blocks) >= 61
+        for block in blocks:
+            made = simhash.patterns(block, reach)
+            fps = rng.integers(0, 2**63, 300).astype(np.uint64)
+            others = fps.copy()
+            for i in range(len(fps)):
+                for bit in rng.choice(block[1] + block[2], reach, replace=False):
+                    others[i] ^= np.uint64(1 << int(bit) + block[0])
+            _, near = simhash.anchors(fps, block, made)
+            home, _ = simhash.anchors(others, block, made)
+            assert (near == home[:, None]).any(axis=1).all()
 
 
 def test_keep_one(spark):
     base = text(4, 2000)
-    kept = simhash.keep_one(docs(spark, [(1, base), (2, base), (3, text(5, 100)), (3, text(5, 100)), (None, base)]))
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3] and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    kept = simhash.keep_one(docs(spark, [(1, base), (2, base), (3, text(5, 100)), (3, text(5, 100)), (None, base), (3, text(6, 100)), (1, text(8, 50)), (9, text(8, 50)), (10, None), (11, ""), (12, " ")]))
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 1, 3, 3, 10] and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
 def jaccard(a, b, width=5):
@@ -100,7 +121,7 @@ def test_keep_one_of_edited_copies(spark):
             part[a] = part[b] = min(part[a], part[b])
     assert sum(1 for a, b in pairs if jaccard(rows[a][1], rows[b][1]) < 0.9) > 30
     for follow in (32, 2):
-        got = {r["id"]: r["component"] for r in simhash.near_groups(docs(spark, rows), follow=follow).collect()}
+        got = {r["id"]: r["component"]["id"] for r in simhash.near_groups(docs(spark, rows), follow=follow).collect()}
         assert got == part
     kept = simhash.keep_one(docs(spark, rows)).collect()
     assert {r["doc_id"] for r in kept} == set(part.values())

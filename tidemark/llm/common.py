@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where unset."""
+    """The folder that driver and executors share; in local mode a temporary one where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,7 +35,35 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done._written_to = path
+    return done
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the folder of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key is hot if it holds more than this share of a table's rows; so there are few hot keys, and they may be broadcast.
+HOT = 1000
+
+
+def keyed(rows: DataFrame, known: DataFrame, key: str, count: str, keep: bool = False) -> DataFrame:
+    """rows joined to known, which has one row for each of its keys and tells in ``count`` how many rows have it.
+
+    A hot key's rows stay where they are and meet known by broadcast, HOT rows at most; all others are shuffled by key.
+    """
+    total = known.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    few = known.where(hot)
+    many = known.where(~hot)
+    if not keep:
+        few, many = few.drop(count), many.drop(count)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from functools import partial
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,49 +71,73 @@ def alone(text: str, start: int, end: int) -> bool:
     return not (start and joins(text[start - 1], text[start]) or end < len(text) and joins(text[end - 1], text[end]))
 
 
+class Finder:
+    """Finds a block of items (id, normalised text, error budget) in texts."""
+
+    def __init__(self, items: list[tuple[int | None, str, int]], least: int):
+        found: dict[str, list[tuple[int, int]]] = {}
+        for n, (_, item, k) in enumerate(items):
+            for at, piece in pieces(item, k):
+                found.setdefault(piece, []).append((n, at))
+        self.items, self.least, self.masks = items, least, {}
+        self.tree = ahocorasick.Automaton()
+        for piece, where in found.items():
+            self.tree.add_word(piece, (len(piece), where))
+        self.tree.make_automaton()
+
+    def find(self, raw: str | None, any_: bool = False) -> dict[int, tuple[int, int]]:
+        """Of each item that the text holds: (distance, end); with any_ the first one found is enough."""
+        text, items = normal(raw), self.items
+        best: dict[int, tuple[int, int]] = {}
+        done: dict[int, int] = {}
+        for stop, (size, where) in self.tree.iter(text):
+            for n, at in where:
+                item, k = items[n][1:]
+                if best.get(n, (k + 1, 0))[0] == 0:
+                    continue
+                start = stop + 1 - size - at  # of the item, if no letter came or went before the piece
+                if done.get(n) == start:
+                    continue
+                done[n] = start
+                if len(item) < self.least and not alone(text, start, start + len(item)):
+                    continue
+                if 0 <= start and text.startswith(item, start):
+                    best[n] = (0, start + len(item))
+                else:
+                    left = max(0, start - k)
+                    if n not in self.masks:
+                        self.masks[n] = peq(item)
+                    d, end = nearest(self.masks[n], len(item), text[left : start + len(item) + k])
+                    if d <= k and d < best.get(n, (k + 1, 0))[0]:
+                        best[n] = (d, left + end)
+                if any_ and best:
+                    return best
+        return best
+
+
 def _matched(batches: Iterator[pa.RecordBatch], items: list[tuple[int | None, str, int]], least: int) -> Iterator[pa.RecordBatch]:
-    found: dict[str, list[tuple[int, int]]] = {}
-    for n, (_, item, k) in enumerate(items):
-        for at, piece in pieces(item, k):
-            found.setdefault(piece, []).append((n, at))
-    tree = ahocorasick.Automaton()
-    for piece, where in found.items():
-        tree.add_word(piece, (len(piece), where))
-    tree.make_automaton()
-    masks: dict[int, dict[str, int]] = {}
+    finder = Finder(items, least)
     kind = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())])
     for b in batches:
         out: list[list] = [[], [], [], []]
         for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            text = normal(raw)
-            best: dict[int, tuple[int, int]] = {}
-            done: dict[int, int] = {}
-            for stop, (size, where) in tree.iter(text):
-                for n, at in where:
-                    item, k = items[n][1:]
-                    if best.get(n, (k + 1, 0))[0] == 0:
-                        continue
-                    start = stop + 1 - size - at  # of the item, if no letter came or went before the piece
-                    if done.get(n) == start:
-                        continue
-                    done[n] = start
-                    if len(item) < least and not alone(text, start, start + len(item)):
-                        continue
-                    if 0 <= start and text.startswith(item, start):
-                        best[n] = (0, start + len(item))
-                        continue
-                    left = max(0, start - k)
-                    if n not in masks:
-                        masks[n] = peq(item)
-                    d, end = nearest(masks[n], len(item), text[left : start + len(item) + k])
-                    if d <= k and d < best.get(n, (k + 1, 0))[0]:
-                        best[n] = (d, left + end)
-            for n, (d, end) in best.items():
+            for n, (d, end) in finder.find(raw).items():
                 for column, x in zip(out, (doc, items[n][0], d, end)):
                     column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kind)], schema=kind)
 
 
+def _blocks(benchmark: DataFrame, rate: float, least: int, block_chars: int) -> Iterator[list[tuple[int | None, str, int]]]:
+    """The items in blocks of about ``block_chars`` characters, one at a time in the driver; those without text are left out."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    for i in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
+        own = sorted(((r["item_id"], t, budget(t, rate, least)) for r in part.collect() if (t := normal(r["text"]))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if own:
+            yield own
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 40, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, distance, end) for each row of docs and item that it holds within the item's error budget.
 
@@ -122,23 +147,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: in
     text's verified windows; end: where the first such place ends in the normalised text. Items with equal texts
     each match; repeated item ids with different texts each count; repeated rows of docs each give rows. Items are
     taken in blocks of at most ``block_chars`` characters, one pass over docs for each block, so that no automaton
-    grows with the benchmark; very long texts are searched whole.
+    grows with the benchmark; very long texts are searched whole. An empty table on either side gives an empty
+    result; other columns of docs, whatever their names, are ignored.
     """
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = None
-    for i in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        own = sorted(((r["item_id"], t, budget(t, rate, least)) for r in part.collect() if (t := normal(r["text"]))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        if not own:
-            continue
+    for own in _blocks(benchmark, rate, least, block_chars):
         hit = rows.mapInArrow(partial(_matched, items=own, least=least), "id long, item_id long, distance int, end long")
         out = hit if out is None else out.unionByName(hit)
     return rows.limit(0).select("id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("end")) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a test item, with all columns; rows with a null id stay."""
-    bad = matches(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("id").alias("__id")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["__id"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 40, block_chars: int = 2_000_000, text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a test item, with all columns, as ``matches`` finds them.
+
+    Each row is judged by its own text in one pass, whatever its id: a null or repeated id changes nothing.
+    """
+
+    def clean(own: list[tuple[int | None, str, int]]) -> Column:
+        @F.pandas_udf("boolean")
+        def judged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            finder = Finder(own, least)
+            for texts in parts:
+                yield texts.map(lambda t: not finder.find(t, any_=True)).astype(bool)
+
+        return judged(F.col(text_col))
+
+    for own in _blocks(benchmark, rate, least, block_chars):
+        docs = docs.where(clean(own))
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(u, v) other than the roots; a root is its component's smallest node.
 
     Nulls and self-links are ignored; an empty table gives an empty result. Each round is a written table,
-    so a lost executor costs at most one round; the rounds grow with the logarithm of the longest chain.
+    so a lost executor costs at most one round; the rounds grow with the logarithm of the longest chain. A round's
+    table is removed when the next one stands.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
@@ -34,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == mark or not sign[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = sign
-        now = written(_small_star(_large_star(now)), "edges")
+        mark, before = sign, now
+        now = written(_small_star(_large_star(before)), "edges")
+        forget(before)

@@ -1,25 +1,28 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Targets are shared out by weight and capped at ``passes`` times a source's size. Blocks of ``block`` words are
-allocated to sources by highest quotients target / (2a + 1), and each source's blocks to its shards by highest
-quotients size / (2a + 1). A shard's documents stand in seeded order as one run of words; its quota takes the run's
+allocated to sources by highest quotients target / (2a + 1), each source's blocks to its groups of shards, and each
+group's to its shards, by highest quotients size / (2a + 1). A shard's documents stand in seeded order as one run of words; its quota takes the run's
 first blocks, again from the start after a whole pass.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD
+from .common import WORD, written
 
 
 #: Sources up to which their plan, one row for each, is broadcast; beyond, the plan is joined by a shuffle.
 BROADCAST = 10_000
+#: Shards of a group; a group's shards, or a source's groups, are one task's at most.
+GROUP = 4096
 
 
 def words(text: Column) -> Column:
@@ -83,11 +86,11 @@ def apportion(claims: list[float], seats: int) -> list[int]:
     return got
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Quotas of one source's shards."""
-    pdf = pdf.sort_values("shard")
-    pdf["blocks"] = apportion(pdf["shard_size"].astype(float).tolist(), int(pdf["source_blocks"].iloc[0]))
-    return pdf[["key", "shard", "shard_size", "blocks"]]
+def _shared(pdf: pd.DataFrame, part: str) -> pd.DataFrame:
+    """Blocks of the parts among which the rows' common number of blocks is shared by size."""
+    pdf = pdf.sort_values(part)
+    pdf["blocks"] = apportion(pdf["size"].astype(float).tolist(), int(pdf["of"].iloc[0]))
+    return pdf.drop(columns="of")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), block: int = 64, passes: int = 3, seed: int = 42, shard_docs: int = 400, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -97,15 +100,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), block: int = 64
     document's taken words are its overlap with the blocks that its shard takes, at most ``passes`` times its size.
     Null and empty texts have size 0 and give 0 words; a source without words gets target 0. Repeated rows count
     each. The order in a shard is by a seeded hash of id and text, then id; equal rows share one interval's parts in
-    any order. An empty table gives an empty result. The driver holds one row for each source, one task the shards
-    (``shard_docs`` rows each) of one source; a document belongs to one shard, so a hot source spreads over many.
+    any order. An empty table gives an empty result; other columns, whatever their names, are ignored. The driver
+    holds one row for each source, a task 4,096 shards (``shard_docs`` rows each) of a source; a document belongs to
+    one shard, so a hot source spreads over many. Very long texts are counted whole.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         words(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("mix"),
-    ).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    )
+    rows = written(rows, "sizes").withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))  # texts are read once
     spark = docs.sparkSession
     found = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (not r["key"], r["key"]))  # Python's order of str is by code point
@@ -117,8 +122,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), block: int = 64
         "key string, source_size long, target double, source_blocks long, shards long",
     )
     dealt = rows.join(F.broadcast(plan) if len(found) <= BROADCAST else plan, "key").withColumn("shard", F.pmod(F.xxhash64("mix"), F.col("shards")))
-    shards = dealt.groupBy("key", "shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
-    quota = shards.groupBy("key").applyInPandas(_shared, "key string, shard long, shard_size long, blocks long")
+    shards = dealt.groupBy("key", "shard", F.floor(F.col("shard") / GROUP).alias("grp"), "source_blocks").agg(F.sum("size").alias("size"))
+    shards = written(shards, "shards")
+    groups = shards.groupBy("key", "grp", F.col("source_blocks").alias("of")).agg(F.sum("size").alias("size"))
+    groups = groups.groupBy("key").applyInPandas(partial(_shared, part="grp"), "key string, grp long, size long, blocks long")
+    quota = shards.join(groups.select("key", "grp", F.col("blocks").alias("of")), ["key", "grp"]).select("key", "grp", "shard", "size", "of")
+    quota = quota.groupBy("key", "grp").applyInPandas(partial(_shared, part="shard"), "key string, grp long, shard long, size long, blocks long")
+    quota = quota.select("key", "shard", F.col("size").alias("shard_size"), "blocks")
     line = Window.partitionBy("key", "shard").orderBy("mix", "id")
     start = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = dealt.withColumn("start", start).join(quota, ["key", "shard"])

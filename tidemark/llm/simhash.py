@@ -1,35 +1,38 @@
 """SimHash near-duplicate groups, found by covering-code anchors.
 
-Two fingerprints within ``threshold`` bits differ in at most threshold // 3 bits of one of three blocks of the 64
-bits. Each block has a covering code: Golay [23,12] (radius 3) twice, and Hamming [15,11] beside three plain bits
-(radius 1). A fingerprint is at home at one anchor (code word) within the covering radius of its block, and is
-replicated to every anchor within radius plus block threshold; whatever links to it is therefore at home at one of
-these anchors. Fingerprints are compared per anchor, whole and exactly. A crowded anchor is dealt out over a grid of
-cells, home parts by replica parts, so that no task holds an unbounded group, and a cell returns a spanning forest
-of its links, never all pairs.
+The 64 bits fall into blocks, so that two fingerprints within ``threshold`` bits differ in at most threshold // blocks
+bits of one of them. A block's first bits have a covering code (Golay [23,12], radius 3, or Hamming [15,11], radius 1);
+what is left stands plain beside the code word. A fingerprint is at home at one anchor (code word and plain bits) within
+the covering radius, and is replicated to every anchor within radius plus block threshold; whatever links to it is
+therefore at home at one of these anchors. Fingerprints are compared per anchor, whole and exactly. A crowded anchor
+is dealt out over a grid of cells, home parts by replica parts, so that no task holds an unbounded group, and a cell
+returns a spanning forest of its links, never all pairs. Three blocks have 24,576 anchors; for many fingerprints two
+blocks with 4 million anchors keep the homes at an anchor few. Either finds every link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keyed, written
 from .graph import components
 
-#: First bit and width of each block.
-BLOCKS = ((0, 23), (23, 23), (46, 18))
+#: First bit, coded bits, plain bits and covering radius of each block, for few and for many fingerprints.
+FEW = ((0, 23, 0, 3), (23, 23, 0, 3), (46, 15, 3, 1))
+MANY = ((0, 23, 9, 3), (32, 23, 9, 3))
+#: Fingerprints from which on MANY is used.
+WIDE = 4_000_000
 #: Fixed value: the generator polynomial of the binary Golay code [23,12,7].
 GOLAY = 0b110001110101
-RADIUS = (3, 3, 1)
-#: Home or replica rows of one cell at most, on average over a crowded anchor.
+#: Home or replica rows of one cell at most, on average over an anchor's grid.
 CELL = 2048
 
 
@@ -68,38 +71,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(partial(_fingerprint_batches, width=width), "id long, fp long")
 
 
-@lru_cache
-def _patterns(block: int, reach: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Syndromes of the block's bits; the home error of each syndrome; error patterns of up to radius + reach bits, padded with -1."""
-    width = BLOCKS[block][1]
-    if block < 2:
+Block = tuple[int, int, int, int]
+
+
+def patterns(block: Block, reach: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Syndromes of the coded bits; the home error of each syndrome; errors of up to radius + reach bits, padded with -1.
+
+    An error that takes plain bits leaves that much less of reach to the coded ones.
+    """
+    _, coded, plain, radius = block
+    if coded == 23:
         of_bit = []
-        for i in range(width):
+        for i in range(coded):
             rest = 1 << i
             for k in range(i, 10, -1):
                 if rest >> k & 1:
                     rest ^= GOLAY << (k - 11)
             of_bit.append(rest)
     else:
-        of_bit = [*range(1, 16), 0, 0, 0]
-    by: dict[int, list[int]] = {}
-    for weight in range(RADIUS[block] + reach + 1):
-        for bits in combinations(range(width), weight):
+        of_bit = [*range(1, coded + 1)]
+    by: dict[int, list[tuple[int, int]]] = {}
+    for weight in range(radius + reach + 1):
+        for bits in combinations(range(coded), weight):
             s = e = 0
             for i in bits:
                 s, e = s ^ of_bit[i], e | 1 << i
-            by.setdefault(s, []).append(e)
-    table = np.full((max(by) + 1, max(map(len, by.values()))), -1, np.int64)
-    for s, errors in by.items():
+            by.setdefault(s, []).append((weight, e))
+    flips = [(n, sum(1 << coded + i for i in bits)) for n in range(reach + 1) for bits in combinations(range(plain), n)]
+    rows = {s: [e | f for n, f in flips for weight, e in errors if weight <= radius + reach - n] for s, errors in by.items()}
+    table = np.full((max(rows) + 1, max(map(len, rows.values()))), -1, np.int64)
+    for s, errors in rows.items():
         table[s, : len(errors)] = errors
     return of_bit, table[:, 0].copy(), table
 
 
-def anchors(fps: np.ndarray, block: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each fingerprint: its home anchor, and all anchors within covering radius plus reach (-1: padding)."""
-    first, width = BLOCKS[block]
-    word = (fps >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64)
-    of_bit, home, table = _patterns(block, reach)
+def anchors(fps: np.ndarray, block: Block, made: tuple[list[int], np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fingerprint: its home anchor, and all anchors within covering radius plus reach (-1: padding); made: the block's patterns."""
+    first, coded, plain, _ = block
+    word = (fps >> np.uint64(first) & np.uint64((1 << coded + plain) - 1)).astype(np.int64)
+    of_bit, home, table = made
     s = np.zeros(len(word), np.int64)
     for i, x in enumerate(of_bit):
         s ^= (word >> i & 1) * x
@@ -112,35 +122,43 @@ def _mixed(fps: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)).astype(np.uint64)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], reach: int, grid: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """(cell, fp, home, replica) rows. grid: parts of homes and of replicas at crowded anchors."""
+def _cells(batches: Iterator[pa.RecordBatch], blocks: tuple[Block, ...], reach: int, common: tuple[int, int], grid: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """(anchor, part, fp, home, near) rows. common: parts of homes and of replicas at an anchor; grid: those of crowded anchors."""
+    made = [patterns(block, reach) for block in blocks]
     crowded = np.array(sorted(grid), np.int64)
+    sizes = np.array([grid[a] for a in crowded.tolist()], np.int64).reshape(-1, 2)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+
+    def told(anchor: np.ndarray, part: np.ndarray, fp: np.ndarray, home: np.ndarray | bool, near: bool) -> Iterator[pa.RecordBatch]:
+        columns = [np.broadcast_to(x, len(anchor)) for x in (anchor, part, fp.view(np.int64), home, near)]
+        for k in range(0, len(anchor), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000], t) for x, t in zip(columns, kinds)], names=["anchor", "part", "fp", "home", "near"])
+
     for b in batches:
-        fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for block in range(3):
-            home, near = anchors(fps, block, reach)
-            row, col = np.nonzero(near >= 0)
-            at = near[row, col]
-            cell, fp, is_home = at | block << 24, fps[row], at == home[row]
-            hot = np.isin(cell, crowded)
-            out = [(cell[~hot] << 32, fp[~hot], is_home[~hot], np.ones((~hot).sum(), bool))]
-            for c in np.unique(cell[hot]).tolist():
-                p, q = grid[c]
-                here = cell == c
-                some, mix = fp[here], _mixed(fp[here])
-                part = (mix % np.uint64(q)).astype(np.int64)
-                for i in range(p):
-                    out.append((c << 32 | i << 16 | part, some, np.zeros(len(some), bool), np.ones(len(some), bool)))
-                some, mix = some[is_home[here]], mix[is_home[here]]
-                part = (mix % np.uint64(p)).astype(np.int64)
-                for j in range(q):
-                    out.append((c << 32 | part << 16 | j, some, np.ones(len(some), bool), np.zeros(len(some), bool)))
-            for cell_, fp_, home_, near_ in out:
-                for k in range(0, len(cell_), 50_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell_[k : k + 50_000]), pa.array(fp_[k : k + 50_000].view(np.int64)), pa.array(home_[k : k + 50_000]), pa.array(near_[k : k + 50_000])],
-                        names=["cell", "fp", "home", "near"],
-                    )
+        every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for at_once in range(0, len(every), 8192):
+            fps = every[at_once : at_once + 8192]
+            for number, block in enumerate(blocks):
+                home, close = anchors(fps, block, made[number])
+                row, col = np.nonzero(close >= 0)
+                anchor, fp, is_home = close[row, col] | number << 40, fps[row], close[row, col] == home[row]
+                place = np.minimum(np.searchsorted(crowded, anchor), max(0, len(crowded) - 1))
+                hot = crowded[place] == anchor if len(crowded) else np.zeros(len(anchor), bool)
+                p, q = (np.where(hot, sizes[place, i], common[i]) if len(crowded) else np.full(len(anchor), common[i]) for i in (0, 1))
+                mix = _mixed(fp)
+                whole = (p == 1) & (q == 1)
+                yield from told(anchor[whole], np.int64(0), fp[whole], is_home[whole], True)
+                # a home part i and a replica part j meet in the cell i * q + j
+                some = ~whole
+                replica = (mix[some] % q[some].astype(np.uint64)).astype(np.int64)
+                for i in range(int(p[some].max()) if some.any() else 0):
+                    on = p[some] > i
+                    yield from told(anchor[some][on], (i * q[some] + replica)[on], fp[some][on], False, True)
+                some = ~whole & is_home
+                own = (mix[some] % p[some].astype(np.uint64)).astype(np.int64)
+                for j in range(int(q[some].max()) if some.any() else 0):
+                    on = q[some] > j
+                    yield from told(anchor[some][on], (own * q[some] + j)[on], fp[some][on], True, False)
 
 
 def _forest(homes: np.ndarray, near: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +184,15 @@ def _forest(homes: np.ndarray, near: np.ndarray, threshold: int) -> tuple[np.nda
 
 
 def _links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of each cell; the rows of a cell come one after the other."""
+    """Spanning edges of each cell (anchor, part); the rows of a cell come one after the other."""
+
+    def starts(cells: np.ndarray) -> list[int]:
+        return [0, *(np.flatnonzero((np.diff(cells, axis=0) != 0).any(axis=1)) + 1).tolist()]
 
     def compared(parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cell, fp, home, near = (np.concatenate(x) for x in zip(*parts))
-        cuts = np.flatnonzero(np.diff(cell)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
+        cuts = starts(cell)
+        for a, b in zip(cuts, [*cuts[1:], len(cell)]):
             if b - a > 1 and home[a:b].any():
                 u, v = _forest(fp[a:b][home[a:b]], fp[a:b][near[a:b]], threshold)
                 if len(u):
@@ -183,38 +204,39 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Rec
 
     kept: list[tuple[np.ndarray, ...]] = []
     for b in batches:
-        now = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(now[0]):
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        if not len(columns[0]):
             continue
-        now = (now[0], now[1].view(np.uint64), now[2].astype(bool), now[3].astype(bool))
-        last = np.searchsorted(now[0], now[0][-1])
+        now = (np.stack(columns[:2], axis=1), columns[2].view(np.uint64), columns[3].astype(bool), columns[4].astype(bool))
+        if kept and (kept[0][0][0] != now[0][0]).any():
+            if edges := list(compared(kept)):
+                yield batch(edges)
+            kept = []
+        last = starts(now[0])[-1]
         if last:  # the last cell may go on in the next batch
-            edges = list(compared([*kept, tuple(x[:last] for x in now)]))
-            kept = [tuple(x[last:] for x in now)]
-            if edges:
+            if edges := list(compared([*kept, tuple(x[:last] for x in now)])):
                 yield batch(edges)
-        else:
-            if kept and kept[0][0][0] != now[0][0]:
-                if edges := list(compared(kept)):
-                    yield batch(edges)
-                kept = []
-            kept.append(now)
+            kept = []
+        kept.append(tuple(x[last:] for x in now))
     if kept and (edges := list(compared(kept))):
         yield batch(edges)
 
 
-def links(fps: DataFrame, threshold: int = 4, cell: int = CELL) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 4, cell: int = CELL, wide: int = WIDE) -> DataFrame:
     """Spanning edges (u, v) of the links between distinct fingerprints of fps(fp); no link between texts is lost."""
-    reach = threshold // len(BLOCKS)
     one = fps.select("fp").where("fp is not null")
-
-    def dealt(grid: dict[int, tuple[int, int]]) -> DataFrame:
-        return one.mapInArrow(partial(_cells, reach=reach, grid=grid), "cell long, fp long, home boolean, near boolean")
-
-    # at most one row for each code word: 4,096 + 4,096 + 16,384
-    counts = dealt({}).groupBy((F.col("cell") / 2**32).cast("long").alias("cell")).agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("near"))
-    grid = {r["cell"]: (-(-r["homes"] // cell) or 1, -(-r["near"] // cell)) for r in counts.where(F.col("near") > cell).collect()}
-    rows = dealt(grid).repartition("cell").sortWithinPartitions("cell")
+    blocks = FEW if one.count() <= wide else MANY
+    reach = threshold // len(blocks)
+
+    def dealt(common: tuple[int, int], grid: dict[int, tuple[int, int]]) -> DataFrame:
+        return one.mapInArrow(partial(_cells, blocks=blocks, reach=reach, common=common, grid=grid), "anchor long, part long, fp long, home boolean, near boolean")
+
+    counts = written(dealt((1, 1), {}).groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("near")), "anchors")
+    mean = counts.agg(F.avg("homes"), F.avg("near")).first()
+    common = tuple(-(-int(x or 0) // cell) or 1 for x in mean)
+    # less than a quarter of the anchors hold four times the mean: 6,144 or 1 million rows
+    grid = {r["anchor"]: (-(-r["homes"] // cell) or 1, -(-r["near"] // cell)) for r in counts.where(F.col("near") > 4 * max(cell // 4, mean[1] or 0)).collect()}
+    rows = dealt(common, grid).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return rows.mapInArrow(partial(_links, threshold=threshold), "u long, v long").distinct()
 
 
@@ -228,18 +250,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     columns other than the two named are ignored. Very long texts are hashed whole, 65,536 shingles at a time.
     """
     rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "nodes")
     return _grouped(rows, nodes, written(components(links(nodes, threshold)), "roots"))
 
 
 def _grouped(rows: DataFrame, nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """(id, fp, component): rows(id, fp) with the smallest id of their component; nodes(fp, least); tree(node, root)."""
+    """rows(fp, ...) with a column component, the least of their component; nodes(fp, least, rows); tree(node, root)."""
     whole = tree.union(tree.select("root", "root")).distinct()
     ids = nodes.join(whole, nodes["fp"] == whole["node"]).select("fp", "least", "root")
     least = ids.groupBy("root").agg(F.min("least").alias("component"))
     linked = ids.join(least, "root").select("fp", "component")
-    known = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return rows.join(known, "fp").select("id", "fp", "component")
+    known = nodes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component", "least").alias("component"))
+    return keyed(rows, written(known, "components"), "fp", "rows")
 
 
 def hex16(fp: Column) -> Column:
@@ -251,6 +273,8 @@ BANDS, DEPTH = 20, 5
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * DEPTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 #: In a bucket each set is compared with so many that follow it; buckets with as many sets or fewer are compared whole.
 FOLLOW = 32
+#: Sets of a run of a bucket's order; a run is one task's at most.
+RUN = 65_536
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -266,7 +290,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, DEPTH))] if len(have) else [])
         ends = np.concatenate(([0], np.cumsum([len(x) for x in bands], dtype=np.int64)))
         keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(sum(bands, []), np.uint64).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), keys], names=["id", "fp", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), keys], names=["id", "h", "fp", "n", "bands"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -287,48 +311,57 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, alike: float) -> Data
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8, follow: int = FOLLOW) -> DataFrame:
-    """(id, fp, component) for each row of docs: groups of texts linked by Jaccard similarity ``alike`` or more of their sets of shingles.
-
-    fp: hash of the set. Candidates share a band of MinHash minima; every link is verified on the whole sets. First
-    each set is compared with the smallest of its buckets, then, in buckets that hold more than one group, with the
-    ``follow`` sets after it in an order of the bucket's own, where these are of another group. Null texts count as
-    empty, and texts without words are one group; a set that stands only in rows with a null id links to no other.
+    """(id, h, fp, component) for each row of docs: groups of texts linked by Jaccard similarity ``alike`` or more of their sets of shingles.
+
+    h: xxhash64 of the text, so that (id, h) tells rows with one id apart; component: the least (id, h) of the group,
+    null if all its ids are null. fp: hash of the set. Candidates share a band of MinHash minima; every link is
+    verified on the whole sets. First each set is compared with the smallest of its buckets, then, in buckets that
+    hold more than one group, with the ``follow`` sets after it in an order of the bucket's own, where these are of
+    another group; a large bucket's order is cut into runs of about RUN sets. Null texts count as empty, and texts
+    without words are one group.
     """
-    from pyspark.sql import Window
-
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = written(given.mapInArrow(partial(_sketch_batches, width=width), "id long, fp long, n int, bands array<long>"), "sketches")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    text = F.col(text_col).cast("binary")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = written(given.mapInArrow(partial(_sketch_batches, width=width), "id long, h long, fp long, n int, bands array<long>"), "sketches")
+    place = F.struct("id", "h")
+    nodes = rows.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), place)).alias("least"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
+    nodes = written(nodes, "nodes")
     each = nodes.select("fp", "n", F.explode("bands").alias("key"))
     crowd = each.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("m"), F.count("*").alias("c")).where("c > 1")
-    met = written(each.join(crowd.select("key", "m"), "key"), "buckets")
+    met = written(keyed(each, written(crowd, "crowds"), "key", "c"), "buckets")
 
     def close(a: Column, b: Column) -> Column:
         return F.least(a, b) >= alike * F.greatest(a, b)
 
-    # a text of each set that meets another: by id, then by the set, since ids may repeat
-    own = rows.select("id", "fp").join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
-    texts = given.join(own, "id").select("fp", "text")
+    # a text of each set that meets another
+    own = nodes.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("place.id").alias("i"), F.col("place.h").alias("k"))
+    texts = given.join(own, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))).select("fp", "text").dropDuplicates(["fp"])
+    texts = written(texts, "texts")
     first = written(met.where((F.col("m.fp") != F.col("fp")) & close(F.col("m.n"), F.col("n"))).select(F.col("m.fp").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
     star = written(_alike(first, texts, width, alike), "links")
     tree = written(components(star), "roots")
-    rooted = met.join(tree, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    after = Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp").rowsBetween(1, follow)
-    rest = rooted.join(split, "key", "left_semi").withColumn("then", F.collect_list(F.struct("fp", "n", "root")).over(after))
+    rooted = written(met.join(tree, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).where("a <> b").select("key", "c")
+    runs = F.pmod(F.shiftright(F.xxhash64("key", "fp"), 20), F.ceil(F.col("c") / RUN))
+    rest = keyed(rooted, written(split, "mixed"), "key", "c", keep=True).withColumn("run", runs)
+    after = Window.partitionBy("key", "run").orderBy(F.xxhash64("key", "fp"), "fp").rowsBetween(1, follow)
+    rest = rest.withColumn("then", F.collect_list(F.struct("fp", "n", "root")).over(after))
     rest = rest.withColumn("o", F.explode(F.filter("then", lambda o: (o["root"] != F.col("root")) & close(o["n"], F.col("n")))))
     second = rest.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     more = _alike(written(second, "pairs"), texts, width, alike)
-    return _grouped(rows.select("id", "fp"), nodes, written(components(star.union(more)), "roots"))
+    return _grouped(rows.select("id", "h", "fp"), nodes, written(components(star.union(more)), "roots"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8) -> DataFrame:
-    """docs without the near copies: of each group the row with the smallest id stays, with all columns of docs.
+    """docs without the near copies: of each group one row stays, with all columns of docs.
 
-    Groups are those of near_groups. Of rows that repeat that id one stays. Rows with a null id can't be told apart
-    from their group and all stay. Empty texts are one group.
+    Groups are those of near_groups. The row with the smallest id stays, of several with that id the one of smallest
+    xxhash64 of the text, of rows that repeat both one. Rows with one id and unlike texts are told apart. Rows with a
+    null id can't be, and all stay. Null and empty texts are one group. An empty table gives an empty result.
     """
-    marked = near_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, alike)
-    stay = marked.where("id = component").select(F.col("id").cast(docs.schema[id_col].dataType).alias("__id")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["__id"], "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull())
+    marked = near_groups(named, id_col, text_col, width, alike)
+    stay = marked.where((F.col("id") == F.col("component.id")) & (F.col("h") == F.col("component.h"))).select(F.col("id").cast(docs.schema[id_col].dataType).alias("__id"), F.col("h").alias("__h")).distinct()
+    keys = named.withColumn("__k", F.xxhash64(F.col(text_col).cast("binary")))
+    kept = keys.join(stay, (F.col(id_col) == F.col("__id")) & (F.col("__k") == F.col("__h")), "left_semi").dropDuplicates([id_col, "__k"]).drop("__k")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

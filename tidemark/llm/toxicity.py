@@ -1,13 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-``fit`` reads at most ``max_examples`` labelled rows (the smallest by a seeded hash of text and id; the bound is a
-parameter), keeps the terms (words and word beginnings) whose presence goes with the label, and numbers them; all
-other words of a text count as one background term, so that cosine tells one chance hit from many. One pass over all documents
-counts the terms of each text and their document frequency over all documents; idf rests on that. Examples are
-dealt into blocks; for each term and block the index holds the largest weight. A query sums these maxima to an upper
-bound for each block, reads blocks in falling order of bound, and stops when no bound reaches the kth similarity:
-the neighbours are exact. Votes weighted by similarity become a probability by isotonic calibration on the examples
-themselves, each scored without itself.
+``fit`` reads at most ``max_examples`` labelled rows, up to half of them of label 1 and the rest of label 0 (the
+smallest by a seeded hash of the id; the bound is a parameter), and each example weighs as many labelled rows as it
+stands for. It keeps the terms (words and word beginnings) whose presence goes with the label, and numbers them; all
+other words of a text count as one background term, so that cosine tells one chance hit from many. One pass over all
+documents counts the terms of each text and their document frequency over all documents; idf rests on that. Examples
+are dealt into blocks; a block holds the postings of its own terms, and the index holds each term's largest weight in
+each block. A query sums these maxima to an upper bound for each block, reads blocks in falling order of bound, and
+stops when no bound reaches the kth similarity: the neighbours are exact. Votes weighted by similarity become a
+probability by isotonic calibration on the examples themselves, each scored without itself.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,7 @@ class Model:
     terms: dict[bytes, int]
     ids: np.ndarray
     labels: np.ndarray
+    weights: np.ndarray
     rows: list[tuple[np.ndarray, np.ndarray]]
     k: int
     block: int
@@ -70,19 +73,26 @@ def _counted(text: bytes | None, terms: dict[bytes, int], starts: set[bytes]) ->
     return at, [found[t] for t in at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 4096, max_terms: int = 1024, min_docs: int = 5, least_chi2: float = 30.0, k: int = 15, block: int = 64) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 8192, max_terms: int = 8192, min_docs: int = 4, least_chi2: float = 15.0, k: int = 15, block: int = 64) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, label): rows without text, id or label take no part.
 
-    A document labelled more than once counts as 1 if any label is 1. docs must hold the training rows only.
+    A document labelled more than once counts as 1 if any label is 1; of rows that repeat an id each is an example.
+    docs must hold the training rows only.
     """
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
-    chosen = marks.orderBy(F.xxhash64("__id", F.lit(17)), "__id").limit(max_examples)
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.max(F.col(label_col).cast("int")) == 1).cast("int").alias("__y"))
+    known = docs.select(F.col("doc_id").alias("__id")).distinct()
+    marks = written(marks.join(known, "__id", "left_semi"), "labels")
+    there = {r["__y"]: r["n"] for r in marks.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    ones = min(there.get(1, 0), max(max_examples // 2, max_examples - there.get(0, 0)))
+    taken = {1: ones, 0: min(there.get(0, 0), max_examples - ones)}
+    order = (F.xxhash64("__id", F.lit(17)), "__id")
+    chosen = marks.where("__y = 1").orderBy(*order).limit(taken[1]).unionAll(marks.where("__y = 0").orderBy(*order).limit(taken[0]))
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"), "__y")
     rows = written(rows, "examples")
     seen = rows.mapInArrow(_tallied, "word binary, left binary, ones long, zeros long").groupBy("word", "left").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     tally = seen.groupBy("word").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.count_if(F.col("ones") > 0).alias("lefts"))
     sizes = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = float(sizes.get(1, 0)), float(sum(n for y, n in sizes.items() if y != 1))
+    ones, zeros = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     terms: dict[bytes, int] = {}
     if ones and zeros:
         a, b = F.col("ones"), F.col("zeros")
@@ -93,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     made = rows.mapInArrow(partial(_numbered, terms=terms), "id long, y int, terms array<int>, counts array<int>").collect()
     made.sort(key=lambda r: ([len(r["terms"]) < 2, r["terms"], r["counts"]], r["id"] or 0, r["y"]))  # like beside like: tight block maxima
     rows_of = [(np.array(r["terms"], np.int64), np.array(r["counts"], float)) for r in made]
-    return Model(terms, np.array([-1 if r["id"] is None else r["id"] for r in made], np.int64), np.array([r["y"] == 1 for r in made], float), rows_of, k, block)
+    weights = np.array([there[r["y"]] / taken[r["y"]] for r in made], float)
+    return Model(terms, np.array([-1 if r["id"] is None else r["id"] for r in made], np.int64), np.array([r["y"] for r in made], float), weights, rows_of, k, block)
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +137,17 @@ class Index:
 
     def __init__(self, model: Model, idf: np.ndarray):
         self.model, self.idf, self.block = model, idf, model.block
-        unit = self.units([t for t, _ in model.rows], [c for _, c in model.rows])
-        self.silent = ~unit.any(axis=1)
-        n = -(-len(unit) // self.block)
-        #: Each block's postings as terms x examples, and each term's largest weight in each block.
-        self.postings = [np.ascontiguousarray(unit[i * self.block : (i + 1) * self.block].T) for i in range(n)]
-        self.most = np.stack([x.max(axis=1) for x in self.postings], axis=1) if n else np.zeros((len(idf), 0))
+        self.silent = np.array([not len(t) for t, _ in model.rows], bool)
+        n = -(-len(model.rows) // self.block)
+        #: Each block's terms and their postings (terms x examples), and each term's largest weight in each block.
+        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
+        self.most = np.zeros((len(idf), n))
+        for i in range(n):
+            part = model.rows[i * self.block : (i + 1) * self.block]
+            unit = self.units([t for t, _ in part], [c for _, c in part])
+            own = np.flatnonzero(unit.any(axis=0))
+            self.postings.append((own, np.ascontiguousarray(unit[:, own].T)))
+            self.most[own, i] = self.postings[i][1].max(axis=1, initial=0)
 
     def units(self, terms: list, counts: list) -> np.ndarray:
         """Unit vectors, a row for each text; zero for a text without words."""
@@ -154,7 +170,8 @@ class Index:
         first = bound.argmax(axis=1) if self.postings else np.zeros(n, np.int64)
 
         def read(b: int, rows: np.ndarray) -> None:
-            sims = np.round(q[rows] @ self.postings[b], 9)
+            own, weights = self.postings[b]
+            sims = np.round(q[np.ix_(rows, own)] @ weights, 9)
             numbers = np.arange(b * self.block, b * self.block + sims.shape[1])
             if but is not None:
                 sims[numbers[None, :] == but[rows, None]] = 0
@@ -174,19 +191,19 @@ class Index:
 
     def votes(self, who: np.ndarray, best: np.ndarray, base: float) -> np.ndarray:
         """Similarity-weighted shares of label 1, drawn to the base rate with half a vote."""
-        y = np.append(self.model.labels, 0.0)[who]
-        return ((best * y).sum(1) + 0.5 * base) / (best.sum(1) + 0.5)
+        y, w = np.append(self.model.labels, 0.0)[who], np.append(self.model.weights, 0.0)[who] * best
+        return ((w * y).sum(1) + 0.5 * base) / (w.sum(1) + 0.5)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps fitted to y over x by pooling neighbours that fall: (x, value) knots."""
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising steps fitted to y over x, by weights w, by pooling neighbours that fall: (x, value) knots."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
-    for a, b in zip(x[order], y[order]):
+    for a, b, c in zip(x[order], y[order], w[order]):
         if pools and pools[-1][3] == a:
-            pools[-1] = [pools[-1][0] + b, pools[-1][1] + 1, pools[-1][2], a]
+            pools[-1] = [pools[-1][0] + b * c, pools[-1][1] + c, pools[-1][2], a]
         else:
-            pools.append([b, 1.0, a, a])
+            pools.append([b * c, c, a, a])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             last = pools.pop()
             pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
@@ -200,14 +217,14 @@ class Scorer:
     def __init__(self, model: Model, n_docs: int, df: dict[int, int]):
         idf = np.array([math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(model.terms) + 1)])
         self.index = Index(model, idf)
-        y, silent = model.labels, self.index.silent
-        self.base = (float(y.sum()) + 0.5) / (len(y) + 1)
-        self.none = (float(y[silent].sum()) + 0.5 * self.base) / (float(silent.sum()) + 0.5)
+        y, w, silent = model.labels, model.weights, self.index.silent
+        self.base = (float((w * y).sum()) + 0.5) / (float(w.sum()) + 1)
+        self.none = (float((w * y)[silent].sum()) + 0.5 * self.base) / (float(w[silent].sum()) + 0.5)
         loud = np.flatnonzero(~silent)
         self.knots = (np.array([0.0, 1.0]), np.array([self.base, self.base]))
         if len(loud):
             votes = [self.votes([model.rows[i] for i in part], part)[0] for part in np.array_split(loud, -(-len(loud) // 512))]
-            self.knots = isotonic(np.concatenate(votes), y[loud])
+            self.knots = isotonic(np.concatenate(votes), y[loud], w[loud])
 
     def votes(self, rows: list, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         who, best = self.index.nearest(self.index.units([t for t, _ in rows], [c for _, c in rows]), but)
@@ -238,20 +255,37 @@ def _scored(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "score", "evidence"])
 
 
+def _frequencies(docs: DataFrame, model: Model, id_col: str, text_col: str) -> tuple[DataFrame, Scorer]:
+    """The terms and counts of each text, and the scorer with the document frequencies over all of them."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = written(rows.mapInArrow(partial(_numbered, terms=model.terms), "id long, terms array<int>, counts array<int>"), "term-counts")
+    df = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most max_terms
+    return rows, Scorer(model, rows.count(), df)
+
+
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, evidence) for each row of docs: score from 0 to 1; evidence: up to k (example, similarity, label).
 
     Null and empty texts get the share of label 1 among such examples.
     Equal texts get equal scores; repeated rows stay; ties between neighbours go to the earlier in the index. Very long
-    texts are read whole. An empty table gives an empty result, a model without labels the base rate.
+    texts are read whole. An empty table gives an empty result, a model without labels the base rate. Other columns of
+    docs, whatever their names, are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = written(rows.mapInArrow(partial(_numbered, terms=model.terms), "id long, terms array<int>, counts array<int>"), "term-counts")
-    df = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most max_terms
-    return rows.mapInArrow(partial(_scored, scorer=Scorer(model, rows.count(), df)), "id long, score double, evidence array<struct<example:long,similarity:double,label:int>>")
+    rows, scorer = _frequencies(docs, model, id_col, text_col)
+    return rows.mapInArrow(partial(_scored, scorer=scorer), "id long, score double, evidence array<struct<example:long,similarity:double,label:int>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score ``threshold`` or more, with all columns; rows with a null id stay."""
-    bad = scores(docs, model, id_col, text_col).where(F.col("score") >= threshold).select(F.col("id").alias("__id")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["__id"], "left_anti")
+    """docs without the rows that score ``threshold`` or more, with all columns.
+
+    Each row is judged by its own text in one pass, whatever its id: a null or repeated id changes nothing. Null and
+    empty texts, ties, long texts and an empty table are as in ``scores``.
+    """
+    _, scorer = _frequencies(docs, model, id_col, text_col)
+    terms, starts = model.terms, {t[:4] for t in model.terms}
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.concatenate([np.empty(0), *(scorer.scores([_counted(t, terms, starts) for t in texts[i : i + 512]])[0] for i in range(0, len(texts), 512))]))
+
+    return docs.where(score(F.col(text_col).cast("binary")) < threshold)
