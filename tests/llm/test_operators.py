@@ -131,30 +131,48 @@ def test_top_k(spark):
     rng = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in rng.normal(0, 0.4, 8)]) for i in range(120)]
     vecs += [(200 + i, vecs[0][1]) for i in range(20)] + [(300, None), (301, [float("nan")] * 8), (None, vecs[1][1]), (302, [1.0]), (303, [None] * 8), (304, [])]
-    got = vafile.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), block=32, queries=2).collect()
+    given = spark.createDataFrame([(i, v, "x", 1) for i, v in vecs], "vec_id long, embedding array<double>, query string, cls int")
+    got = vafile.top_k(given, block=32, queries=2, band=1).collect()
+    assert sorted((r["query"], r["rank"], r["id"], r["score"]) for r in got) == nearest(vecs)
+    assert vafile.top_k(given.limit(0)).count() == 0
+
+
+def nearest(vecs, k=5):
     q = {i: [math.floor(256 * x) for x in v] for i, v in vecs if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    want = []
+    out = []
     for i in (x for x in q if x % 50 == 0):
-        near = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i and len(q[j]) == len(q[i]))[:5]
-        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
-    assert sorted((r["query"], r["rank"], r["id"], r["score"]) for r in got) == sorted(want)
+        near = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i and len(q[j]) == len(q[i]))[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
+    return sorted(out)
 
 
-def test_log_bilinear(spark):
-    rows = [(i, text(i, 80)) for i in range(60)] + [(60, None), (61, ""), (62, "never seen words"), (None, "w1 w2"), (3, text(3, 80))]
-    df = docs(spark, rows)
-    import pyspark.sql.functions as F
+def test_top_k_of_long_vectors_and_outliers(spark, monkeypatch):
+    """Vectors of any length and scale, beyond the sampled cells too, and many copies of one."""
+    rng = np.random.default_rng(2)
+    vecs = [(i, [float(x) for x in rng.normal(0, 9 if i % 10 else 900, 16)]) for i in range(300)]
+    vecs += [(1000 + 25 * i, vecs[3][1]) for i in range(40)] + [(5000 + i, [1e6 * float(x) for x in rng.normal(0, 1, 3)]) for i in range(0, 120, 10)]
+    kept = {}
+    kept_written = vafile.written
 
-    got = logbilinear.scores(df, F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1, shortlist=50, endings=8, rest=4, head=100).collect()
-    assert len(got) == len(rows) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
-    count = Counter()
-    words = lambda t: (t or "").lower().split() + [None]
-    for i, t in rows:
-        if (i or 0) % 5 != 1:
-            count.update(words(t))
-    n, v = sum(count.values()), len(count)
-    want = sorted(round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(t)), 6) for _, t in rows)
-    assert sorted(round(r["base_score"], 6) for r in got) == pytest.approx(want) and all(r["train_tokens"] == n for r in got)
+    def note(df, what):
+        kept[what] = kept_written(df, what)
+        return kept[what]
+
+    monkeypatch.setattr(vafile, "written", note)
+    got = vafile.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), sample=40).collect()
+    assert sorted((r["query"], r["rank"], r["id"], r["score"]) for r in got) == nearest(vecs)
+    assert kept["bounds"].count() < 0.5 * kept["asked"].count() * kept["classes"].count()
+
+
+def test_cells():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1000, 1000, (500, 5))
+    x[:, 3] = 7
+    edges = vafile.cells_of([r.tobytes() for r in x])[5]
+    low, high = vafile._lows(edges), vafile._highs(edges)
+    for r in x:
+        c = vafile._cell(edges, r)
+        assert (low[c, range(5)] <= r).all() and (r <= high[c, range(5)]).all()
 
 
 def vocabulary(spark, counts, **bounds):
