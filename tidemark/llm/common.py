@@ -51,10 +51,11 @@ def forget(df: DataFrame) -> None:
 HOT = 1000
 
 
-def keyed(rows: DataFrame, known: DataFrame, key: str, count: str, keep: bool = False) -> DataFrame:
+def keyed(rows: DataFrame, known: DataFrame, key: str, count: str, keep: bool = False, how: str = "inner") -> DataFrame:
     """rows joined to known, which has one row for each of its keys and tells in ``count`` how many rows have it.
 
     A hot key's rows stay where they are and meet known by broadcast, HOT rows at most; all others are shuffled by key.
+    keep: with the column ``count``.
     """
     total = known.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * HOT > total
@@ -62,7 +63,7 @@ def keyed(rows: DataFrame, known: DataFrame, key: str, count: str, keep: bool =
     many = known.where(~hot)
     if not keep:
         few, many = few.drop(count), many.drop(count)
-    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key, how)
     return rows.join(F.broadcast(few), key).unionByName(rest)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keyed, written
 
 #: Buckets of hashed byte trigrams.
 BUCKETS = 1 << 15
@@ -94,7 +94,8 @@ def classify(pages: DataFrame, model: dict[str, np.ndarray], temper: float = 0.2
 
     Null or empty pages have no text evidence and follow declaration and host; a null or odd url has the host ''.
     Undeclared pages count as 'none', languages outside the model as 'other'. Repeated rows are evidence and result
-    each; ties go to the first language by code. Without a model lang is null. Very long pages are read whole.
+    each; ties go to the first language by code. Without a model lang is null. Very long pages are read whole. An empty
+    table gives an empty result; other columns, whatever their names, are ignored.
     """
     langs = list(model)
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
@@ -121,13 +122,16 @@ def classify(pages: DataFrame, model: dict[str, np.ndarray], temper: float = 0.2
     for word, c in sorted(declared.items()):
         logs = [float(np.log((c[i] + 0.5) / (column[i] + 0.5 * (n + 2)))) for i in range(n)]
         said = F.when(F.col("said") == word, F.array(*map(F.lit, logs))).otherwise(said)
-    hosts = sums("host", "domain", "suffix").withColumnRenamed("n", "host_n")
-    by_suffix = hosts.groupBy("suffix").agg(F.array(*(F.sum(F.col("host_n")[i]) for i in range(n))).alias("n"))
-    by_suffix = by_suffix.select("suffix", smoothed(F.col("n"), F.array(*map(F.lit, world))).alias("suffix_p"))
-    by_domain = hosts.groupBy("domain", "suffix").agg(F.array(*(F.sum(F.col("host_n")[i]) for i in range(n))).alias("domain_n"))
-    by_domain = by_domain.join(by_suffix, "suffix").select("domain", smoothed(F.col("domain_n"), F.col("suffix_p")).alias("domain_p"))
-    prior = hosts.join(by_domain, "domain").select(F.col("host").alias("h"), "host_n", "domain_p")
-    near = share.join(prior, F.col("host") == F.col("h"))
+    whole = F.array(*(F.sum(F.col("host_n")[i]) for i in range(n)))
+    hosts = share.groupBy("host", "domain", "suffix").agg(F.array(*(F.sum(F.col("p")[i]) for i in range(n))).alias("host_n"), F.count("*").alias("pages"))
+    hosts = written(hosts, "hosts")
+    by_suffix = hosts.groupBy("suffix").agg(whole.alias("n"), F.count("*").alias("hosts"))
+    by_suffix = by_suffix.select("suffix", smoothed(F.col("n"), F.array(*map(F.lit, world))).alias("suffix_p"), "hosts")
+    by_domain = hosts.groupBy("domain", "suffix").agg(whole.alias("domain_n"), F.count("*").alias("hosts"))
+    by_domain = keyed(by_domain.withColumnRenamed("hosts", "own"), written(by_suffix, "suffixes"), "suffix", "hosts")
+    by_domain = written(by_domain.select("domain", smoothed(F.col("domain_n"), F.col("suffix_p")).alias("domain_p"), F.col("own").alias("hosts")), "domains")
+    prior = written(keyed(hosts, by_domain, "domain", "hosts").select("host", "host_n", "domain_p", "pages"), "priors")
+    near = keyed(share, prior, "host", "pages")
     others = F.zip_with("host_n", "p", lambda c, own: F.greatest(c - own, F.lit(0.0)))
     log = F.zip_with(F.zip_with(F.col("log"), said, lambda a, b: a + b), smoothed(others, F.coalesce("domain_p", flat)), lambda a, b: a + F.log(b))
     done = near.withColumn("post", _unit(log))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keyed, written
 
 FIELD = "<*>"
 
@@ -46,9 +46,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
 
 
 def _spread(lines: DataFrame, key: str, min_docs: int, brief_docs: int) -> DataFrame:
-    """The keys that stand in ``min_docs`` distinct texts or more, those of brief lines in ``brief_docs`` or more."""
-    each = lines.groupBy(key, "h").agg(F.max("brief").alias("brief"))
-    return each.groupBy(key).agg(F.count("*").alias("n"), F.max("brief").alias("brief")).where(F.col("n") >= F.when(F.col("brief"), brief_docs).otherwise(min_docs)).select(key)
+    """(key, rows): the keys that stand in ``min_docs`` distinct texts or more, those of brief lines in ``brief_docs`` or more."""
+    each = lines.groupBy(key, "h").agg(F.max("brief").alias("brief"), F.count("*").alias("rows"))
+    each = each.groupBy(key).agg(F.count("*").alias("n"), F.max("brief").alias("brief"), F.sum("rows").alias("rows"))
+    return each.where(F.col("n") >= F.when(F.col("brief"), brief_docs).otherwise(min_docs)).select(key, "rows")
 
 
 #: Slots of leaf hashes; a table of those in use has so many rows at most, and may be broadcast.
@@ -56,14 +57,14 @@ SLOTS = 1 << 20
 
 
 def _general(tree: DataFrame, narrow: DataFrame, alike: float, min_docs: int) -> DataFrame:
-    """(l, t, c): leaf, template by masking and cluster of the lines that share a cluster's template; only of leaves that can recur often enough."""
+    """(template, rows, l, c): template by masking, its lines, leaf and cluster of the lines that share a cluster's template; only of leaves that can recur often enough."""
     narrow = narrow.where(F.ceil(alike * F.col("n")) < F.col("n"))  # shorter lines share a template only if equal
     varied = narrow.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf")
     mixed = written(_spread(narrow, "leaf", min_docs, min_docs).join(varied, "leaf", "left_semi"), "leaves")
     slots = mixed.select(F.pmod("leaf", F.lit(SLOTS)).alias("slot")).distinct()
     near = tree.select("leaf", "template", "masked").join(F.broadcast(slots), F.pmod("leaf", F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    differ = near.join(mixed, "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("masked").alias("masked"))
-    now = written(differ.select("leaf", "template", F.split("masked", " ").alias("tokens"), F.col("leaf").alias("c")), "variants")
+    differ = near.groupBy("leaf", "template").agg(F.first("masked").alias("masked"), F.count("*").alias("rows")).join(mixed.select("leaf"), "leaf", "left_semi")
+    now = written(differ.select("leaf", "template", "rows", F.split("masked", " ").alias("tokens"), F.col("leaf").alias("c")), "variants")
     done = None
     while True:
         at = now.select("c", F.posexplode("tokens").alias("p", "token")).groupBy("c", "p", "token").agg(F.count("*").alias("n"))
@@ -71,15 +72,15 @@ def _general(tree: DataFrame, narrow: DataFrame, alike: float, min_docs: int) ->
         varies = (F.col("top.n") > 1) & (F.col("top.n") < alike * F.col("size"))
         modal = place.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "top.token"))).alias("modal"), F.max(F.when(varies, F.struct("top.n", (-F.col("p")).alias("p")))).alias("cut"), F.max("size").alias("size"))
         same = F.size(F.filter(F.zip_with("tokens", "modal", lambda a, b: a == b["token"]), lambda x: x))
-        judged = now.join(modal, "c").select("leaf", "template", "tokens", "c", "size", (same >= alike * F.size("tokens")).alias("hit"), F.col("cut").isNotNull().alias("cut"), F.get("tokens", -F.col("cut.p")).alias("token"))
+        judged = now.join(modal, "c").select("leaf", "template", "rows", "tokens", "c", "size", (same >= alike * F.size("tokens")).alias("hit"), F.col("cut").isNotNull().alias("cut"), F.get("tokens", -F.col("cut.p")).alias("token"))
         # where few agree, the most frequent tokens are those of several templates, and the few do so by chance
         hits = F.count_if("hit").over(Window.partitionBy("c"))
         judged = written(judged.withColumn("hit", F.col("hit") & ((2 * hits >= F.col("size")) | ~F.col("cut"))), "judged")
-        hit = judged.where("hit").select(F.col("leaf").alias("l"), F.col("template").alias("t"), "c")
+        hit = judged.where("hit").select("template", "rows", F.col("leaf").alias("l"), "c")
         done = hit if done is None else done.unionByName(hit)
         rest = judged.where("not hit").withColumn("n", F.count("*").over(Window.partitionBy("c", "token"))).withColumn("left", F.count("*").over(Window.partitionBy("c")))
         part = F.xxhash64("c", F.when(F.col("n") > 1, F.col("token")))
-        now = written(rest.where("cut or left < size").select("leaf", "template", "tokens", part.alias("c")), "variants")
+        now = written(rest.where("cut or left < size").select("leaf", "template", "rows", "tokens", part.alias("c")), "variants")
         if now.isEmpty():
             return done
 
@@ -91,11 +92,11 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     brief = ((F.col("n") < least) & (size < 4 * least)).alias("brief")
     narrow = written(tree.select("id", "h", "pos", "n", "leaf", "template", brief, (size > 0).alias("filled")), "lines").where("filled")
     general = _general(tree, narrow, alike, min_docs)
-    named = narrow.join(general, (F.col("leaf") == F.col("l")) & (F.col("template") == F.col("t")), "left")
+    named = keyed(narrow, written(general, "clusters"), "template", "rows", how="left")
     named = named.select("id", "h", "pos", "brief", F.when(F.col("l").isNotNull(), F.xxhash64(F.lit("leaf"), "leaf", "c")).otherwise(F.col("template")).alias("template"))
     named = written(named, "named-lines")
     often = _spread(named, "template", min_docs, brief_docs)
-    return named.join(often, "template", "left_semi").select("id", "h", "pos")
+    return keyed(named, written(often, "recurring"), "template", "rows").select("id", "h", "pos")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, least: int = 5, brief_docs: int = 10, depth: int = 3, alike: float = 0.8) -> DataFrame:
@@ -104,7 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line recurs if its template stands in ``min_docs`` or more documents of distinct text. Brief lines, of fewer than
     ``least`` tokens and fewer than 4 * ``least`` characters, recur from ``brief_docs`` documents on; blank lines stay. Null texts stay null, empty ones empty; a text of which all lines recur becomes empty.
     Repeated rows get the same result each, a null id is a value like any other; very long texts are parsed whole.
-    Ties between a cluster's tokens go to the larger by code point.
+    Ties between a cluster's tokens go to the larger by code point. An empty table gives an empty result.
     """
     gone = recurring(docs, id_col, text_col, min_docs, least, brief_docs, depth, alike)
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("pos").alias("__gone"))

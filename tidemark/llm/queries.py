@@ -10,8 +10,30 @@ from .common import held_out, table
 from .sql import SQL as SQL
 
 
+#: What the calls of ``transcripts`` must look like.
+SCHEMAS = {"reply": {"type": "object", "properties": {"turn": {"type": "integer"}, "chars": {"type": "integer"}, "after": {"type": "object"}}, "required": ["turn", "chars"], "additionalProperties": False}}
+
+
+def transcripts(turns: DataFrame) -> DataFrame:
+    """Conversations as tool transcripts, since the table's turns hold no calls.
+
+    An assistant's turn calls ``reply`` and refers to the call two turns before; the user's turn after it holds the
+    result. The first turn's characters are a float, the fifth's a text, which the schema refuses.
+    """
+    turn = F.col("turn").cast("string")
+    chars = F.length(F.coalesce("text", F.lit(""))).cast("string")
+    chars = F.when(F.col("turn") == 1, F.concat(chars, F.lit(".0"))).when(F.col("turn") == 5, F.concat(F.lit('"'), chars, F.lit('"'))).otherwise(chars)
+    after = F.when(F.col("turn") > 2, F.concat(F.lit(',"after":{"$ref":"a'), F.col("turn") - 2, F.lit('"}'))).otherwise("")
+    call = F.concat(F.lit('\n<tool_call>{"name":"reply","id":"a'), turn, F.lit('","arguments":{"turn":'), turn, F.lit(',"chars":'), chars, after, F.lit("}}</tool_call>"))
+    result = F.concat(F.lit('<tool_response>{"id":"a'), F.col("turn") - 1, F.lit('","content":{"turn":'), turn, F.lit("}}</tool_response>\n"))
+    said = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("role") == "assistant", F.concat(said, call)).when((F.col("role") == "user") & (F.col("turn") > 1), F.concat(result, said)).otherwise(F.col("text"))
+    return turns.withColumn("text", text)
+
+
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link(table(spark, sf_dir, "conversations"))
+    found = toolcalls.link(transcripts(table(spark, sf_dir, "conversations")), SCHEMAS)
+    return found.withColumn("levels", F.array_join(F.col("levels").cast("array<string>"), ",", "-"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ MORE = (
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("slack", r"xox[baprs]-[0-9A-Za-z-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"[a-z][a-z0-9+.]{1,20}://[^/:@\x00-\x20]{1,64}:[^/:@\x00-\x20]{1,64}@"),
+    Rule("url_login", r"://[^/:@\x00-\x20]+:[^/:@\x00-\x20]+@"),
 )
 #: Alternatives up to which literal strings are multiplied out.
 WIDE = 64
@@ -147,7 +147,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
     """(id, spans) for each row of docs; spans: array of (start, rank, end, kind) by start, then rank of the rule.
 
     Null texts count as empty and hold nothing. Repeated rows get the same spans each, a null id is a value like any
-    other. Spans of different rules may overlap; very long texts are scanned whole.
+    other. Spans of different rules may overlap, and of ties the rule of lower rank comes first; very long texts are
+    scanned whole. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     queries = {r.kind: trigram_query(r.regex) for r in rules}

@@ -38,4 +38,19 @@ def secrets() -> str:
     """
 
 
-SQL = {"op3_vafile_topk": TOP_K, "op10_secrets": secrets()}
+TOOL_CALLS = r"""
+    WITH t AS (SELECT conv_id, turn, role, text, coalesce(text, '') AS said, role = 'assistant' AS calls, role = 'user' AND turn > 1 AS answers FROM conversations),
+    c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS depth
+        FROM (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM t WHERE calls)),
+    j AS (SELECT t.*, o.depth, p.depth AS asked, r.turn IS NOT NULL AS answered FROM t LEFT JOIN c o ON t.calls AND t.conv_id = o.conv_id AND t.turn = o.turn
+        LEFT JOIN c p ON t.answers AND t.conv_id = p.conv_id AND t.turn = p.turn + 1 LEFT JOIN t r ON t.calls AND r.answers AND t.conv_id = r.conv_id AND t.turn = r.turn - 1)
+    SELECT conv_id, turn, role, CAST(calls AS BIGINT) AS n_calls, CAST(answers AS BIGINT) AS n_results, CAST(coalesce(calls AND answered OR asked IS NOT NULL, false) AS BIGINT) AS n_linked, CAST(calls AND turn = 5 AS BIGINT) AS n_invalid,
+        CASE WHEN calls THEN CAST(2 * depth AS VARCHAR) WHEN answers THEN coalesce(CAST(2 * asked + 1 AS VARCHAR), '-') ELSE '' END AS levels,
+        concat('{"content":', coalesce(CAST(to_json(CASE WHEN calls OR answers THEN regexp_replace(said, '^\s+|\s+$', '', 'g') ELSE text END) AS VARCHAR), 'null'), ',"role":', coalesce(CAST(to_json(role) AS VARCHAR), 'null'),
+            CASE WHEN calls THEN concat(',"tool_calls":[{"arguments":{', CASE WHEN turn > 2 THEN concat('"after":{"$ref":"a', turn - 2, '"},') ELSE '' END, '"chars":', CASE WHEN turn = 5 THEN concat('"', length(said), '"') ELSE concat(length(said)) END, ',"turn":', turn, '},"id":"a', turn,
+                '","name":"reply",', CASE WHEN turn = 5 THEN '"problems":["$.chars: not integer"],' ELSE '' END, '"status":"', CASE WHEN answered THEN 'linked' ELSE 'unanswered' END, '"}]')
+            WHEN answers THEN concat(',"tool_results":[{"content":{"turn":', turn, '},"id":"a', turn - 1, '","status":"', CASE WHEN asked IS NULL THEN 'orphan' ELSE 'linked' END, '"}]') ELSE '' END, '}') AS message
+    FROM j
+"""
+
+SQL = {"op1_tool_calls": TOOL_CALLS, "op3_vafile_topk": TOP_K, "op10_secrets": secrets()}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 _BLOCK = re.compile(r"<(tool_call|tool_response)>(.*?)</\1>", re.S)
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -130,15 +130,17 @@ def _levels(calls: DataFrame) -> DataFrame:
     edges = written(edges.join(known, ["conv", "id"]).select("conv", "to", F.col("id").alias("source")), "references")
     waiting = edges.select("conv", F.col("to").alias("id")).distinct()
     levels = written(known.join(waiting, ["conv", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    size = -1
     while not edges.isEmpty():
         got = levels.select("conv", F.col("id").alias("source"), "level")
         state = edges.join(got, ["conv", "source"], "left").groupBy("conv", F.col("to").alias("id")).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("high"))
-        ready = state.where("open = 0").select("conv", "id", (F.col("high") + 1).alias("level"))
-        levels = written(levels.join(waiting, ["conv", "id"], "left_anti").unionByName(ready), "levels")
-        before, size = size, levels.count()
-        if size == before:
+        ready = written(state.where("open = 0").select("conv", "id", (F.col("high") + 1).alias("level")), "ready")
+        if ready.isEmpty():
             break
+        before, left = levels, edges
+        levels = written(levels.unionByName(ready), "levels")
+        edges = written(edges.join(ready.select("conv", F.col("id").alias("to")), ["conv", "to"], "left_anti"), "references")  # those that wait still
+        for old in (before, left, ready):
+            forget(old)
     return levels
 
 
@@ -167,19 +169,19 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row for each row of turns(conv_id, turn, role, text): its canonical message, counts and order levels.
 
-    Of several calls (or results) with an id in a conversation the first by (turn, place) owns it, the others are
-    'duplicate'. A call with a later result is 'linked', as is the result; else 'unanswered'. A result without call
+    Of several calls (or results) with an id in a conversation the first by turn, a hash of what it says, and place
+    owns it, the others are 'duplicate'. A call with a later result is 'linked', as is the result; else 'unanswered'. A result without call
     is an 'orphan', one before its call 'early'. Blocks without an id, or that are not JSON objects, are
     'unreadable'. levels, one for each block in the text's order: 2 x the call's depth, a result one more, null for
     unlinked results and calls on a cycle; (conv_id, level, turn) is a topological order. Null texts give null
     content, null conversation or turn numbers are values like any other but never link. Without schemas nothing is
-    validated. Repeated rows are duplicates. An empty table gives an empty result; long texts are read whole.
+    validated. Repeated rows are duplicates. An empty table gives an empty result; long texts are read whole; other columns are ignored.
     """
     rows = turns.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     kind = f"row long, conv long, turn long, role string, content string, blocks {_KIND}"
     rows = written(rows.mapInArrow(partial(_parsed, schemas=schemas or {}), kind), "turns")
-    blocks = rows.where(F.size("blocks") > 0).select("row", "conv", "turn", F.posexplode("blocks").alias("at", "b")).where(F.col("b.id").isNotNull() & F.col("conv").isNotNull() & F.col("turn").isNotNull())
-    blocks = blocks.select("row", "conv", "at", F.struct("turn", "row", "at").alias("place"), F.col("b.kind").alias("kind"), F.col("b.id").alias("id"), F.col("b.refs").alias("refs"))
+    blocks = rows.where(F.size("blocks") > 0).select("row", "conv", "turn", F.xxhash64("role", "content", "blocks").alias("said"), F.posexplode("blocks").alias("at", "b")).where(F.col("b.id").isNotNull() & F.col("conv").isNotNull() & F.col("turn").isNotNull())
+    blocks = blocks.select("row", "conv", "at", F.struct("turn", "said", "row", "at").alias("place"), F.col("b.kind").alias("kind"), F.col("b.id").alias("id"), F.col("b.refs").alias("refs"))
     is_call = F.col("kind") == "tool_call"
     pairs = blocks.groupBy("conv", "id").agg(F.min(F.when(is_call, F.col("place"))).alias("call"), F.min(F.when(~is_call, F.col("place"))).alias("result"), F.min_by("refs", F.when(is_call, F.col("place"))).alias("refs"))
     pairs = written(pairs, "pairs")
