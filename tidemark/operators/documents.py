@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,17 +69,19 @@ def paragraphs(c: Column) -> Column:
 def availability(df: DataFrame, text: str, threshold: float = 0.85) -> DataFrame:
     """df without text, with counts of paragraphs, complete and noisy ones, rates, and whether the exact rate reaches threshold.
 
-    Each paragraph is judged once; only its flags are shuffled, summed beforehand. No paragraphs: zeros and false.
+    Paragraphs are judged and counted within their row, so nothing is shuffled. No paragraphs: zeros and false.
     """
     keys = [c for c in df.columns if c != text]
-    p = F.col("__p")
-    noise = F.lit(False)
-    for x in NOISE:
-        noise = noise | p.rlike(x)
-    rows = df.select(*keys, F.explode_outer(paragraphs(F.col(text))).alias("__p"))
-    rows = rows.select(*keys, p.isNotNull().alias("__one"), F.coalesce(noise, F.lit(False)).alias("__noise"), F.coalesce(p.rlike(OPEN_END), F.lit(False)).alias("__open"))
-    total, bad, cut = F.count_if("__one"), F.count_if("__noise"), F.count_if(F.col("__open") & ~F.col("__noise"))
-    sums = rows.groupBy(*keys).agg(total.alias("total_paragraphs"), (total - bad - cut).alias("complete_paragraphs"), bad.alias("noise_paragraphs"))
+
+    def kind(p: Column) -> Column:
+        return F.when(reduce(Column.__or__, (p.rlike(x) for x in NOISE)), "noise").when(p.rlike(OPEN_END), "open").otherwise("whole")
+
+    rows = df.select(*keys, F.transform(paragraphs(F.col(text)), kind).alias("__kinds"))
+
+    def of(name: str) -> Column:
+        return F.size(F.filter("__kinds", lambda k: k == name)).cast("long")
+
+    sums = rows.select(*keys, F.size("__kinds").cast("long").alias("total_paragraphs"), of("whole").alias("complete_paragraphs"), of("noise").alias("noise_paragraphs"))
     per = F.nullif(F.col("total_paragraphs"), F.lit(0))
     return sums.select(
         "*", F.coalesce(F.round(F.col("complete_paragraphs") / per, 4), F.lit(0.0)).alias("availability_rate"), F.coalesce(F.round(F.col("noise_paragraphs") / per, 4), F.lit(0.0)).alias("noise_rate"),

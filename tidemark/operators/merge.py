@@ -7,31 +7,58 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import fallback_key, strip
+
 
 @dataclass(frozen=True)
 class Policy:
-    """key: column -> prefix length that counts, or None; update: columns the last row sets; required: a row without them goes."""
+    """How a relation takes a row whose key it has.
+
+    key: column -> prefix length that counts, or None; update: columns the last row sets, or, if empty, all columns but
+    ``fixed``; required: a row without them goes; ignore_case: keys are compared without case.
+    """
 
     key: dict[str, int | None]
-    update: tuple[str, ...]
+    update: tuple[str, ...] = ()
+    fixed: tuple[str, ...] = ()
     required: tuple[str, ...] = ()
     ignore_case: bool = False
 
+    def updates(self, columns: list[str]) -> list[str]:
+        return [c for c in columns if (c in self.update if self.update else c not in self.fixed)]
+
 
 #: Key prefix lengths and update columns of each relation's upsert.
-SNAPSHOT = Policy({"platform": 16, "product_type": 32, "spec": 16, "shop": 48, "snapshot_time": None}, ("keyword", "title", "price", "price_per_kg", "origin", "shop"))
-INTEL_BATCH = Policy({"source_url": 150}, ("title", "pub_time", "org", "content"))
-INTEL_SQLITE = Policy({"source_url": None}, ("source_type", "title", "pub_time", "org", "region", "content"))
-INTEL_MYSQL = Policy({"source_url": 150}, ("title", "pub_time", "org", "region", "content"), required=("source_url",))
-PAPER = Policy({"url": 150}, ("abstract", "keywords_json"))
-OFFLINE = Policy({"source_name": 32, "market_name": 48, "product_type": 32, "snapshot_time": None}, ("product_name_raw", "price"))
+SNAPSHOT = Policy({"platform": 16, "product_type": 32, "spec_weight_normalized": 16, "shop": 48, "snapshot_time": None}, fixed=("platform", "product_type", "spec_weight_normalized", "snapshot_time"), ignore_case=True)
+INTEL_BATCH = Policy({"source_url": 150}, ("title", "pub_time", "org", "content", "tags_json", "extra_json", "raw_id"), ignore_case=True)
+INTEL_SQLITE = Policy({"source_url": None}, ("title", "content", "pub_time", "pub_time_norm", "region", "org", "source_type", "tags", "extra", "updated_at"))
+INTEL_MYSQL = Policy({"source_url": 150}, ("title", "pub_time", "org", "region", "content", "tags_json", "extra_json", "fetched_at"), required=("source_url",), ignore_case=True)
+PAPER = Policy({"url": 150}, ("abstract", "keywords_json", "raw_id"), ignore_case=True)
+OFFLINE = Policy({"source_name": 32, "market_name": 48, "product_type": 32, "snapshot_time": None}, ("product_name_raw", "spec", "min_price", "max_price", "price", "unit", "storage_method", "date_str", "remark", "raw_id"), ignore_case=True)
+#: Fixed value: what a snapshot without price unit or currency has.
+CURRENCY = "CNY"
+
+
+def snapshot_defaults(df: DataFrame) -> DataFrame:
+    """Snapshots with the key's parts and the units filled: a type from the keyword, a specification from the URL."""
+
+    def filled(*columns: Column) -> Column:
+        return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
+
+    own = {
+        "price_unit": filled(F.col("price_unit"), F.lit(CURRENCY)), "currency": filled(F.col("currency"), F.lit(CURRENCY)), "shop": strip(F.coalesce("shop", F.lit(""))),
+        "product_type": F.left(strip(filled(F.col("product_type"), F.col("keyword"), F.lit("unknown"))), F.lit(64)),
+        "spec_weight_normalized": F.left(strip(filled(F.col("spec_weight_normalized"), fallback_key(F.col("detail_url")))), F.lit(32)),
+    }
+    return df.withColumns(own)
 
 
 def _key(df: DataFrame, policy: Policy) -> list[Column]:
     out = []
     for c, n in policy.key.items():
+        text = dict(df.dtypes)[c] == "string"
         k = F.substring(c, 1, n) if n else F.col(c)
-        out.append((F.lower(k) if policy.ignore_case and n else k).alias(f"__{c}"))
+        out.append((F.lower(k) if policy.ignore_case and text else k).alias(f"__{c}"))
     return out
 
 
@@ -42,13 +69,26 @@ def upsert(df: DataFrame, policy: Policy, seq: list[str]) -> DataFrame:
     """
     for c in policy.required:
         df = df.where(F.col(c).isNotNull() & (F.trim(c) != ""))
-    update = [c for c in policy.update if c in df.columns]
+    update = policy.updates([c for c in df.columns if c not in seq])
     insert = [c for c in df.columns if c not in update]
     order = F.struct(*seq)
     done = df.groupBy(*_key(df, policy)).agg(F.max_by(F.struct(*update), order).alias("__u"), F.min_by(F.struct(*insert), order).alias("__i"))
     return done.select(*((F.col("__u") if c in update else F.col("__i"))[c].alias(c) for c in df.columns))
 
 
+def start_run(log: DataFrame, started: DataFrame) -> DataFrame:
+    """The run log with a RUNNING row, of no items, for each of started(id, source_name, started_at)."""
+    return log.unionByName(started.select("id", "source_name", "started_at", F.lit("RUNNING").alias("status"), F.lit(0).cast("long").alias("items")), allowMissingColumns=True)
+
+
+def finish_run(log: DataFrame, ended: DataFrame) -> DataFrame:
+    """The run log with end, status, items and error text of ended(id, ...), one row for each run; other runs stay."""
+    new = ["ended_at", "status", "items", "error_text"]
+    both = log.join(ended.select(F.col("id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in new)), F.col("id") == F.col("__id"), "left")
+    done = F.col("__id").isNotNull()
+    return both.select(*(F.when(done, F.col(f"__{c}")).otherwise(F.col(c) if c in log.columns else F.lit(None)).alias(c) if c in new else F.col(c) for c in [*log.columns, *(c for c in new if c not in log.columns)]))
+
+
 def column_prune(df: DataFrame, target: list[str], required: set[str]) -> DataFrame:
     """The columns that the target has; an error if a required one is missing from it."""
     if missing := sorted(required - set(target)):

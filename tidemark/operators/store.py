@@ -4,12 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; in local mode a temporary one where unset."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        kept = context._jsc.sc().getCheckpointDir()
+        found = kept.get() if kept.isDefined() else None
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """df, computed and kept in the folder of spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -470,8 +470,8 @@ def _(s, d):
 
 @q("key_sentences", "SELECT doc_id, array_to_string(CASE WHEN len(x) <= 3 THEN x ELSE list_slice(x, doc_id % (len(x) - 2) + 1, doc_id % (len(x) - 2) + 3) END, '|') AS v FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all('水产养殖材料。' || replace(regexp_replace(text, '[ ]+', ' ', 'g'), '.', '。'), '[^。！？；!?;]+[。！？；!?;]?|[。！？；!?;]'), lambda y: trim(y, ' ' || chr(10) || chr(9))), lambda y: y <> '') AS x FROM documents)")
 def _(s, d):
-    rows = _blocks(s, d)
-    return rows.select(F.col("ord").alias("doc_id"), F.array_join(C.key_sentences(T.split_sentences(F.col("content")), F.col("content"), 3, F.col("ord")), "|").alias("v"))
+    rows = _blocks(s, d).withColumn("sentences", T.split_sentences(F.col("content")))  # a column of its own: split once
+    return rows.select(F.col("ord").alias("doc_id"), F.array_join(C.key_sentences(F.col("sentences"), F.col("content"), 3, F.col("ord")), "|").alias("v"))
 
 
 @q("focus_terms")
@@ -479,9 +479,9 @@ def _(s, d):
     return C.prepared(_blocks(s, d)).select("doc_id", F.array_join("focus", "|").alias("focus"))
 
 
-@q("ensure_length", "SELECT doc_id, CASE WHEN length(t) >= 50 THEN t ELSE t || repeat('" + C.PADDING + "', CAST(ceil((50 - length(t)) / " + str(len(C.PADDING)) + ".0) AS INTEGER)) END AS v FROM (SELECT doc_id, left(text, CAST(doc_id % 90 AS INTEGER)) AS t FROM documents)")
+@q("ensure_length", "SELECT doc_id, CASE WHEN length(text) >= 50 THEN text ELSE text || repeat('" + C.PADDING + "', CAST(ceil((50 - length(text)) / " + str(len(C.PADDING)) + ".0) AS INTEGER)) END AS v FROM documents")
 def _(s, d):
-    return V.table(s, d, "documents").select("doc_id", C.ensure_length(F.left("text", (F.col("doc_id") % 90).cast("int"))).alias("v"))
+    return V.table(s, d, "documents").select("doc_id", C.ensure_length(F.col("text")).alias("v"))
 
 
 for _name, _pick in (("context_input", "input"), ("sft_outputs", "plain"), ("cot_inject", "cot"), ("sft_candidates", "instruction")):

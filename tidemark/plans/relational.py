@@ -56,12 +56,12 @@ def _(s, d):
 
 @q("daily_trend", "SELECT day, sum(a) AS n_a, sum(b) AS n_b FROM (SELECT strftime(snapshot_time, '%Y-%m-%d') AS day, 1 AS a, 0 AS b FROM products WHERE snapshot_time >= TIMESTAMP '2001-11-05' - INTERVAL 400 DAY UNION ALL SELECT strftime(snapshot_time, '%Y-%m-%d'), 0, 1 FROM offline WHERE snapshot_time >= TIMESTAMP '2001-11-05' - INTERVAL 400 DAY) GROUP BY 1", V.PRODUCTS + ", " + V.OFFLINE)
 def _(s, d):
-    return A.daily_trend(V.products(s, d), V.offline(s, d), "snapshot_time", "snapshot_time", AS_OF, 400)
+    return A.daily_trend(V.products(s, d, part=False), V.offline(s, d), "snapshot_time", "snapshot_time", AS_OF, 400)
 
 
 @q("price_by_type_origin", f"SELECT coalesce(nullif(product_type, ''), '未分类') AS product_type, coalesce(nullif(CASE WHEN origin LIKE 'A%' THEN '' ELSE origin END, ''), '未知') AS origin, {MEAN} AS avg_price, count(*) AS n FROM products WHERE snapshot_time >= TIMESTAMP '2001-11-05' - INTERVAL 730 DAY AND price IS NOT NULL GROUP BY 1, 2", V.PRODUCTS)
 def _(s, d):
-    return A.price_by_type_origin(V.products(s, d).withColumn("origin", F.when(F.col("origin").startswith("A"), "").otherwise(F.col("origin"))), AS_OF, 730)
+    return A.price_by_type_origin(V.products(s, d, supplier=True).withColumn("origin", F.when(F.col("origin").startswith("A"), "").otherwise(F.col("origin"))), AS_OF, 730)
 
 
 for _name, _order in (("price_rank_desc", "DESC"), ("price_rank_asc", "ASC")):
@@ -134,7 +134,7 @@ def _(s, d):
 
 @q("origin_topn", "SELECT origin, count(*) AS n FROM products WHERE origin IS NOT NULL AND origin NOT IN ('', '未知') GROUP BY 1 ORDER BY n DESC, origin LIMIT 10", V.PRODUCTS)
 def _(s, d):
-    return A.counts_by(V.products(s, d).where(F.col("origin").isNotNull() & ~F.col("origin").isin("", "未知")), "origin").limit(10)
+    return A.counts_by(V.products(s, d, part=False, supplier=True).where(F.col("origin").isNotNull() & ~F.col("origin").isin("", "未知")), "origin").limit(10)
 
 
 @q("theme_trend", f"SELECT {DAY} AS day, platform, {MEAN} AS avg_price, count(*) AS n FROM products WHERE snapshot_time >= TIMESTAMP '2001-11-05' - INTERVAL 180 DAY AND (title LIKE '%red%' OR title LIKE '%small%') GROUP BY 1, 2", V.PRODUCTS)
@@ -176,7 +176,7 @@ def _(s, d):
     (SELECT round(avg(coalesce(price_per_kg, price)), 2) AS a, count(*) AS na FROM products WHERE snapshot_time >= TIMESTAMP '2001-11-05' - INTERVAL 30 DAY),
     (SELECT round(avg(price), 2) AS b, count(*) AS nb FROM offline WHERE snapshot_time >= TIMESTAMP '2001-11-05' - INTERVAL 365 DAY)""", f"{V.PRODUCTS}, {V.OFFLINE}")
 def _(s, d):
-    on = V.products(s, d).where(A.since("snapshot_time", AS_OF, 30)).agg(F.round(F.avg(F.coalesce("price_per_kg", "price")), 2).alias("a"), F.count("*").alias("na"))
+    on = V.products(s, d, part=False).where(A.since("snapshot_time", AS_OF, 30)).agg(F.round(F.avg(F.coalesce("price_per_kg", "price")), 2).alias("a"), F.count("*").alias("na"))
     off = V.offline(s, d).where(A.since("snapshot_time", AS_OF, 365)).agg(F.round(F.avg("price"), 2).alias("b"), F.count("*").alias("nb"))
     n = F.col("na") + F.col("nb")
     return on.join(F.broadcast(off)).select(F.col("a").alias("online_avg"), F.col("b").alias("offline_avg"), n.alias("samples"), F.round((F.col("a") * F.col("na") + F.col("b") * F.col("nb")) / n, 2).alias("overall_avg"), F.round(F.abs(F.col("a") - F.col("b")), 2).alias("gap"))
@@ -211,14 +211,14 @@ def _(s, d):
 
 @q("cap_per_group", "SELECT row_key, origin, CAST(r AS INTEGER) AS rank FROM (SELECT row_key, origin, row_number() OVER (PARTITION BY origin ORDER BY price DESC, row_key) AS r FROM products) WHERE r <= 5", V.PRODUCTS)
 def _(s, d):
-    return A.cap_per_group(V.products(s, d), "origin", [F.desc("price"), "row_key"], 5).select("row_key", "origin", "rank")
+    return A.cap_per_group(V.products(s, d, part=False, supplier=True), "origin", [F.desc("price"), "row_key"], 5).select("row_key", "origin", "rank")
 
 
 LAST = "arg_max(price, (snapshot_time, row_key, price)) FILTER (WHERE price IS NOT NULL AND snapshot_time <= TIMESTAMP '2001-11-05'{})"
 for _days, _keys in ((7, "platform, product_type, spec, shop"), (30, "platform, product_type, spec")):
     @q(f"price_change_{_days}d", f"SELECT *, CASE WHEN baseline > 0 THEN round((latest - baseline) / baseline * 100, 4) END AS change_pct FROM (SELECT {_keys}, {LAST.format('')} AS latest, {LAST.format(f' - INTERVAL {_days} DAY')} AS baseline FROM products GROUP BY {_keys})", V.PRODUCTS)
     def _(s, d, days=_days, keys=_keys):
-        return asof.price_change(V.products(s, d), AS_OF, days, tuple(keys.split(", ")))
+        return asof.price_change(V.products(s, d, supplier=days == 7), AS_OF, days, tuple(keys.split(", ")))
 
 
 @q("price_change_backfill", """day AS (SELECT platform, product_type, spec, CAST(snapshot_time AS DATE) AS d, arg_max(price, (snapshot_time, row_key, price)) AS p FROM products WHERE platform = 'N' AND product_type <> '' AND spec <> '' AND snapshot_time < DATE '2001-06-02' GROUP BY ALL),
@@ -230,60 +230,91 @@ def _(s, d):
     return asof.backfill(V.products(s, d), "N", "2001-06-01")
 
 
-UP = "arg_max({0}, seq) AS {0}"
+ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
 
 
 def _raw(s, d):
-    """Snapshots with line numbers as letter case and repeats, so that keys collide."""
-    rows = V.table(s, d, "lineitem")
-    return rows.select(
-        F.col("l_returnflag").alias("platform"), F.concat(F.lit("type-with-a-name-longer-than-32-chars-"), F.col("l_linestatus")).alias("product_type"),
-        (F.col("l_partkey") % 50).cast("string").alias("spec"), F.concat(F.lit("shop"), F.col("l_suppkey") % 7).alias("shop"), F.date_trunc("YEAR", "l_shipdate").cast("timestamp_ntz").alias("snapshot_time"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"), F.col("l_extendedprice").alias("price"),
-        F.when(F.col("l_discount") > 0, F.col("l_tax")).alias("price_per_kg"), F.col("l_quantity").alias("first_quantity"),
+    """Snapshots in the order of their line items, with letter case and prefixes that make keys collide."""
+    odd = F.col("l_linenumber") % 2 == 1
+    return V.table(s, d, "lineitem").select(
+        F.when(odd, F.lower("l_returnflag")).otherwise(F.col("l_returnflag")).alias("platform"), F.concat(F.lit("keyword"), F.col("l_partkey") % 3).alias("keyword"),
+        F.concat(F.lit("title "), F.col("l_partkey")).alias("title"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_discount") > 0, F.col("l_tax")).alias("price_per_kg"),
+        F.when(odd, "").alias("price_unit"), F.when(odd, "USD").alias("currency"), F.concat(F.lit(" shop"), F.col("l_suppkey") % 7).alias("shop"),
+        F.when(F.col("l_partkey") % 11 == 0, "").otherwise(F.concat(F.lit("type-with-a-name-longer-than-32-chars-"), F.col("l_linestatus"))).alias("product_type"),
+        F.when(F.col("l_partkey") % 50 > 0, (F.col("l_partkey") % 50).cast("string")).alias("spec_weight_normalized"), F.concat(F.lit("https://example.org/i/"), F.col("l_partkey") % 200).alias("detail_url"),
+        F.col("l_quantity").alias("sales_or_commit"), (F.col("l_tax") > 0.04).alias("is_wild"), F.lit("x").alias("origin_raw"),
+        F.col("l_orderkey").alias("raw_id"), F.date_trunc("YEAR", "l_shipdate").cast("timestamp_ntz").alias("snapshot_time"), F.struct(*ORDER).alias("seq"),
     )
 
 
-RAW = """raw AS (SELECT l_returnflag AS platform, concat('type-with-a-name-longer-than-32-chars-', l_linestatus) AS product_type, CAST(l_partkey % 50 AS VARCHAR) AS spec,
-    concat('shop', l_suppkey % 7) AS shop, date_trunc('year', l_shipdate) AS snapshot_time, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq,
-    l_extendedprice AS price, CASE WHEN l_discount > 0 THEN l_tax END AS price_per_kg, l_quantity AS first_quantity FROM lineitem)"""
-KEYS = "substring(platform, 1, 16), substring(product_type, 1, 32), substring(spec, 1, 16), substring(shop, 1, 48), snapshot_time"
+#: Columns of the raw snapshots with the defaults of an upsert; the key's columns are those of a key's first row.
+RAW = f"""raw AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN lower(l_returnflag) ELSE l_returnflag END AS platform, concat('keyword', l_partkey % 3) AS keyword, concat('title ', l_partkey) AS title, l_extendedprice AS price,
+    CASE WHEN l_discount > 0 THEN l_tax END AS price_per_kg, 'CNY' AS price_unit, CASE WHEN l_linenumber % 2 = 1 THEN 'USD' ELSE 'CNY' END AS currency, concat('shop', l_suppkey % 7) AS shop,
+    CASE WHEN l_partkey % 11 = 0 THEN concat('keyword', l_partkey % 3) ELSE concat('type-with-a-name-longer-than-32-chars-', l_linestatus) END AS product_type,
+    CASE WHEN l_partkey % 50 > 0 THEN CAST(l_partkey % 50 AS VARCHAR) ELSE concat('url#', substring(md5(concat('https://example.org/i/', l_partkey % 200)), 1, 12)) END AS spec_weight_normalized,
+    concat('https://example.org/i/', l_partkey % 200) AS detail_url, l_quantity AS sales_or_commit, l_tax > 0.04 AS is_wild, 'x' AS origin_raw, l_orderkey AS raw_id, date_trunc('year', l_shipdate) AS snapshot_time, ({', '.join(ORDER)}) AS seq FROM lineitem),
+    keyed AS (SELECT *, (lower(substring(platform, 1, 16)), lower(substring(product_type, 1, 32)), lower(substring(spec_weight_normalized, 1, 16)), lower(substring(shop, 1, 48)), snapshot_time) AS k FROM raw),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS f, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS l FROM keyed)"""
 
 
-@q("upsert_snapshot", f"""SELECT f.platform, f.product_type, f.spec, l.shop, f.snapshot_time, f.first_quantity, l.price, l.price_per_kg
-    FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY seq) AS r, min(seq) OVER (PARTITION BY {KEYS}) AS g FROM raw) f
-    JOIN (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY seq DESC) AS r, min(seq) OVER (PARTITION BY {KEYS}) AS g FROM raw) l ON f.r = 1 AND l.r = 1 AND f.g = l.g""", RAW)
+@q("upsert_snapshot", """SELECT f.platform, f.product_type, f.spec_weight_normalized, f.snapshot_time, l.keyword, l.title, l.price, l.price_per_kg, l.price_unit, l.currency, l.shop, l.detail_url, l.sales_or_commit, l.is_wild, l.origin_raw, l.raw_id
+    FROM ranked f JOIN ranked l ON f.f = 1 AND l.l = 1 AND f.k = l.k""", RAW)
 def _(s, d):
-    return merge.upsert(_raw(s, d), merge.SNAPSHOT, ["seq"]).drop("seq")
+    return merge.upsert(merge.snapshot_defaults(_raw(s, d)), merge.SNAPSHOT, ["seq"]).drop("seq")
 
 
-INTEL_UPSERTS = {"upsert_intel_batch": (merge.INTEL_BATCH, "source_url"), "upsert_intel_sqlite": (merge.INTEL_SQLITE, "source_url"), "upsert_intel_mysql": (merge.INTEL_MYSQL, "source_url")}
-for _name, (_policy, _key) in INTEL_UPSERTS.items():
-    _cols = ["source_type", "title", "pub_time", "org", "region"]
+#: What crawlers add to an item of the view.
+ADDED = "concat('[\"', region, '\"]') AS tags_json, concat('{\"n\":', id % 7, '}') AS extra_json, id * 10 AS raw_id, concat('[\"', region, '\"]') AS tags, concat('{\"n\":', id % 7, '}') AS extra, CASE WHEN id % 2 = 0 THEN upper(source_url) ELSE source_url END AS cased"
+
+
+def _items(s, d):
+    """Intel items with tags, extras and raw ids; every other URL in upper case."""
+    tags, extra = F.concat(F.lit('["'), "region", F.lit('"]')), F.concat(F.lit('{"n":'), F.col("id") % 7, F.lit("}"))
+    return V.intel(s, d).select("*", tags.alias("tags_json"), extra.alias("extra_json"), (F.col("id") * 10).alias("raw_id"), tags.alias("tags"), extra.alias("extra"), F.when(F.col("id") % 2 == 0, F.upper("source_url")).otherwise(F.col("source_url")).alias("cased"))
+
+
+INTEL_UPSERTS = {"upsert_intel_batch": merge.INTEL_BATCH, "upsert_intel_sqlite": merge.INTEL_SQLITE, "upsert_intel_mysql": merge.INTEL_MYSQL}
+for _name, _policy in INTEL_UPSERTS.items():
+    _cols = ["source_type", "title", "pub_time", "org", "region", "content", *(("tags", "extra") if _name.endswith("sqlite") else ("tags_json", "extra_json", "raw_id"))]
     _sel = ", ".join(f"{'last' if c in _policy.update else 'first'}({c} ORDER BY id) AS {c}" for c in _cols)
+    _url = "CASE WHEN id % 11 = 0 THEN '' ELSE cased END"
 
-    @q(_name, f"SELECT {_key}, {_sel} FROM (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN '' ELSE source_url END AS source_url) FROM intel){' WHERE source_url <> ' + chr(39) * 2 if _policy.required else ''} GROUP BY {_key}", V.INTEL)
-    def _(s, d, policy=_policy, key=_key, cols=tuple(_cols)):
-        rows = V.intel(s, d).withColumn("source_url", F.when(F.col("id") % 11 == 0, "").otherwise(F.col("source_url"))).drop("content")
-        return merge.upsert(rows, policy, ["id"]).select(key, *cols)
+    @q(_name, f"SELECT first(url ORDER BY id) AS source_url, {_sel} FROM (SELECT *, {_url} AS url FROM (SELECT *, {ADDED} FROM intel)){' WHERE url <> ' + chr(39) * 2 if _policy.required else ''} GROUP BY {'lower(url)' if _policy.ignore_case else 'url'}", V.INTEL)
+    def _(s, d, policy=_policy, cols=tuple(_cols)):
+        rows = _items(s, d).withColumn("source_url", F.when(F.col("id") % 11 == 0, "").otherwise(F.col("cased")))
+        return merge.upsert(rows.select("id", "source_url", *cols), policy, ["id"]).select("source_url", *cols)
 
 
-@q("upsert_paper", "SELECT url, first(title ORDER BY id) AS title, last(abstract ORDER BY id) AS abstract FROM (SELECT source_url AS url, title, substring(content, 1, 80) AS abstract, id FROM intel) GROUP BY url", V.INTEL)
+@q("upsert_paper", f"SELECT first(cased ORDER BY id) AS url, first(title ORDER BY id) AS title, first(authors ORDER BY id) AS authors, last(abstract ORDER BY id) AS abstract, last(tags_json ORDER BY id) AS keywords_json, last(raw_id ORDER BY id) AS raw_id FROM (SELECT *, org AS authors, content AS abstract, {ADDED} FROM intel) GROUP BY lower(cased)", V.INTEL)
 def _(s, d):
-    rows = V.intel(s, d).select(F.col("source_url").alias("url"), "title", F.left("content", F.lit(80)).alias("abstract"), "id")
+    rows = _items(s, d).select(F.col("cased").alias("url"), "title", F.col("org").alias("authors"), F.col("content").alias("abstract"), F.col("tags_json").alias("keywords_json"), "raw_id", "id")
     return merge.upsert(rows, merge.PAPER, ["id"]).drop("id")
 
 
-@q("upsert_offline", "SELECT source_name, market_name, product_type, snapshot_time, first(region ORDER BY id) AS region, last(price ORDER BY id) AS price FROM (SELECT * REPLACE (date_trunc('month', snapshot_time) AS snapshot_time) FROM offline) GROUP BY 1, 2, 3, 4", V.OFFLINE)
+@q("upsert_offline", """SELECT first(source_name ORDER BY id) AS source_name, first(market_name ORDER BY id) AS market_name, product_type, snapshot_time, first(region ORDER BY id) AS region, last(product_name_raw ORDER BY id) AS product_name_raw, last(spec ORDER BY id) AS spec, last(min_price ORDER BY id) AS min_price,
+    last(max_price ORDER BY id) AS max_price, last(price ORDER BY id) AS price, last(unit ORDER BY id) AS unit, last(date_str ORDER BY id) AS date_str, last(remark ORDER BY id) AS remark, last(id * 10 ORDER BY id) AS raw_id
+    FROM (SELECT * REPLACE (date_trunc('month', snapshot_time) AS snapshot_time, CASE WHEN id % 2 = 0 THEN lower(market_name) ELSE market_name END AS market_name), concat(id % 9, 'kg') AS spec, CASE WHEN id % 3 = 0 THEN price - 1 END AS min_price,
+        CASE WHEN id % 3 = 0 THEN price + 1 END AS max_price, '元/公斤' AS unit, strftime(snapshot_time, '%Y-%m-%d') AS date_str, CASE WHEN id % 5 = 0 THEN 'r' END AS remark FROM offline) GROUP BY lower(source_name), lower(market_name), product_type, snapshot_time""", V.OFFLINE)
 def _(s, d):
-    rows = V.offline(s, d).withColumn("snapshot_time", F.date_trunc("MONTH", "snapshot_time").cast("timestamp_ntz")).drop("product_name_raw")
+    i = F.col("id")
+    rows = V.offline(s, d).withColumns({
+        "date_str": F.date_format("snapshot_time", "yyyy-MM-dd"), "snapshot_time": F.date_trunc("MONTH", "snapshot_time").cast("timestamp_ntz"), "market_name": F.when(i % 2 == 0, F.lower("market_name")).otherwise(F.col("market_name")),
+        "spec": F.concat(i % 9, F.lit("kg")), "min_price": F.when(i % 3 == 0, F.col("price") - 1), "max_price": F.when(i % 3 == 0, F.col("price") + 1), "unit": F.lit("元/公斤"), "remark": F.when(i % 5 == 0, "r"), "raw_id": i * 10,
+    })
     return merge.upsert(rows, merge.OFFLINE, ["id"]).drop("id")
 
 
-@q("column_prune", "SELECT platform, keyword, title, snapshot_time FROM products ORDER BY row_key LIMIT 1000", V.PRODUCTS)
+@q("run_log", "SELECT id, source_name, strftime(started_at, '%Y-%m-%d %H:%M') AS started, CASE WHEN id % 10 = 0 THEN 'RUNNING' ELSE status END AS status, CASE WHEN id % 10 = 0 THEN 0 ELSE CAST(floor(items) AS BIGINT) END AS items, CASE WHEN id % 10 <> 0 AND status = 'FAIL' THEN 'error' END AS error_text FROM runs", V.RUNS)
+def _(s, d):
+    runs = V.runs(s, d)
+    ended = runs.where("id % 10 <> 0").select("id", F.col("started_at").alias("ended_at"), "status", F.floor("items").alias("items"), F.when(F.col("status") == "FAIL", "error").alias("error_text"))
+    log = merge.start_run(s.createDataFrame([], "id long, source_name string, started_at timestamp_ntz, status string, items long"), runs.select("id", "source_name", F.col("started_at").cast("timestamp_ntz").alias("started_at")))
+    return merge.finish_run(log, ended).select("id", "source_name", F.date_format("started_at", "yyyy-MM-dd HH:mm").alias("started"), "status", "items", "error_text")
+
+
+@q("column_prune", "SELECT platform, keyword, title, snapshot_time FROM products", V.PRODUCTS)
 def _(s, d):
-    rows = V.products(s, d).orderBy("row_key").limit(1000)
-    return merge.column_prune(rows, ["platform", "keyword", "title", "snapshot_time", "extra"], {"platform", "keyword", "title", "snapshot_time"})
+    return merge.column_prune(V.products(s, d), ["platform", "keyword", "title", "snapshot_time", "extra"], {"platform", "keyword", "title", "snapshot_time"})
 
 
 @q("defaults_and_require_key", "SELECT coalesce(nullif(trim(org), ''), 'none') AS org, coalesce(nullif(trim(region), ''), 'x') AS region, source_url FROM (SELECT CASE WHEN id % 3 = 0 THEN ' ' ELSE org END AS org, region, CASE WHEN id % 5 = 0 THEN '' ELSE source_url END AS source_url FROM intel) WHERE trim(source_url) <> ''", V.INTEL)

@@ -10,22 +10,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def products(spark: SparkSession, d: str) -> DataFrame:
-    """product_snapshot: one row for each line item; price_per_kg is null where there is no discount."""
-    line = table(spark, d, "lineitem")
-    joined = (
-        line.join(table(spark, d, "part"), line["l_partkey"] == F.col("p_partkey"))
-        .join(table(spark, d, "supplier"), line["l_suppkey"] == F.col("s_suppkey"))
-        .join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    )
-    return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
-        F.col("l_returnflag").alias("platform"), F.col("p_brand").alias("keyword"), F.col("p_name").alias("title"),
-        F.col("p_type").alias("product_type"), F.col("p_size").cast("string").alias("spec"), F.col("s_name").alias("shop"),
-        F.col("l_extendedprice").alias("price"),
-        F.when(F.col("l_discount") > 0, F.col("l_extendedprice") / F.col("l_quantity")).alias("price_per_kg"),
-        F.col("n_name").alias("origin"), F.col("l_shipdate").alias("snapshot_time"), F.col("l_linestatus").alias("status"),
-    )
+def products(spark: SparkSession, d: str, part: bool = True, supplier: bool = False) -> DataFrame:
+    """product_snapshot: one row for each line item; price_per_kg is null where there is no discount.
+
+    part and supplier join the tables of keyword, title, type and spec, and of shop and origin; every line has both,
+    so a query that reads none of their columns does without.
+    """
+    rows = table(spark, d, "lineitem")
+    columns = [
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"), F.col("l_returnflag").alias("platform"),
+        F.col("l_extendedprice").alias("price"), F.when(F.col("l_discount") > 0, F.col("l_extendedprice") / F.col("l_quantity")).alias("price_per_kg"),
+        F.col("l_shipdate").alias("snapshot_time"), F.col("l_linestatus").alias("status"),
+    ]
+    if part:
+        rows = rows.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        columns += [F.col("p_brand").alias("keyword"), F.col("p_name").alias("title"), F.col("p_type").alias("product_type"), F.col("p_size").cast("string").alias("spec")]
+    if supplier:
+        rows = rows.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        columns += [F.col("s_name").alias("shop"), F.col("n_name").alias("origin")]
+    return rows.select(*columns)
 
 
 PRODUCTS = """products AS (

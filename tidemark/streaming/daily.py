@@ -5,14 +5,14 @@ An addition: the source of these semantics polls instead of streaming.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.merge import Policy, upsert
+from tidemark.operators.store import shared_dir
 
 
 def daily_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", late: str = "1 day") -> DataFrame:
@@ -47,16 +47,19 @@ def upsert_stream(rows: DataFrame, state: str, checkpoint: str, policy: Policy,
 
 
 def _stream_daily(spark: SparkSession, d: str) -> DataFrame:
-    """The stream's result over the events table, read as one file stream in complete mode."""
+    """The stream's result over the events table, read as one file stream in complete mode.
+
+    Each call has a folder of its own in the shared one, so it reads all events again; the sink is a Parquet table.
+    """
     events = spark.read.parquet(f"{d}/events.parquet")
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = f"{conf.rstrip('/')}/stream-{abs(hash(d))}" if conf else tempfile.mkdtemp(prefix="stream-")
-    if not conf:
-        shutil.rmtree(base, ignore_errors=True)
-    name = f"daily_{abs(hash(d))}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     days = daily_counts(spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(d))
-    days.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/days")
+
+    days.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(days.schema).parquet(f"{base}/days")
 
 
 Q = {
