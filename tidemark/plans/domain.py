@@ -50,6 +50,23 @@ def sql_texts(values, expr: str) -> str:
     return f"SELECT k, {expr} FROM (SELECT p_partkey AS k, {sql_turn(values, 'p_partkey')} AS t FROM part)"
 
 
+def quoted(x) -> str:
+    """A literal of the oracle's SQL."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, list):
+        return "[" + ", ".join(map(quoted, x)) + "]"
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x!r}e0" if isinstance(x, float) else repr(x)
+
+
+def expected(values: tuple, columns: str, rows: list[tuple], key: str = "k") -> str:
+    """SQL of what each of the texts in turn must give: rows start with the text's place, columns hold the rest."""
+    cells = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+    kind = "CAST(p_partkey AS VARCHAR)" if key == "file" else "p_partkey"
+    head = f"{kind} AS {key}, " if key else ""
+    return f"SELECT {head}{columns} FROM part JOIN (VALUES {cells}) AS e(i, {columns}) ON p_partkey % {len(values)} = e.i"
+
+
 UWS = r"[\s\x{3000}\x{00A0}]"
 
 
@@ -135,7 +152,29 @@ def _(s, d):
     return items.select("k", R.extract_origin(F.col("title"), F.col("province"), F.col("city"), F.col("origin"))["origin"].alias("origin"))
 
 
-@q("enrich_all")
+#: What each title must give: type, confidence, weight text, grams, packs, storage; organic, ASC, QS, wild and fresh flags.
+ENRICHED = [
+    (0, "king_salmon", 0.98, "1000g", 1000.0, 2, "frozen", 0, 1, 0, 0, 0),
+    (1, "rainbow_trout", 0.98, "1500g", 1500.0, 1, "ice_fresh", 1, 0, 0, 0, 1),
+    (2, "salmon_generic", 0.7, "", None, None, None, 0, 0, 0, 0, 0),
+    (3, "king_salmon", 0.98, "1000g", 1000.0, 1, None, 0, 0, 0, 1, 0),
+    (4, "rainbow_trout", 0.98, "500g", 500.0, 1, "fresh", 0, 0, 0, 0, 1),
+    (5, "salmon_generic", 0.7, "1500g", 1500.0, 1, "live_fresh", 0, 0, 0, 0, 1),
+    (6, "rainbow_trout", 0.98, "907.185g", 907.185, 1, None, 0, 0, 0, 0, 0),
+    (7, "unknown", 0.0, "500g", 500.0, 1, "fresh", 0, 0, 0, 0, 1),
+    (8, "unknown", 0.0, "", None, None, None, 1, 0, 0, 0, 0),
+    (9, "unknown", 0.0, "1020.582g", 1020.582, 3, None, 0, 0, 0, 0, 0),
+]
+ENRICH = f"""SELECT k, title, '' AS keyword, '' AS category, '' AS spec, CASE WHEN far THEN '新疆' END AS province, CASE WHEN far THEN '乌鲁木齐' END AS city, '' AS origin, price, product_type, CAST(NULL AS BIGINT) AS type_rule_id, type_confidence,
+    spec_weight_normalized, total_grams, pack_count, concat_ws('-', place, CASE WHEN place = '中国' THEN home WHEN far THEN '新疆' END, CASE WHEN far THEN '乌鲁木齐' END) AS origin_standardized, place AS origin_country,
+    CASE WHEN place = '中国' THEN home WHEN far THEN '新疆' END AS origin_province, CASE WHEN far THEN '乌鲁木齐' END AS origin_city, storage_method, cert_organic, 0 AS cert_green_food, cert_asc, 0 AS cert_msc, 0 AS cert_bap, 0 AS cert_haccp, 0 AS cert_halal, cert_qs,
+    is_wild, is_fresh, CAST(NULL AS DOUBLE) AS omega3, round(price / (total_grams / 1000), 2) AS price_per_kg
+    FROM (SELECT *, CASE WHEN title LIKE '%智利%' THEN '智利' WHEN title LIKE '%挪威%' THEN '挪威' WHEN title LIKE '%青海%' OR far THEN '中国' END AS place, CASE WHEN title LIKE '%青海%' THEN '青海' WHEN far THEN '新疆' END AS home
+        FROM (SELECT p_partkey AS k, {sql_turn(TITLES, 'p_partkey')} AS title, p_partkey % 7 = 0 AS far, p_retailprice AS price, e.* FROM part JOIN (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in ENRICHED)})
+            AS e(i, product_type, type_confidence, spec_weight_normalized, total_grams, pack_count, storage_method, cert_organic, cert_asc, cert_qs, is_wild, is_fresh) ON p_partkey % {len(TITLES)} = e.i))"""
+
+
+@q("enrich_all", ENRICH)
 def _(s, d):
     return R.enrich(_items(s, d))
 
@@ -202,12 +241,21 @@ def _files(s, d) -> DataFrame:
     return texts(s, d, CSV).select(F.col("k").cast("string").alias("file"), F.col("t").alias("text"))
 
 
-@q("csv_import_valid")
+SHEETS = "source_name, market_name, region, product_type, product_name_raw, spec, min_price, max_price, price, unit, storage_method, date_str, remark, snapshot_time"
+VALID = expected(CSV, SHEETS, [
+    (0, "offline_csv", "A市场", "", "rainbow_trout", "虹鳟 冰鲜", "", None, None, 50.0, "元/公斤", "ice_fresh", "2026-02-25", "", "2026-02-25"),
+    (0, "offline_csv", "B", "", "king_salmon", "帝王鲑", "", None, None, 130.0, "元/公斤", None, "20260226", "", "2026-02-26"),
+    (1, "offline_csv", "", "", "rainbow_trout", "虹鳟", "", None, None, 60.0, "元/公斤", None, "", "", "1970-01-01"),
+    (4, "offline_csv", "", "", "king_salmon", "帝王鲑", "", 120.0, 140.0, 130.0, "元/公斤", None, "", "", "1970-01-01"),
+], key="")
+
+
+@q("csv_import_valid", f"SELECT * REPLACE (CAST(snapshot_time AS TIMESTAMP) AS snapshot_time) FROM ({VALID})")
 def _(s, d):
     return S.snapshots(S.csv_rows(_files(s, d)))
 
 
-@q("csv_import_errors")
+@q("csv_import_errors", expected(CSV, "row_num, field, message", [(1, 2, "product_name_raw", "品名为空"), (2, 1, "header", "neither product name nor price in the header"), (3, 1, "header", "no header")], key="file"))
 def _(s, d):
     return S.row_errors(S.csv_rows(_files(s, d)))
 
@@ -225,30 +273,42 @@ HTML = (
 )
 
 
-@q("html_price_table")
+PRICES = "product_name, market_name, region, spec, date, remark, min_price, max_price, avg_price, unit, storage_method"
+
+
+@q("html_price_table", expected(HTML, PRICES, [
+    (0, "虹鳟 冰鲜", "A", "", "", "", "", None, None, 50.0, "元/公斤", "ice_fresh"), (0, "草鱼 活鲜", "B", "", "", "", "", None, None, 9.0, "元/公斤", "fresh"),
+    (1, "帝王鲑", "", "", "4-6kg/条", "", "", 40.0, 60.0, 50.0, "元/公斤", None),
+]))
 def _(s, d):
     return S.html_prices(texts(s, d, HTML), "k", "t")
 
 
-@q("html_cards")
+@q("html_cards", expected(HTML, "sku, title, price", [(4, "12", "三文鱼", "¥ 88.0")]))
 def _(s, d):
     return texts(s, d, HTML).select("k", F.explode(P.cards("t")).alias("c")).select("k", "c.*")
 
 
-@q("html_links")
+UNESCAPED = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+@q("html_links", f"""SELECT page_id, title, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || href AS url FROM (SELECT page_id, url, regexp_extract(m, '"([^"]*)"', 1) AS href, {FLAT.format(UNESCAPED.format("regexp_extract(m, '>([^<]*)</a>', 1)"))} AS title
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="[^"]+">[^<]*</a>')) AS m FROM pages)) WHERE title <> ''""")
 def _(s, d):
     return V.table(s, d, "pages").select("page_id", F.explode(P.links("html", "url")).alias("l")).select("page_id", "l.*")
 
 
-@q("html_detail")
+@q("html_detail", f"""SELECT page_id, {FLAT.format(UNESCAPED.format("regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')"))} AS title,
+    array_to_string(list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:], lambda p: {FLAT.format(UNESCAPED.format("regexp_replace(string_split(p, '</p>')[1], '<[^>]*>', ' ', 'g')"))}), lambda p: p <> ''), chr(10)) AS text FROM pages""")
 def _(s, d):
-    return V.table(s, d, "pages").select("page_id", P.detail("html").alias("x")).select("page_id", "x.title", F.length("x.text").alias("n_text"))
+    return V.table(s, d, "pages").select("page_id", P.detail("html").alias("x")).select("page_id", "x.*")
 
 
 META = ("日期：2026-02-10\n作者：张三 来源：报社【字号", "来源: 某网【字号 大】", "")
 
 
-@q("meta_extract")
+@q("meta_extract", expected(META, "pub_time, author, source", [(0, "2026-02-10", "张三", "报社"), (1, "", "", "某网"), (2, "", "", "")]))
 def _(s, d):
     return texts(s, d, META).select("k", *(c.alias(n) for n, c in P.meta(F.col("t")).items()))
 
@@ -264,7 +324,9 @@ def _(s, d):
 LISTS = ('{"data":{"list":[{"prodName":"虹鳟","avgPrice":"50"},{"name":"帝王鲑","minPrice":120,"maxPrice":140},{"name":""}]}}', '[{"品名":"三文鱼","均价":"90.5元","市场":"X"}]', '{"data":[]}')
 
 
-@q("json_list_rows")
+@q("json_list_rows", expected(LISTS, PRICES, [
+    (0, "虹鳟", "", "", "", "", "", None, None, 50.0, "元/公斤", None), (0, "帝王鲑", "", "", "", "", "", 120.0, 140.0, 130.0, "元/公斤", None), (1, "三文鱼", "X", "", "", "", "", None, None, 90.5, "元/公斤", None),
+]))
 def _(s, d):
     return S.json_list(texts(s, d, LISTS), "k", "t")
 
@@ -272,7 +334,9 @@ def _(s, d):
 JSONP = ('mtopjsonp1({"ret":["SUCCESS::ok"],"data":{"itemsArray":[{"title":"<b>三文鱼</b>","price":"88.5","item_id":"7","procity":"浙江 杭州"},{"title":""},{"title":"x","url":"//a.b/c","price":"1"}]}})', 'cb({"ret":["FAIL::x"]})')
 
 
-@q("jsonp_products")
+@q("jsonp_products", expected(JSONP, "keyword, pos, item_id, title, price, original_price, sales, shop, province, city, detail_url", [
+    (0, "三文鱼", 0, "7", "三文鱼", 88.5, None, None, None, "浙江", "杭州", "https://item.taobao.com/item.htm?id=7"), (0, "三文鱼", 2, None, "x", 1.0, None, None, None, None, None, "https://a.b/c"),
+]))
 def _(s, d):
     return S.jsonp_products(texts(s, d, JSONP).withColumn("keyword", F.lit("三文鱼")), "k", "t", "keyword")
 
@@ -285,9 +349,12 @@ def _(s, d):
 SCHOLAR = ('{"data":[{"title":" A ","year":2020,"abstract":"","authors":[{"name":"x"},{"name":""}]},{"title":"B","publicationDate":"2021-05-06","url":"http://b"},{"title":"old","year":1999}]}', '{"data":null}')
 
 
-@q("scholar_normalize")
+@q("scholar_normalize", "SELECT * REPLACE (CASE WHEN source_url = '' THEN concat('scholar:', sha1('trout||A')) ELSE source_url END AS source_url) FROM (" + expected(SCHOLAR, "pos, title, content, pub_time, source_url, authors", [
+    (0, 0, "A", "A", "2020-01-01", "", "x"), (0, 1, "B", "B", "2021-05-06", "http://b", None),
+]) + ")")
 def _(s, d):
-    return S.scholar(texts(s, d, SCHOLAR).withColumn("query", F.lit("trout")), "k", "t", "query", 2010)
+    found = S.scholar(texts(s, d, SCHOLAR).withColumn("query", F.lit("trout")), "k", "t", "query", 2010)
+    return found.withColumn("authors", F.array_join("authors", ","))
 
 
 @q("array_project", sql_texts(SCHOLAR, "u AS authors").replace("FROM (SELECT p_partkey AS k", "FROM (SELECT k, unnest(CASE WHEN k % 2 = 0 THEN ['x', NULL] ELSE [] END) AS u FROM (SELECT p_partkey AS k") + ")")
@@ -316,7 +383,13 @@ def _(s, d):
     return tables.predictions(V.table(s, d, "conversations").select(F.col("role").alias("predict")))
 
 
-@q("chunk_docs")
+SENTENCES = r"list_filter(list_transform(regexp_extract_all({}, '[^。！？；!?;]+[。！？；!?;]?|[。！？；!?;]'), lambda y: trim(y, ' ' || chr(10) || chr(9))), lambda y: y <> '')"
+#: Texts with runs of blanks as one and of line ends as two.
+NORMAL = r"regexp_replace(regexp_replace(translate({}, '　' || chr(160) || chr(13), '  ' || chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@q("chunk_docs", f"""SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS part, unnest(c) AS chunk FROM (SELECT doc_id, string_split(list_reduce(x, lambda a, y: CASE WHEN length(string_split(a, chr(1))[-1]) + length(y) <= 300 THEN a || y ELSE a || chr(1) || y END), chr(1)) AS c
+    FROM (SELECT doc_id, {SENTENCES.format(NORMAL.format("replace(text, '.', '。')"))} AS x FROM documents) WHERE len(x) > 0)""")
 def _(s, d):
     docs = V.table(s, d, "documents").withColumn("text", F.translate("text", ".", "。"))
     return docs.select("doc_id", F.posexplode(T.chunks(F.col("text"), 300)).alias("part", "chunk"))
@@ -331,25 +404,33 @@ def _(s, d):
 TSV = ("1\t题名\t作者\t单位\t2026-01-01\t刊\t库\t水产;养殖\t" + "摘要句子内容足够长。" * 40 + "\thttp://x", "too\tshort", "2\tB\ta\ti\td\ts\tdb\tk\tshort\tu")
 
 
-@q("tsv_blocks")
+@q("tsv_blocks", f"SELECT md5(concat('题名|2026-01-01|http://x', p_partkey)) AS doc_id, '题名' AS title, section, repeat('摘要句子内容足够长。', n) AS chunk, '水产,养殖' AS keywords FROM part JOIN (VALUES ('摘要片段1', 30), ('摘要片段2', 10)) AS e(section, n) ON p_partkey % {len(TSV)} = 0")
 def _(s, d):
-    return D.tsv_blocks(texts(s, d, TSV).select(F.concat("t", F.col("k").cast("string")).alias("value")))
+    found = D.tsv_blocks(texts(s, d, TSV).select(F.concat("t", F.col("k").cast("string")).alias("value")))
+    return found.withColumn("keywords", F.array_join("keywords", ","))
 
 
 MD = ("| a | b |\n|---|---|\n| 1 | 2 |\n\n| a | b |\n|---|---|\n| 3 | 4 |\n", "plain", "图1 说明文字\n\n正文", "| a |\n|---|\n| 1 |\n")
 
 
-@q("merge_tables")
+#: The second table loses its head; a lone table and texts without one stay.
+MERGED = [(0, "| a | b |\n|---|---|\n| 1 | 2 |\n\n| 3 | 4 |\n"), (1, MD[1]), (2, MD[2]), (3, MD[3])]
+
+
+@q("merge_tables", expected(MD, "v", MERGED))
 def _(s, d):
     return texts(s, d, MD).select("k", D.merge_tables("t").alias("v"))
 
 
-@q("figure_captions")
+CAPTIONED = "\n\n**图1** 说明文字\n\n\n\n正文"
+
+
+@q("figure_captions", expected(MD, "v", [(0, MD[0]), (1, MD[1]), (2, CAPTIONED.replace("\n\n\n\n", "\n\n")), (3, MD[3])]))
 def _(s, d):
     return texts(s, d, MD).select("k", D.figure_captions(F.col("t")).alias("v"))
 
 
-@q("postprocess_docs")
+@q("postprocess_docs", expected(MD, "v", [*MERGED[:2], (2, CAPTIONED.replace("\n\n\n\n", "\n\n")), MERGED[3]]))
 def _(s, d):
     return texts(s, d, MD).select("k", D.postprocess(F.col("t")).alias("v"))
 
@@ -386,12 +467,18 @@ def _(s, d):
     return D.assert_real(V.table(s, d, "documents"), "source", "text").select("doc_id")
 
 
-@q("candidate_phrases")
+#: Runs of letters in order of weight, domain terms first, then by first occurrence.
+PHRASES = [
+    (0, "冷冻|智利进口帝王鲑刺身|ASC认证"), (1, "冰鲜|青海冷水虹鳟|kg|有机认证"), (2, "三文鱼柳"), (3, "野生帝王鲑|kg"), (4, "鲜虹鳟鱼排"), (5, "挪威三文鱼|鲜活|斤装"), (6, "rainbow|trout|fillet|lb"), (7, "海鲜礼盒"), (8, "有机蔬菜套餐"), (9, "SC认证|金鳟|oz"),
+]
+
+
+@q("candidate_phrases", expected(TITLES, "v", PHRASES))
 def _(s, d):
     return texts(s, d, TITLES).select("k", F.array_join(C.candidate_phrases(F.col("t")), "|").alias("v"))
 
 
-@q("domain_terms")
+@q("domain_terms", expected((0, 1, 2), "v", [(0, "养殖|水质|饲料"), (1, ""), (2, "三文鱼|冷冻|品质")]))
 def _(s, d):
     return texts(s, d, ("养殖水质与饲料", "不涉及水产养殖", "冷冻三文鱼的品质")).select("k", F.array_join(C.domain_terms(F.col("t")), "|").alias("v"))
 
@@ -474,22 +561,55 @@ def _(s, d):
     return rows.select(F.col("ord").alias("doc_id"), F.array_join(C.key_sentences(F.col("sentences"), F.col("content"), 3, F.col("ord")), "|").alias("v"))
 
 
-@q("focus_terms")
-def _(s, d):
-    return C.prepared(_blocks(s, d)).select("doc_id", F.array_join("focus", "|").alias("focus"))
+#: Each block's sentences and focus terms. The blocks' only domain terms are those of their first words, and pH.
+READY = f"""b AS (SELECT doc_id AS ord, left(text, 20) AS title, coalesce(source, '') AS section, lang, '水产养殖材料。' || replace(text, '.', '。') AS content, {SENTENCES.format(NORMAL.format("'水产养殖材料。' || replace(text, '.', '。')"))} AS x FROM documents),
+    r AS (SELECT ord, w, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT ord, 0 AS w, regexp_extract_all(title, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z]{{2,12}}') AS l FROM b UNION ALL SELECT ord, 1, regexp_extract_all(content, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z]{{2,12}}') FROM b)),
+    g AS (SELECT ord, w, p, min(pos) AS pos, count(*) * CASE WHEN p = 'pH' THEN 5 ELSE 1 END AS n FROM r GROUP BY ord, w, p),
+    t AS (SELECT ord, list(p ORDER BY n DESC, pos) FILTER (WHERE w = 0) AS a, list(p ORDER BY n DESC, pos) FILTER (WHERE w = 1) AS c FROM g GROUP BY ord),
+    u AS (SELECT b.*, list_concat([lang], CASE WHEN contains(content, 'pH') THEN ['pH', '养殖', '水产养殖'] ELSE ['养殖', '水产养殖'] END, coalesce(a[1:8], []), coalesce(c[1:8], [])) AS l FROM b JOIN t USING (ord)),
+    f AS (SELECT ord, title, section, content, x, list_filter(l, lambda y, i: list_position(l, y) = i)[1:6] AS focus FROM u),
+    k AS (SELECT *, focus[ord % len(focus) + 1] AS one, CASE WHEN len(focus) > 1 THEN focus[(ord + 1) % len(focus) + 1] ELSE focus[1] || '的相关因素' END AS two,
+        CASE WHEN len(x) <= 3 THEN x ELSE x[ord % (len(x) - 2) + 1 : ord % (len(x) - 2) + 3] END AS k3, CASE WHEN len(x) <= 2 THEN x ELSE x[ord % (len(x) - 1) + 1 : ord % (len(x) - 1) + 2] END AS k2 FROM f)"""
 
 
-@q("ensure_length", "SELECT doc_id, CASE WHEN length(text) >= 50 THEN text ELSE text || repeat('" + C.PADDING + "', CAST(ceil((50 - length(text)) / " + str(len(C.PADDING)) + ".0) AS INTEGER)) END AS v FROM documents")
+@q("focus_terms", f"WITH {READY} SELECT CAST(ord AS VARCHAR) AS doc_id, array_to_string(focus, '|') AS focus FROM f")
 def _(s, d):
-    return V.table(s, d, "documents").select("doc_id", C.ensure_length(F.col("text")).alias("v"))
+    return C.prepared(_blocks(s, d)).select("doc_id", F.array_join("focus", "|").alias("focus"))
+
 
+def _sql_prompt(template: str) -> str:
+    prompts = C.PROMPTS[template]
+    return f"replace(replace(replace({quoted(list(prompts))}[ord % {len(prompts)} + 1], '{{focus}}', one), '{{left}}', one), '{{right}}', two)"
+
+
+#: What each template says, from its key sentences without their closing marks: a, b, c of three, d and e of two.
+SAID = {
+    "definition": ("根据材料，", "one", "主要指", "d", "。结合文中语境可知，", "one", "的关键特征在于", "e", "。在该研究场景下，", "one", "是理解文献核心观点的重要概念。"),
+    "reasoning": ("从材料可以看出，", "one", "的形成首先与", "a", "有关。进一步分析，", "b", "说明其背后存在明显的因果链条。因此，", "one", "最终会影响", "coalesce(c, section)", "，并对水产养殖实践产生实际意义。"),
+    "comparison": ("根据材料，", "one", "与", "two", "都与“", "section", "”相关，但侧重点并不相同。其中，", "one", "更突出", "a", "；而", "two", "则更多体现为", "b", "。综合比较可知，两者在研究对象、作用机制和实际应用上存在差异，文中最终强调的是", "coalesce(c, title)", "。"),
+    "summary": ("材料围绕“", "title", "”展开，主要讨论了", "a", "。进一步来看，文中指出", "b", "。综合而言，该材料的核心结论是", "coalesce(c, z)", "。"),
+    "application": ("结合材料，", "one", "可应用于水产养殖生产管理、市场监测或技术优化等场景。具体而言，可先依据", "a", "建立分析依据，再根据", "b", "制定执行方案。在落地过程中，还应关注", "coalesce(c, section)", "，以确保方案具备可操作性和行业适配性。"),
+}
+BARE = "regexp_replace({}, '[。]+$', '')"
+BARE3 = "regexp_replace({}, '[。；;]+$', '')"
+EACH = f"""{READY}, s AS (SELECT *, {BARE.format('k3[1]')} AS a, {BARE.format('coalesce(k3[2], k3[1])')} AS b, {BARE.format('k3[3]')} AS c, {BARE.format('k3[-1]')} AS z, {BARE3.format('k2[1]')} AS d, {BARE3.format('coalesce(k2[2], k2[1])')} AS e FROM k),
+    p AS ({' UNION ALL '.join(f"SELECT *, '{t}' AS template, {_sql_prompt(t)} AS instruction, concat({', '.join(x if i % 2 else quoted(x) for i, x in enumerate(said))}) AS short FROM s" for t, said in SAID.items())}),
+    o AS (SELECT *, CASE WHEN length(short) >= 50 THEN short ELSE short || repeat('{C.PADDING}', CAST(ceil((50 - length(short)) / {len(C.PADDING)}.0) AS INTEGER)) END AS plain,
+        '文献标题：' || title || chr(10) || '章节位置：' || section || chr(10) || '材料内容：' || trim(CASE WHEN len(x) > 2 THEN array_to_string(x[ord % (len(x) - 1) + 1 : ord % (len(x) - 1) + 2], '') ELSE left(content, 900) END, ' ' || chr(10) || chr(9)) AS input FROM p),
+    w AS (SELECT *, CASE WHEN template = 'definition' THEN plain ELSE concat('【分析过程】', chr(10), '首先，从材料可以直接定位到：', {BARE3.format('k3[1]')}, '。', chr(10), '其次，结合上下文可以进一步推断：', coalesce({BARE3.format('k3[2]')}, {BARE.format('left(plain, 80)')}), '。', chr(10),
+        '此外，还需要注意：', coalesce({BARE3.format('k3[3]')}, '材料还提示需要结合具体养殖场景进行补充判断'), '。', chr(10), '【结论】', chr(10), plain) END AS cot FROM o)"""
 
 for _name, _pick in (("context_input", "input"), ("sft_outputs", "plain"), ("cot_inject", "cot"), ("sft_candidates", "instruction")):
-    @q(_name)
+    @q(_name, f"WITH {EACH} SELECT CAST(ord AS VARCHAR) AS doc_id, template, {_pick} FROM w")
     def _(s, d, pick=_pick):
         return C.of_each_block(C.prepared(_blocks(s, d))).select("doc_id", "template", pick)
 
 
+@q("ensure_length", "SELECT doc_id, CASE WHEN length(text) >= 50 THEN text ELSE text || repeat('" + C.PADDING + "', CAST(ceil((50 - length(text)) / " + str(len(C.PADDING)) + ".0) AS INTEGER)) END AS v FROM documents")
+def _(s, d):
+    return V.table(s, d, "documents").select("doc_id", C.ensure_length(F.col("text")).alias("v"))
+
+
 @q("sft_eligibility", "SELECT doc_id, length(c) >= 100 AS reasoning, length(c) >= 80 AS summary, regexp_matches(c, '[0-9]') OR length(c) >= 100 AS application FROM (SELECT doc_id, '水产养殖材料。' || replace(text, '.', '。') AS c FROM documents)")
 def _(s, d):
     return _blocks(s, d).select(F.col("ord").alias("doc_id"), *(C.suitable(t).alias(t) for t in ("reasoning", "summary", "application")))

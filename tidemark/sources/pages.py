@@ -14,6 +14,9 @@ from tidemark.functions.udf import arrow_udf
 
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 
+#: Tags before which an open paragraph ends.
+CLOSES_P = {"p", "div", "ul", "ol", "table", "article", "main", "section", "header", "footer", "nav", "form", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
+
 
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
@@ -35,6 +38,8 @@ class _Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in CLOSES_P:
+            self.handle_endtag("p")
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
