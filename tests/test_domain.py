@@ -44,7 +44,51 @@ def test_sources(spark):
     assert sorted((r["file"], r["row_num"]) for r in prices.row_errors(rows).collect()) == [("a", 2), ("c", 1)]
     assert pages.links_of("<ul><li><a href='./t/1.html'>x</a></li></ul>", "https://a.b/c/")[0]["url"] == "https://a.b/c/t/1.html"
     t = spark.createDataFrame([(1, "<table><tr><td>产品名</td><td>最低</td><td>最高</td></tr><tr><td>鱼</td><td>40</td><td>60</td></tr></table>")], "k int, t string")
-    assert prices.html_prices(t, "k", "t").collect()[0]["avg_price"] is not None if prices.table_header_map(["均价"]) else True
+    assert [r["avg_price"] for r in prices.html_prices(t, "k", "t").collect()] == [50.0]
+
+
+def test_tables(spark, tmp_path):
+    from tidemark.sources import tables
+
+    raw = [("虹鳟".encode(),), ("\ufeff虹鳟".encode(),), ("虹鳟".encode("gb18030"),)]
+    assert [r["t"] for r in spark.createDataFrame(raw, "b binary").select(tables.decode(F.col("b")).alias("t")).collect()] == ["虹鳟"] * 3
+    path = str(tmp_path)
+    tables.append_raw(spark.createDataFrame([("a", 1), ("b", 2)], "x string, n int"), f"{path}/raw.parquet")
+    tables.append_raw(spark.createDataFrame([("c", 3)], "x string, n int"), f"{path}/raw.parquet")
+    assert len({r["id"] for r in tables.open_table(spark, "raw", " Parquet ", path).collect()}) == 3 == tables.open_table(spark, "raw", "other", path).count()
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md" / "a.md").write_text("# T\n\ntext")
+    found, failed = tables.run_sources(spark, [{"name": "m", "format": "text", "path": f"{path}/md"}, {"name": "gone", "format": "parquet", "path": f"{path}/none"}, {"name": "off", "enabled": False}])
+    assert [(r["value"], r["source_name"]) for r in found.collect()] == [("# T\n\ntext", "m")] and [n for n, _ in failed] == ["gone"]
+    now, loads = [0.0], []
+    rules = tables.Reloaded(lambda: loads.append(1) or [len(loads)], 10, lambda: now[0])
+    first = rules.get()
+    now[0] = 9.0
+    assert rules.get() is first
+    now[0] = 10.0
+    assert rules.get() == [2] and rules.get(force=True) == [3]
+
+
+def test_run_log(spark):
+    log = merge.start_run(spark.createDataFrame([], "id long, source_name string, status string, items long"), spark.createDataFrame([(1, "a", "t"), (2, "b", "t")], "id long, source_name string, started_at string"))
+    done = merge.finish_run(log, spark.createDataFrame([(1, "u", "SUCCESS", 5, None)], "id long, ended_at string, status string, items long, error_text string"))
+    assert sorted((r["id"], r["status"], r["items"], r["ended_at"]) for r in done.collect()) == [(1, "SUCCESS", 5, "u"), (2, "RUNNING", 0, None)]
+
+
+def test_rouge_l(spark):
+    rows = spark.createDataFrame([(1, "t", "a b c d", "a c x"), (2, "t", "", ""), (3, "u", "鱼水", "水鱼")], "k int, kind string, predict string, label string")
+    assert {r["k"]: r["f1"] for r in evaluate.rouge_l(rows, ("k",)).collect()} == {1: round(4 / 7, 6), 2: 1.0, 3: 0.5}
+    assert {r["kind"]: (r["n"], r["rougel"]) for r in evaluate.rouge_summary(rows, "kind", ("k",)).collect()} == {"t": (2, round((round(4 / 7, 6) + 1) / 2, 4)), "u": (1, 0.5)}
+
+
+def test_split_of_many_and_few(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    train, test = evaluate.split(df, "k", 0.15, 42)
+    order = sorted((r["h"], r["k"]) for r in df.select("k", evaluate.hash_rank(F.col("k"), 42).alias("h")).collect())
+    assert {r["k"] for r in test.collect()} == {k for _, k in order[:750]} and train.count() == 4250
+    strata = df.withColumn("s", F.when(F.col("k") < 3, "few").otherwise("many"))
+    got = evaluate.stratified_sample(strata, "s", "k", 100, 42).collect()
+    assert len(got) == 100 and sum(r["s"] == "few" for r in got) == 3
 
 
 def test_documents(spark):

@@ -118,6 +118,21 @@ def kv(c: Column, key: str) -> Column:
     return F.nullif(F.regexp_extract(c, rf"(?:^|;\s*){key}=([^;]+)", 1), F.lit(""))
 
 
+def token(value: Column) -> Column:
+    """A cookie's value, up to the first '_' if it has one; null if nothing is left."""
+    return F.nullif(strip(F.get(F.split(strip(value), "_", 2), F.lit(0))), F.lit(""))
+
+
+def pct(c: Column) -> Column:
+    """A share as a percentage of one place; N/A if it is no number."""
+    return F.when(c.try_cast("double").isNotNull(), F.format_string("%.1f%%", c.try_cast("double") * 100)).otherwise("N/A")
+
+
+def number(c: Column, digits: int = 2) -> Column:
+    """A number of fixed places; N/A if it is none."""
+    return F.when(c.try_cast("double").isNotNull(), F.format_string(f"%.{digits}f", c.try_cast("double"))).otherwise("N/A")
+
+
 #: Key endings whose values are hidden.
 SECRET_ENDINGS = ("pass", "password", "token", "secret", "cookie", "api_key", "key")
 

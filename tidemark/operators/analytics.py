@@ -131,3 +131,13 @@ def ratio_to_total(df: DataFrame, key: str) -> DataFrame:
     c = df.groupBy(key).agg(F.count("*").alias("n"))
     total = c.agg(F.sum("n").alias("total"))
     return c.join(F.broadcast(total)).select(key, "n", F.round(F.col("n") / F.col("total"), 4).alias("ratio"))
+
+
+#: The counters of a crawl that heals its credentials.
+HEAL_COUNTERS = ("pages_attempted", "pages_succeeded", "token_expired_count", "level1_attempts", "level1_recovered", "level2_attempts", "level2_recovered", "level3_fused")
+
+
+def heal_stats(runs: DataFrame) -> DataFrame:
+    """One row: the sums of all counters and the share of pages that succeeded, 0 without any."""
+    sums = runs.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in HEAL_COUNTERS))
+    return sums.withColumn("page_success_rate", F.coalesce(F.round(F.col("pages_succeeded") / F.nullif(F.col("pages_attempted"), F.lit(0)), 4), F.lit(0.0)))

@@ -148,3 +148,15 @@ def assert_real(df: DataFrame, path: str, text: str) -> DataFrame:
     for m in FAKE:
         bad = bad | low.contains(m)
     return df.where(F.when(bad, F.raise_error(F.concat(F.lit("forbidden fake marker in "), F.col(path)))).otherwise(F.lit(True)).cast("boolean"))
+
+
+def match_files(papers: DataFrame, texts: DataFrame) -> DataFrame:
+    """(stem, name): for each of papers(stem) the first of texts(name) that begins with it, else that holds it.
+
+    Names meet stems by an equi-join over the names' parts, not by comparing all with all.
+    """
+    n = F.length("name")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct((i > 1).alias("inner"), F.col("name").substr(i, k).alias("part")))))
+    held = texts.where(n > 0).select("name", F.explode(F.array_distinct(parts)).alias("x")).select("name", "x.inner", F.col("x.part").alias("stem"))
+    found = papers.select("stem").distinct().join(held, "stem").groupBy("stem").agg(F.min(F.struct("inner", "name")).alias("first"))
+    return found.select("stem", "first.name")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.store import cut
+
 
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's κ over half-even rounded ratings: (n, po, pe, kappa).
@@ -90,28 +92,90 @@ def hash_rank(key: Column, seed: int) -> Column:
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
-    """n rows: n // strata from each stratum, the rest from what is left over, in hash order."""
+    """n rows: n // strata from each stratum, the rest from what is left over, in hash order.
+
+    A histogram of hash beginnings tells first which of a stratum's rows can be among its n // strata; only these are
+    ranked, so that no task sorts a whole stratum.
+    """
     strata = df.select(stratum).distinct().count()
     base = n // max(1, strata)
-    ranked = df.withColumn("__h", hash_rank(F.col(key), seed))
-    ranked = ranked.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key)))
-    first = ranked.where(F.col("__r") <= base)
+    hashed = df.withColumn("__h", hash_rank(F.col(key), seed)).withColumn("__b", F.left("__h", F.lit(3)))
+    counts = hashed.groupBy(F.col(stratum).alias("__s"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
+    low = counts.withColumn("__below", F.coalesce(before, F.lit(0))).where(F.col("__below") < base).select("__s", "__c")
+    match = F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c"))
+    near, far = hashed.join(low, match, "left_semi"), hashed.join(low, match, "left_anti")
+    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key)))
+    first = ranked.where(F.col("__r") <= base).drop("__r")
     missing = max(0, n - first.count())
-    rest = ranked.where(F.col("__r") > base).orderBy("__h", key).limit(missing)
-    return first.unionByName(rest).drop("__h", "__r")
+    rest = ranked.where(F.col("__r") > base).drop("__r").unionByName(far).orderBy("__h", key).limit(missing)
+    return first.unionByName(rest).drop("__h", "__b")
 
 
 def split(df: DataFrame, key: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(train, test): exactly int(n * share) test rows, those of smallest hash; one bounded cut value is found first."""
-    n = int(df.count() * share)
+    """(train, test): exactly int(n * share) test rows, those of smallest hash.
+
+    A histogram of hash beginnings, 65,536 rows at most, tells where the cut lies; only rows there are sorted.
+    """
     ranked = df.withColumn("__h", F.struct(hash_rank(F.col(key), seed).alias("h"), F.col(key).alias("k")))
+    start = F.left("__h.h", F.lit(4))
+    counts = sorted((r["b"], r["n"]) for r in ranked.groupBy(start.alias("b")).agg(F.count("*").alias("n")).collect())
+    n = int(sum(c for _, c in counts) * share)
     if n <= 0:
         return df, df.limit(0)
-    cut = ranked.orderBy("__h").select("__h").offset(n - 1).limit(1)
-    marked = ranked.join(F.broadcast(cut.select(F.col("__h").alias("__cut"))))
+    below = 0
+    for bucket, c in counts:
+        if below + c >= n:
+            break
+        below += c
+    edge = ranked.where(start == bucket).orderBy("__h").select("__h").offset(n - below - 1).limit(1)
+    marked = ranked.join(F.broadcast(edge.select(F.col("__h").alias("__cut"))))
     return marked.where("__h > __cut").drop("__h", "__cut"), marked.where("__h <= __cut").drop("__h", "__cut")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with running numbers from 1 in the order of a column: ranges are numbered apart, and each starts where the others end."""
+    ranges = cut(df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()))
+    sizes = ranges.groupBy(F.col("__p").alias("__q")).agg(F.count("*").alias("__n"))  # a row for each partition
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = ranges.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
+    return placed.join(F.broadcast(starts), F.col("__p") == F.col("__q")).withColumn(name, F.col("__r") + F.col("__start")).drop("__p", "__q", "__n", "__r", "__start")
+
+
+def rouge_summary(rows: DataFrame, by: str, keys: tuple[str, ...], predict: str = "predict", target: str = "label") -> DataFrame:
+    """(by, n, rouge1, rouge2, rougel): mean F1 of each group, to four places."""
+    own = rows.select(*keys, by)
+    for name, f1 in (("rouge1", rouge_n(rows, 1, keys, predict, target)), ("rouge2", rouge_n(rows, 2, keys, predict, target)), ("rougel", rouge_l(rows, keys, predict, target))):
+        own = own.join(f1.withColumnRenamed("f1", name), list(keys))
+    return own.groupBy(by).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in ("rouge1", "rouge2", "rougel")))
+
+
+#: The scores of a manual evaluation sheet.
+SCORES = ("fact_correctness", "logic_coherence", "completeness")
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Rows that have all scores, with their overall score."""
+    values = [F.col(c).try_cast("double") for c in SCORES]
+    full = rows.withColumns({c: v for c, v in zip(SCORES, values)}).dropna(subset=list(SCORES))
+    return full.withColumn("overall_score", F.round(sum((F.col(c) for c in SCORES[1:]), F.col(SCORES[0])) / len(SCORES), 4))
+
+
+def manual_summary(rows: DataFrame, by: str, total: str = "all") -> DataFrame:
+    """Number and average scores for each group of scored rows, and a row for all."""
+    means = [F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(f"{c}_avg") for c in (*SCORES, "overall_score"))]
+    return rows.groupBy(by).agg(*means).unionByName(rows.agg(*means).withColumn(by, F.lit(total)))
+
+
+def agreement(left: DataFrame, right: DataFrame, key: str, seq: str, fields: tuple[str, ...] = (*SCORES, "overall_score")) -> DataFrame:
+    """(field, n, po, pe, kappa) of two reviewers' sheets, matched by key."""
+    out = None
+    for f in fields:
+        one = kappa(pair_ratings(left, right, key, seq, f), "a", "b").withColumn("field", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def quotas(total: int, weights: dict[str, int]) -> dict[str, int]:
     """floor(total * share) for each, the remainder one by one in the given order; nothing for total <= 0."""
     if total <= 0:

@@ -116,3 +116,21 @@ def unified_feed(*parts: DataFrame) -> DataFrame:
 
 def lineage(rows: DataFrame, raw: DataFrame, raw_id: str, key: str) -> DataFrame:
     return rows.join(raw, rows[raw_id] == raw[key], "left")
+
+
+#: Fields of the raw export, in order, with the names they may have and their default.
+EXPORTED = (
+    ("source_name", ("source_name",)), ("market_name", ("market_name",)), ("region", ("region",)), ("product_type", ("product_type",)), ("品名", ("product_name", "product_name_raw")),
+    ("spec", ("spec",)), ("min_price", ("min_price",)), ("max_price", ("max_price",)), ("price", ("avg_price", "price")), ("unit", ("unit",)),
+    ("storage_method", ("storage_method",)), ("日期", ("date", "date_str")), ("remark", ("remark",)),
+)
+
+
+def raw_export(rows: DataFrame, source_name: str, limit: int = 1000) -> DataFrame:
+    """The latest raw events of a source, their parsed row, normalised row or own fields spread over the export's columns."""
+    some = rows.where(F.col("source_name") == source_name).orderBy(F.desc("id")).limit(limit)
+    parsed = F.coalesce(*(F.when(~x.isin("{}", "null", "", "0", "false", "[]"), x) for x in (F.get_json_object("raw_json", "$.parsed_row"), F.get_json_object("raw_json", "$.normalized"))), F.col("raw_json"))
+    rows = some.withColumn("__p", parsed).where(F.col("__p").startswith("{"))
+    other = {"source_name": F.lit(source_name), "品名": F.coalesce("title", F.lit("")), "unit": F.lit("元/公斤"), "日期": F.coalesce("pub_time", F.lit(""))}
+    fields = [F.coalesce(*(F.get_json_object("__p", f"$['{n}']") for n in names), other.get(c, F.lit(""))).alias(c) for c, names in EXPORTED]
+    return rows.select(*fields, F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("snapshot_time"), F.col("id").alias("raw_event_id"))

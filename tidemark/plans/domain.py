@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tidemark.functions import text as T
 from tidemark.operators import corpus as C
 from tidemark.operators import documents as D
 from tidemark.operators import evaluate as E
+from tidemark.operators.store import shared_dir
 from tidemark.plans import views as V
 from tidemark.sources import pages as P
 from tidemark.sources import prices as S
@@ -100,6 +103,7 @@ scalar("fallback_key", URLS, T.fallback_key, "CASE WHEN trim(t) = '' THEN 'unkno
 scalar("stable_hash", URLS, F.md5, "md5(t)")
 scalar("sanitize_filename", ('a/b:c*"d"', "x   y", "<z>|?"), T.sanitize_filename, r"""left(trim(regexp_replace(regexp_replace(t, '[\\/*?:"<>|]', '', 'g'), '\s+', ' ', 'g')), 120)""")
 scalar("kv_extract", ("a=1; tok=ab_c; z=2", "tok=q", "x=tok"), lambda c: T.kv(c, "tok"), r"nullif(regexp_extract(t, '(?:^|;\s*)tok=([^;]+)', 1), '')")
+scalar("kv_token", ("a=1; tok=ab_c; z=2", "tok=q", "x=tok"), lambda c: T.token(T.kv(c, "tok")), "CASE WHEN contains(t, 'ab_c') THEN 'ab' WHEN t = 'tok=q' THEN 'q' END")
 scalar("md_title", ("# One\ntext", "text\n## Two", "none"), lambda c: T.md_title(c, F.lit("stem")), r"coalesce(nullif(trim(regexp_extract(t, '(?m)^#+\s*(.+)$', 1)), ''), 'stem')")
 scalar("parse_procity", ("浙江 杭州", "上海", "", "江苏  南京 x"), lambda c: F.concat_ws("|", *T.parse_procity(c)), r"concat(coalesce(list_extract(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> ''), 1), ''), '|', coalesce(list_extract(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> ''), 2), ''))")
 scalar("normalize_url", URLS, lambda c: T.absolute_url(c, F.lit("https://example.com/dir/old")), "CASE WHEN t = '' THEN '' WHEN t LIKE '//%' THEN 'https:' || t WHEN t LIKE 'http%' THEN t WHEN t LIKE '/%' THEN 'https://example.com' || t ELSE 'https://example.com/dir/' || t END")
@@ -125,6 +129,45 @@ scalar("token_counts", TITLES, lambda c: F.regexp_count(c, F.lit("鱼")).cast("l
 scalar("json_pack", SPACED, lambda c: F.to_json(F.struct(F.array(c).alias("tags"))), "to_json({'tags': [t]})")
 
 
+NUMBERS = ("0.967", "1", "abc", "0.1234", "-2.5", "")
+
+
+@q("format_pct", expected(NUMBERS, "v", [(0, "96.7%"), (1, "100.0%"), (2, "N/A"), (3, "12.3%"), (4, "-250.0%"), (5, "N/A")]))
+def _(s, d):
+    return texts(s, d, NUMBERS).select("k", T.pct(F.col("t")).alias("v"))
+
+
+@q("format_number", expected(NUMBERS, "v", [(0, "0.97"), (1, "1.00"), (2, "N/A"), (3, "0.12"), (4, "-2.50"), (5, "N/A")]))
+def _(s, d):
+    return texts(s, d, NUMBERS).select("k", T.number(F.col("t")).alias("v"))
+
+
+@q("file_match", "SELECT stem, arg_min(name, (NOT starts_with(name, stem), name)) AS name FROM (SELECT DISTINCT concat('p', p_partkey % 40) AS stem FROM part) JOIN (SELECT concat(CASE WHEN r_regionkey % 2 = 0 THEN 'x' ELSE '' END, 'p', r_regionkey * 3, '_', lower(r_name), '.txt') AS name FROM region) ON contains(name, stem) GROUP BY stem")
+def _(s, d):
+    k = F.col("r_regionkey")
+    names = V.table(s, d, "region").select(F.concat(F.when(k % 2 == 0, "x").otherwise(""), F.lit("p"), k * 3, F.lit("_"), F.lower("r_name"), F.lit(".txt")).alias("name"))
+    return D.match_files(V.table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey") % 40).alias("stem")), names)
+
+
+@q("report_markdown", "SELECT 1 AS line_no, '| lang | n |' AS line UNION ALL SELECT 2, '|---|---|' UNION ALL SELECT CAST(2 + row_number() OVER (ORDER BY lang) AS INTEGER), concat('| ', coalesce(lang, ''), ' | ', n, ' |') FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def _(s, d):
+    return tables.markdown(V.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang")
+
+
+@q("report_json", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def _(s, d):
+    path = f"{shared_dir(s)}/report-{uuid.uuid4().hex}"
+    tables.write_jsonl(V.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), path)
+    return s.read.schema("lang string, n long").json(path)
+
+
+@q("csv_roundtrip", "SELECT n_nationkey, n_name FROM nation")
+def _(s, d):
+    path = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    tables.write_csv(V.table(s, d, "nation").select("n_nationkey", "n_name"), path)
+    return s.read.option("header", True).schema("n_nationkey int, n_name string").csv(path)
+
+
 @q("mid_price", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END, round((o_totalprice + o_totalprice + 2) / 2, 2)) AS price FROM orders")
 def _(s, d):
     p = F.col("o_totalprice")
@@ -205,6 +248,11 @@ def _(s, d):
     return S.filter_or_all(texts(s, d, TITLES), F.col("t").contains("nowhere"))
 
 
+@q("filter_fallback_hits", sql_texts(TITLES, "t") + " WHERE t LIKE '%有机%'")
+def _(s, d):
+    return S.filter_or_all(texts(s, d, TITLES), F.col("t").contains("有机"))
+
+
 def _sheet(s, d) -> DataFrame:
     o = V.table(s, d, "orders")
     k = F.col("o_orderkey")
@@ -260,6 +308,14 @@ def _(s, d):
     return S.row_errors(S.csv_rows(_files(s, d)))
 
 
+@q("csv_dir_import", "SELECT market_name, product_name_raw, price FROM (VALUES ('A市场', '虹鳟 冰鲜', 50e0), ('B', '帝王鲑', 130e0), ('', '虹鳟', 60e0), ('', '帝王鲑', 130e0)) t(market_name, product_name_raw, price)")
+def _(s, d):
+    path = f"{shared_dir(s)}/sheets-{uuid.uuid4().hex}"
+    for i, sheet in enumerate(CSV):
+        s.createDataFrame([(sheet,)], "value string").coalesce(1).write.text(f"{path}/{i}")
+    return S.snapshots(S.csv_rows(S.read_csv(s, f"{path}/*", "*.txt"))).select("market_name", "product_name_raw", "price")
+
+
 @q("header_map", "SELECT * FROM (VALUES ('market_name', 1), ('price', 4), ('product_name_raw', 3), ('source_name', 0), ('unit', 5), ('date_str', 6), ('region', 2)) t(field, idx)")
 def _(s, d):
     found = S.header_map(["数据来源", "市场", "地区", "品名", "均价", "单位", "日期"])
@@ -610,9 +666,33 @@ def _(s, d):
     return V.table(s, d, "documents").select("doc_id", C.ensure_length(F.col("text")).alias("v"))
 
 
-@q("sft_eligibility", "SELECT doc_id, length(c) >= 100 AS reasoning, length(c) >= 80 AS summary, regexp_matches(c, '[0-9]') OR length(c) >= 100 AS application FROM (SELECT doc_id, '水产养殖材料。' || replace(text, '.', '。') AS c FROM documents)")
+@q("sft_eligibility", f"WITH {READY} SELECT ord AS doc_id, len(focus) > 0 AND length(content) >= 60 AS definition, length(content) >= 100 AS reasoning, len(focus) >= 2 OR contains(content, '对比') OR contains(content, '比较') AS comparison, length(content) >= 80 AS summary, regexp_matches(content, '[0-9]') OR length(content) >= 100 AS application FROM f")
 def _(s, d):
-    return _blocks(s, d).select(F.col("ord").alias("doc_id"), *(C.suitable(t).alias(t) for t in ("reasoning", "summary", "application")))
+    return C.prepared(_blocks(s, d)).select(F.col("ord").alias("doc_id"), *(C.suitable(t).alias(t) for t in C.TEMPLATES))
+
+
+AUTO = f"""SELECT count(*) AS n, round(count(*) FILTER (WHERE length(cot) BETWEEN 50 AND 4096) / count(*), 4) AS format_pass_rate, round(avg(length(cot)), 2) AS avg_output_length, round(count(*) / 20000, 4) AS dedupe_keep_rate,
+    round(count(*) FILTER (WHERE template IN ('reasoning', 'comparison', 'application') AND contains(cot, '【分析过程】') AND contains(cot, '【结论】')) / count(*) FILTER (WHERE template IN ('reasoning', 'comparison', 'application')), 4) AS cot_completeness_rate,
+    round(count(*) FILTER (WHERE template <> 'definition') / count(*), 4) AS cot_injection_ratio, round(avg(m), 2) AS steps_avg, count(*) FILTER (WHERE m <= 2) AS steps_two_or_less, count(*) FILTER (WHERE m = 3) AS steps_three, count(*) FILTER (WHERE m >= 4) AS steps_four_or_more,
+    round((SELECT count(*) FROM (SELECT unnest({quoted(list(C.TERMS))}) AS y) WHERE EXISTS (SELECT 1 FROM w WHERE contains(input || chr(10) || cot, y))) / {len(C.TERMS)}, 4) AS domain_term_coverage_rate, count(*) FILTER (WHERE length(cot) > 2000) AS manual_review_count
+    FROM (SELECT *, CASE WHEN template <> 'definition' THEN len(regexp_extract_all(cot, '首先|其次|此外')) END AS m FROM w)"""
+
+
+def _built(s, d) -> DataFrame:
+    rows = C.of_each_block(C.prepared(_blocks(s, d)))
+    return rows.select("template", "instruction", "input", F.col("cot").alias("output"), (F.col("template") != "definition").alias("cot_injected"))
+
+
+@q("sft_auto_metrics", f"WITH {EACH} {AUTO}")
+def _(s, d):
+    return C.automatic_metrics(_built(s, d), 20_000)
+
+
+@q("sft_generation_report", f"""WITH {EACH} SELECT 'template' AS kind, template AS name, count(*) AS n, CAST(NULL AS DOUBLE) AS value FROM w GROUP BY template UNION ALL SELECT 'removed', 'incomplete', count(*), NULL FROM w WHERE NOT length(cot) BETWEEN 50 AND 4096 HAVING count(*) > 0
+    UNION ALL SELECT 'samples', 'avg_output_length', count(*), round(avg(length(cot)), 2) FROM w UNION ALL SELECT 'samples', 'cot_injection_ratio', count(*), round(count(*) FILTER (WHERE template <> 'definition') / count(*), 4) FROM w""")
+def _(s, d):
+    rows = _built(s, d)
+    return C.report(rows, rows.where(~F.length("output").between(50, 4096)).select(F.lit("incomplete").alias("reason")))
 
 
 @q("quota_alloc", "SELECT * FROM (VALUES ('definition', 3), ('reasoning', 2), ('comparison', 2), ('summary', 2), ('application', 1)) t(template, quota)")
@@ -620,7 +700,7 @@ def _(s, d):
     return s.createDataFrame(list(E.quotas(10, C.QUOTAS).items()), "template string, quota int")
 
 
-@q("stratified_sample", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY r <= b ORDER BY h, doc_id) AS g FROM (SELECT doc_id, lang, md5(concat(doc_id, ':42')) AS h, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(doc_id, ':42')), doc_id) AS r, 102 // (SELECT count(DISTINCT lang) FROM documents) AS b FROM documents)) WHERE r <= b OR g <= 102 - (SELECT count(DISTINCT lang) FROM documents) * b")
+@q("stratified_sample", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY r <= b ORDER BY h, doc_id) AS g FROM (SELECT doc_id, lang, md5(concat(doc_id, ':42')) AS h, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(doc_id, ':42')), doc_id) AS r, 102 // (SELECT count(DISTINCT lang) FROM documents) AS b FROM documents)) SELECT doc_id, lang FROM x WHERE r <= b OR g <= 102 - (SELECT count(*) FROM x WHERE r <= b)")
 def _(s, d):
     return E.stratified_sample(V.table(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 102, 42)
 
@@ -647,12 +727,32 @@ def _(s, d):
     return V.table(s, d, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.round((F.col("quality") + F.col("toxic")) / 2.0, 4).alias("overall"))
 
 
-@q("eval_rows", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS sample_no FROM labels WHERE toxic = 1")
+@q("eval_rows", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS sample_no FROM labels WHERE toxic = 1")
 def _(s, d):
-    from pyspark.sql import Window
+    return E.numbered(V.table(s, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "sample_no")
+
 
-    # an evaluation sheet is numbered as a whole; it is small by design
-    return V.table(s, d, "labels").where("toxic = 1").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("sample_no"))
+SHEET_SCORES = "SELECT doc_id, concat('t', doc_id % 4) AS template, 1.0 + quality AS fact_correctness, CASE WHEN doc_id % 9 > 0 THEN 2.0 - toxic END AS logic_coherence, 1.0 + doc_id % 3 AS completeness FROM labels"
+
+
+def _scores(s, d) -> DataFrame:
+    i = F.col("doc_id")
+    rows = V.table(s, d, "labels").select(
+        "doc_id", F.concat(F.lit("t"), i % 4).alias("template"), (1.0 + F.col("quality")).cast("string").alias("fact_correctness"), F.when(i % 9 > 0, 2.0 - F.col("toxic")).cast("string").alias("logic_coherence"), (1.0 + i % 3).cast("string").alias("completeness")
+    )
+    return E.scored(rows)
+
+
+@q("manual_eval_summary", f"""WITH r AS (SELECT *, round((fact_correctness + logic_coherence + completeness) / 3, 4) AS overall_score FROM ({SHEET_SCORES.replace('1.0', '1e0').replace('2.0', '2e0')}) WHERE fact_correctness IS NOT NULL AND logic_coherence IS NOT NULL)
+    SELECT template, count(*) AS n, round(avg(fact_correctness), 4) AS fact_correctness_avg, round(avg(logic_coherence), 4) AS logic_coherence_avg, round(avg(completeness), 4) AS completeness_avg, round(avg(overall_score), 4) AS overall_score_avg FROM (SELECT * FROM r UNION ALL SELECT * REPLACE ('all' AS template) FROM r) GROUP BY template""")
+def _(s, d):
+    return E.manual_summary(_scores(s, d), "template")
+
+
+@q("kappa_agreement", "SELECT 'v' AS field, n, round(po, 4) AS po, round(pe, 4) AS pe, round((po - pe) / (1 - pe), 4) AS kappa FROM (SELECT count(*) AS n, avg(CAST(a = b AS INTEGER)) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM (SELECT quality AS a, toxic AS b FROM labels WHERE doc_id % 3 <> 0 AND quality IS NOT NULL AND toxic IS NOT NULL))")
+def _(s, d):
+    rows = V.table(s, d, "labels")
+    return E.agreement(rows.select("doc_id", F.col("quality").alias("v")), rows.where("doc_id % 3 <> 0").select("doc_id", F.col("toxic").alias("v")), "doc_id", "doc_id", ("v",))
 
 
 def _pairs(s, d) -> DataFrame:
@@ -674,6 +774,11 @@ for _n in (1, 2):
         return E.rouge_n(_pairs(s, d), n, ("conv_id", "turn"))
 
 
+@q("rouge_summary", "WITH a AS (" + Q["rouge1"][1] + "), b AS (" + Q["rouge2"][1] + ") SELECT a.turn % 4 AS template, count(*) AS n, round(avg(a.f1), 4) AS rouge1, round(avg(b.f1), 4) AS rouge2 FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn GROUP BY 1")
+def _(s, d):
+    return E.rouge_summary(_pairs(s, d).withColumn("template", F.col("turn") % 4), "template", ("conv_id", "turn")).drop("rougel")
+
+
 @q("rougel")
 def _(s, d):
     return E.rouge_l(_pairs(s, d), ("conv_id", "turn"))

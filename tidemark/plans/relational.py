@@ -198,10 +198,12 @@ def _(s, d):
     return V.runs(s, d).groupBy("source_name").agg(F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.count_if(F.col("status") != "SUCCESS").alias("failed"))
 
 
-@q("heal_stats", "SELECT count(*) AS total, count(*) FILTER (WHERE items > 50) AS healed, count(*) FILTER (WHERE status = 'FAIL') AS failed, coalesce(round(count(*) FILTER (WHERE status <> 'FAIL') / nullif(count(*), 0), 4), 0.0) AS page_success_rate FROM runs", V.RUNS)
+HEAL = {"pages_attempted": "true", "pages_succeeded": "status <> 'FAIL'", "token_expired_count": "id % 7 = 0", "level1_attempts": "id % 7 = 0", "level1_recovered": "id % 14 = 0", "level2_attempts": "id % 14 = 7", "level2_recovered": "id % 28 = 7", "level3_fused": "id % 28 = 21"}
+
+
+@q("heal_stats", "SELECT *, coalesce(round(pages_succeeded / nullif(pages_attempted, 0), 4), 0.0) AS page_success_rate FROM (SELECT " + ", ".join(f"count(*) FILTER (WHERE {x}) AS {c}" for c, x in HEAL.items()) + " FROM runs)", V.RUNS)
 def _(s, d):
-    n = F.count("*")
-    return V.runs(s, d).agg(n.alias("total"), F.count_if(F.col("items") > 50).alias("healed"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.coalesce(F.round(F.count_if(F.col("status") != "FAIL") / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("page_success_rate"))
+    return A.heal_stats(V.runs(s, d).select(*(F.expr(x).cast("long").alias(c) for c, x in HEAL.items())))
 
 
 @q("template_distribution", "SELECT lang, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 4) AS ratio FROM documents GROUP BY 1")
@@ -347,10 +349,15 @@ def _(s, d):
     return merge.lineage(V.table(s, d, "lineitem"), V.table(s, d, "orders"), "l_orderkey", "o_orderkey").select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_orderpriority")
 
 
-@q("raw_export", "SELECT id, coalesce(json_extract_string(raw_json, '$.parsed_row.k'), json_extract_string(raw_json, '$.normalized.k'), json_extract_string(raw_json, '$.k')) AS k FROM runs WHERE source_name = 'click' ORDER BY id DESC LIMIT 1000", V.RUNS)
+BODY = "concat('{\"product_name', CASE WHEN id % 2 = 0 THEN '' ELSE '_raw' END, '\":\"p', id % 9, '\",\"avg_price\":', id % 50, CASE WHEN id % 5 = 0 THEN ',\"unit\":\"kg\"' ELSE '' END, '}')"
+EVENTS = f"SELECT id, source_name, started_at, 'T' AS title, CASE WHEN id % 4 = 0 THEN '2024-01-01' END AS pub_time, CASE id % 3 WHEN 0 THEN concat('{{\"parsed_row\":', {BODY}, '}}') WHEN 1 THEN concat('{{\"parsed_row\":null,\"normalized\":', {BODY}, '}}') ELSE {BODY} END AS raw_json FROM runs"
+
+
+@q("raw_export", f"""SELECT 'click' AS source_name, '' AS market_name, '' AS region, '' AS product_type, concat('p', id % 9) AS 品名, '' AS spec, '' AS min_price, '' AS max_price, CAST(id % 50 AS VARCHAR) AS price, CASE WHEN id % 5 = 0 THEN 'kg' ELSE '元/公斤' END AS unit, '' AS storage_method,
+    coalesce(pub_time, '') AS 日期, '' AS remark, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS snapshot_time, id AS raw_event_id FROM ({EVENTS}) WHERE source_name = 'click' ORDER BY id DESC LIMIT 1000""", V.RUNS)
 def _(s, d):
-    rows = V.runs(s, d).where("source_name = 'click'").orderBy(F.desc("id")).limit(1000)
-    return rows.select("id", F.coalesce(*(F.get_json_object("raw_json", p) for p in ("$.parsed_row.k", "$.normalized.k", "$.k"))).alias("k"))
+    V.runs(s, d).createOrReplaceTempView("runs")
+    return merge.raw_export(s.sql(EVENTS).withColumnRenamed("started_at", "fetched_at"), "click", 1000)
 
 
 @q("serialise_row", "SELECT id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, CAST(CAST(items AS DECIMAL(18, 2)) AS DOUBLE) AS items FROM runs", V.RUNS)

@@ -60,7 +60,7 @@ def read_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFram
 
     Whole files are rows here: price sheets are small. Row numbers start at 2, below the header.
     """
-    return spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 _ROWS = "array<struct<row_num:int,error:string," + ",".join(f"{f}:string" for f in ALIASES) + ">>"

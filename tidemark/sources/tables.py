@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Source = Callable[[SparkSession, str], DataFrame]
@@ -12,7 +13,7 @@ SOURCES: dict[str, Source] = {
     "parquet": lambda spark, path: spark.read.parquet(path),
     "jsonl": lambda spark, path: spark.read.json(path),
     "csv": lambda spark, path: spark.read.option("header", True).csv(path),
-    "text": lambda spark, path: spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path),
+    "text": lambda spark, path: spark.read.text(path, wholetext=True, recursiveFileLookup=True),
 }
 
 
@@ -36,6 +37,37 @@ def run_sources(spark: SparkSession, config: list[dict]) -> tuple[DataFrame | No
     return out, failed
 
 
+#: Backends of a table, the first of them where another is named.
+BACKENDS = ("parquet", "jdbc")
+
+
+def open_table(spark: SparkSession, name: str, backend: str | None, path: str, **options) -> DataFrame:
+    """A table of the backend: Parquet below the path, or JDBC at it; an unknown backend is taken for the first."""
+    kind = (backend or "").strip().lower()
+    return jdbc(spark, path, name, **options) if kind == "jdbc" else spark.read.parquet(f"{path}/{name}.parquet")
+
+
+class Reloaded:
+    """What ``load`` gives, read again once it is older than ``seconds``: rules of a stream, asked for in each micro-batch."""
+
+    def __init__(self, load: Callable[[], object], seconds: float, clock: Callable[[], float] = time.monotonic) -> None:
+        self.load, self.seconds, self.clock, self.at, self.value = load, max(1.0, seconds), clock, None, None
+
+    def get(self, force: bool = False):
+        now = self.clock()
+        if force or not self.value or self.at is None or now - self.at >= self.seconds:
+            self.value, self.at = self.load(), now
+        return self.value
+
+
+def markdown(rows: DataFrame, order: str) -> DataFrame:
+    """(line_no, line) of a Markdown table of rows, a report of a few groups, in the order of a column."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), F.lit(" |"))
+    body = rows.select((F.row_number().over(Window.orderBy(order)) + 2).alias("line_no"), cells.alias("line"))
+    head = [(1, "| " + " | ".join(rows.columns) + " |"), (2, "|" + "---|" * len(rows.columns))]
+    return rows.sparkSession.createDataFrame(head, "line_no int, line string").unionByName(body)
+
+
 def predictions(rows: DataFrame) -> DataFrame:
     defaults = {"predict": "", "label": "", "template_type": "unknown"}
     return rows.select(*((F.coalesce(c, F.lit(v)) if c in rows.columns else F.lit(v)).alias(c) for c, v in defaults.items()))
