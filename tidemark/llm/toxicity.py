@@ -73,7 +73,7 @@ def _counted(text: bytes | None, terms: dict[bytes, int], starts: set[bytes]) ->
     return at, [found[t] for t in at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 8192, max_terms: int = 8192, min_docs: int = 4, least_chi2: float = 15.0, k: int = 15, block: int = 64) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 4096, max_terms: int = 4096, min_docs: int = 4, least_chi2: float = 15.0, k: int = 15, block: int = 64) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, label): rows without text, id or label take no part.
 
     A document labelled more than once counts as 1 if any label is 1; of rows that repeat an id each is an example.
@@ -235,24 +235,30 @@ class Scorer:
         return np.where(who[:, 0] < 0, self.none, np.interp(votes, *self.knots)) if len(rows) else votes, who, best
 
 
+def _judged(scorer: Scorer, terms: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, neighbours' numbers, cosines) of each row; rows that make the same vector are looked up once."""
+    slot: dict[tuple, int] = {}
+    firsts: list[int] = []
+    at = np.empty(len(terms), np.int64)
+    for i, (t, c) in enumerate(zip(terms, counts)):
+        key = (tuple(t), tuple(c) if len(t) > 1 else ())
+        if key not in slot:
+            slot[key] = len(firsts)
+            firsts.append(i)
+        at[i] = slot[key]
+    parts = [scorer.scores([(terms[i], counts[i]) for i in firsts[k : k + 512]]) for k in range(0, len(firsts), 512)]
+    return tuple(np.concatenate(x)[at] for x in zip(*parts)) if parts else scorer.scores([])
+
+
 def _scored(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
     model = scorer.index.model
     ids, labels = np.append(model.ids, 0), np.append(model.labels, 0).astype(np.int32)
     for b in batches:
-        for k in range(0, b.num_rows, 512):
-            part = b.slice(k, 512)
-            terms, counts = part.column(1).to_pylist(), part.column(2).to_pylist()
-            # rows that make the same vector are looked up once
-            keys = [(tuple(t), tuple(c) if len(t) > 1 else ()) for t, c in zip(terms, counts)]
-            firsts = {key: i for i, key in reversed(list(enumerate(keys)))}
-            slot = {key: n for n, key in enumerate(firsts)}
-            score, who, best = scorer.scores([(terms[i], counts[i]) for i in firsts.values()])
-            at = np.array([slot[key] for key in keys])
-            score, who, best = score[at], who[at], best[at]
-            real = who >= 0
-            flat = pa.StructArray.from_arrays([pa.array(ids[who[real]]), pa.array(best[real]), pa.array(labels[who[real]])], names=["example", "similarity", "label"])
-            ends = np.concatenate(([0], np.cumsum(real.sum(axis=1)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "score", "evidence"])
+        score, who, best = _judged(scorer, b.column(1).to_pylist(), b.column(2).to_pylist())
+        real = who >= 0
+        flat = pa.StructArray.from_arrays([pa.array(ids[who[real]]), pa.array(best[real]), pa.array(labels[who[real]])], names=["example", "similarity", "label"])
+        ends = np.concatenate(([0], np.cumsum(real.sum(axis=1)))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "score", "evidence"])
 
 
 def _frequencies(docs: DataFrame, model: Model, id_col: str, text_col: str) -> tuple[DataFrame, Scorer]:
@@ -286,6 +292,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: st
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([np.empty(0), *(scorer.scores([_counted(t, terms, starts) for t in texts[i : i + 512]])[0] for i in range(0, len(texts), 512))]))
+        found = [_counted(t, terms, starts) for t in texts]
+        return pd.Series(_judged(scorer, [t for t, _ in found], [c for _, c in found])[0])
 
     return docs.where(score(F.col(text_col).cast("binary")) < threshold)
