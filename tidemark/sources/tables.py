@@ -5,9 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.udf import arrow_udf
+
 Source = Callable[[SparkSession, str], DataFrame]
 SOURCES: dict[str, Source] = {
     "parquet": lambda spark, path: spark.read.parquet(path),
@@ -73,10 +76,15 @@ def predictions(rows: DataFrame) -> DataFrame:
     return rows.select(*((F.coalesce(c, F.lit(v)) if c in rows.columns else F.lit(v)).alias(c) for c, v in defaults.items()))
 
 
-def decode(raw: F.Column) -> F.Column:
-    """Text of bytes: UTF-8, with or without a mark, else GB18030."""
+@arrow_udf("string")
+def _gb18030(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else bytes(b).decode("gb18030", "replace"))
+
+
+def decode(raw: Column) -> Column:
+    """Text of bytes: UTF-8, with or without a mark, else GB18030, which Spark itself doesn't read."""
     text = raw.cast("string")
-    return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(F.decode(raw, F.lit("GBK").cast("string"))), "^\ufeff", "")
+    return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(_gb18030(raw)), "^\ufeff", "")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
