@@ -54,17 +54,19 @@ HOT = 1000
 def keyed(rows: DataFrame, known: DataFrame, key: str, count: str, keep: bool = False, how: str = "inner") -> DataFrame:
     """rows joined to known, which has one row for each of its keys and tells in ``count`` how many rows have it.
 
-    A hot key's rows stay where they are and meet known by broadcast, HOT rows at most; all others are shuffled by key.
-    keep: with the column ``count``.
+    A hot key's rows stay where they are and meet known by broadcast; all others are shuffled by key. The hot keys, of
+    which there are fewer than HOT, are named in the plan. keep: with the column ``count``.
     """
     total = known.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * HOT > total
-    few = known.where(hot)
-    many = known.where(~hot)
+    names = [r[0] for r in known.where(hot).select(key).collect()]
+    few, many = known.where(hot), known.where(~hot)
     if not keep:
         few, many = few.drop(count), many.drop(count)
-    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key, how)
-    return rows.join(F.broadcast(few), key).unionByName(rest)
+    if not names:
+        return rows.join(many, key, how)
+    named = F.coalesce(F.col(key).isin(names), F.lit(False))
+    return rows.where(named).join(F.broadcast(few), key).unionByName(rows.where(~named).join(many, key, how))
 
 
 def ascii_lower(text: Column) -> Column:
