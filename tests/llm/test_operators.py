@@ -120,13 +120,38 @@ def test_keep_one_of_edited_copies(spark):
         for a, b in pairs:
             part[a] = part[b] = min(part[a], part[b])
     assert sum(1 for a, b in pairs if jaccard(rows[a][1], rows[b][1]) < 0.9) > 30
-    for follow in (32, 2):
-        got = {r["id"]: r["component"]["id"] for r in simhash.near_groups(docs(spark, rows), follow=follow).collect()}
+    for follow, side in ((32, 512), (2, 512), (0, 2)):
+        got = {r["id"]: r["component"]["id"] for r in simhash.near_groups(docs(spark, rows), follow=follow, part=side).collect()}
         assert got == part
     kept = simhash.keep_one(docs(spark, rows)).collect()
     assert {r["doc_id"] for r in kept} == set(part.values())
 
 
+def test_keep_one_in_a_crowded_bucket(spark):
+    """One passage makes up most of each text: unlike texts share buckets, and links between them are all kept."""
+    rng, passage, rows = np.random.default_rng(11), text(900, 150).split(), []
+    for f in range(70):
+        own = [f"own{f}w{k}" for k in range(int(rng.integers(30, 60)))]
+        for j in range(int(rng.integers(1, 4))):
+            w = list(own)
+            for at in rng.choice(len(w), int(rng.integers(0, 4)), replace=False):
+                w[at] = f"edit{f}x{j}"
+            rows.append((len(rows), " ".join(passage + w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    part = {i: i for i in range(len(rows))}
+    pairs = [(a, b) for a in part for b in part if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(len(rows)):
+        before = dict(part)
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+        if part == before:
+            break
+    assert 10 < len(set(part.values())) < len(rows)
+    for side in (512, 16):
+        got = {r["id"]: r["component"]["id"] for r in simhash.near_groups(docs(spark, rows), follow=4, part=side).collect()}
+        assert got == part
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in rng.normal(0, 0.4, 8)]) for i in range(120)]

@@ -167,6 +167,11 @@ def _forest(homes: np.ndarray, near: np.ndarray, threshold: int) -> tuple[np.nda
     step = max(1, (1 << 20) // max(1, len(near)))
     for k in range(0, len(homes), step):
         linked[k : k + step] = np.bitwise_count(homes[k : k + step, None] ^ near[None, :]) <= threshold
+    return _stars(homes, near, linked)
+
+
+def _stars(homes: np.ndarray, near: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges that join homes and near as linked does; a value of both is linked to itself."""
     rows, cols = linked.sum(axis=1) > np.isin(homes, near), linked.any(axis=0)
     if not rows.any():
         return homes[:0], homes[:0]
@@ -271,10 +276,10 @@ def hex16(fp: Column) -> Column:
 #: Bands, and minima a band: of pairs at similarity 0.8 all but 0.04 % meet in a band, of those at 0.9 all but 1e-8.
 BANDS, DEPTH = 20, 5
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * DEPTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-#: In a bucket each set is compared with so many that follow it; buckets with as many sets or fewer are compared whole.
+#: A bucket of one set more than this is still compared by a window; larger ones go to cells.
 FOLLOW = 32
-#: Sets of a run of a bucket's order; a run is one task's at most.
-RUN = 65_536
+#: Sets, and shingles, of one side of a cell, on average over a bucket's grid.
+PART, VOLUME = 512, 1 << 21
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -310,15 +315,83 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, alike: float) -> Data
     return both.where(shared >= alike * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8, follow: int = FOLLOW) -> DataFrame:
+def _meeting(fps: np.ndarray, first: np.ndarray, second: np.ndarray, sets: list[np.ndarray], alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges that join the sets of a cell as their Jaccard similarities of ``alike`` or more do; first and second: the cell's sides."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # shingles that the same sets hold are one column with a weight
+    sign = np.zeros(len(held), np.uint64)
+    np.add.at(sign, column, np.random.default_rng(1).integers(1, 1 << 63, len(sets), np.uint64)[row])
+    shared = np.flatnonzero(held > 1)
+    _, one, weight = np.unique(sign[shared], return_index=True, return_counts=True)
+    at = np.full(len(held), -1)
+    at[shared[one]] = np.arange(len(one))
+    col = at[column]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    common = np.zeros((first.sum(), second.sum()))
+    for k in range(0, len(one), 4096):
+        lo, hi = np.searchsorted(col, (k, k + 4096))
+        has = np.zeros((len(sets), min(4096, len(one) - k)))
+        has[row[lo:hi], col[lo:hi] - k] = 1
+        common += (has[first] * weight[k : k + 4096]) @ has[second].T
+    linked = common >= alike * (sizes[first][:, None] + sizes[second][None, :] - common)
+    linked |= fps[first][:, None] == fps[second][None, :]
+    return _stars(fps[first], fps[second], linked)
+
+
+def _met(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
+    """Spanning edges of each cell (key, i, j) of rows (key, i, j, part, fp, root, has); a cell's rows come one after the other."""
+
+    def links(cell: tuple[int, int, int], rows: list[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        part, fps, roots, sets = zip(*rows)
+        if len(set(roots)) > 1:
+            side = np.array(part)
+            u, v = _meeting(np.array(fps, np.int64), side == cell[1], side == cell[2], list(sets), alike)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    now, rows = None, []
+    for b in batches:
+        keys = zip(*(b.column(i).to_pylist() for i in range(3)))
+        rest = zip(*(b.column(i).to_pylist() for i in range(3, 6)))
+        lists = b.column(6)
+        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        for n, (cell, (part, fp, root)) in enumerate(zip(keys, rest)):
+            if cell != now:
+                if rows:
+                    yield from links(now, rows)
+                now, rows = cell, []
+            rows.append((part, fp, root, values[ends[n] : ends[n + 1]].copy()))
+    if rows:
+        yield from links(now, rows)
+
+
+def _in_cells(crowded: DataFrame, texts: DataFrame, width: int, alike: float, part: int) -> DataFrame:
+    """Links (u, v) that join the sets of large buckets as all links between them do; crowded(key, fp, root, c, s).
+
+    c and s: sets and shingles of the bucket, which is dealt out over a grid of cells, so that each two of its sets
+    meet in one of them. A cell compares whole sets and returns a spanning forest.
+    """
+    sets = written(texts.join(crowded.select("fp").distinct(), "fp", "left_semi").select("text").mapInArrow(partial(_set_batches, width=width), "fp long, has array<long>"), "sets")
+    parts = F.ceil(F.greatest(F.col("c") / part, F.col("s") / VOLUME)).cast("int")
+    dealt = crowded.withColumn("parts", parts).withColumn("part", F.pmod(F.shiftright(F.xxhash64("key", "fp"), 20), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    cells = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "root").join(sets, "fp")
+    rows = cells.select("key", "i", "j", "part", "fp", "root", "has").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(partial(_met, alike=alike), "u long, v long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8, follow: int = FOLLOW, part: int = PART) -> DataFrame:
     """(id, h, fp, component) for each row of docs: groups of texts linked by Jaccard similarity ``alike`` or more of their sets of shingles.
 
     h: xxhash64 of the text, so that (id, h) tells rows with one id apart; component: the least (id, h) of the group,
     null if all its ids are null. fp: hash of the set. Candidates share a band of MinHash minima; every link is
     verified on the whole sets. First each set is compared with the smallest of its buckets, then, in buckets that
-    hold more than one group, with the ``follow`` sets after it in an order of the bucket's own, where these are of
-    another group; a large bucket's order is cut into runs of about RUN sets. Null texts count as empty, and texts
-    without words are one group.
+    hold more than one group, with all others of another group: by a window in buckets of up to ``follow`` + 1 sets,
+    in cells of ``part`` by ``part`` sets in larger ones. Null texts count as empty, and texts without words are one
+    group.
     """
     text = F.col(text_col).cast("binary")
     given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
@@ -341,15 +414,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     star = written(_alike(first, texts, width, alike), "links")
     tree = written(components(star), "roots")
     rooted = written(met.join(tree, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).where("a <> b").select("key", "c")
-    runs = F.pmod(F.shiftright(F.xxhash64("key", "fp"), 20), F.ceil(F.col("c") / RUN))
-    rest = keyed(rooted, written(split, "mixed"), "key", "c", keep=True).withColumn("run", runs)
-    after = Window.partitionBy("key", "run").orderBy(F.xxhash64("key", "fp"), "fp").rowsBetween(1, follow)
-    rest = rest.withColumn("then", F.collect_list(F.struct("fp", "n", "root")).over(after))
-    rest = rest.withColumn("o", F.explode(F.filter("then", lambda o: (o["root"] != F.col("root")) & close(o["n"], F.col("n")))))
-    second = rest.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c"), F.sum("n").alias("s")).where("a <> b").select("key", "c", "s")
+    rest = written(keyed(rooted, written(split, "mixed"), "key", "c", keep=True), "rest")
+    after = Window.partitionBy("key").orderBy("fp").rowsBetween(1, follow)
+    few = rest.where(F.col("c") <= follow + 1).withColumn("then", F.collect_list(F.struct("fp", "n", "root")).over(after))
+    few = few.withColumn("o", F.explode(F.filter("then", lambda o: (o["root"] != F.col("root")) & close(o["n"], F.col("n")))))
+    second = few.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    crowded = _in_cells(rest.where(F.col("c") > follow + 1), texts, width, alike, part)
     more = _alike(written(second, "pairs"), texts, width, alike)
-    return _grouped(rows.select("id", "h", "fp"), nodes, written(components(star.union(more)), "roots"))
+    return _grouped(rows.select("id", "h", "fp"), nodes, written(components(star.union(more).union(crowded)), "roots"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8) -> DataFrame:
