@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, logbilinear, mixing, secrets, simhash, toolcalls, toxicity, vafile
+from . import decontaminate, langid, lines, logbilinear, mixing, secrets, simhash, toolcalls, toxicity, vafile, whitening
 from .common import held_out, table
 from .sql import SQL as SQL
 
@@ -97,4 +97,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op5_language, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it passes a long; deviation_digits has it at any size."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = found.select(F.col("id").alias("vec_id"), "n", F.col("deviation").try_cast("long").alias("deviation"), F.col("deviation").alias("deviation_digits"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "x"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "x.whitened", "x.explained", "identity_error", "deviation_digits")
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op5_language, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets, op11_whitening)}
