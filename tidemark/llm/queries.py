@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, logbilinear, mixing, secrets, simhash, toolcalls, toxicity, vafile, whitening
+from . import decontaminate, langid, lines, logbilinear, mixing, personal, secrets, simhash, toolcalls, toxicity, vafile, whitening
 from .common import held_out, table
 from .sql import SQL as SQL
 
@@ -104,4 +104,24 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "x.whitened", "x.explained", "identity_error", "deviation_digits")
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op5_language, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets, op11_whitening)}
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents"))
+    base, names = F.col("base"), F.array(*map(F.lit, personal.KINDS + personal.ADDED))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    def of(kind: int) -> Column:
+        return F.filter(base, lambda s: s["kind"] == kind)
+
+    own = F.array_sort(F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    more = F.transform("added", lambda s: F.struct((s["kind"] + len(personal.KINDS)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal.KINDS)),
+        F.sha2(joined(own), 256).alias("base_sha256"),
+        joined(F.concat(own, F.array_sort(more))).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op5_language, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets, op11_whitening, op12_personal)}
