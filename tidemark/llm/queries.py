@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, logbilinear, mixing, personal, secrets, simhash, toolcalls, toxicity, vafile, whitening
+from . import decontaminate, langid, lines, logbilinear, mixing, personal, phrases, secrets, simhash, toolcalls, toxicity, vafile, whitening
 from .common import held_out, table
 from .sql import SQL as SQL
 
@@ -124,4 +124,8 @@ def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op5_language, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets, op11_whitening, op12_personal)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_simhash_groups, op3_vafile_topk, op4_logbilinear, op5_language, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontaminate, op10_secrets, op11_whitening, op12_personal, op13_phrases)}

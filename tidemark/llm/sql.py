@@ -53,4 +53,17 @@ TOOL_CALLS = r"""
     FROM j
 """
 
-SQL = {"op1_tool_calls": TOOL_CALLS, "op3_vafile_topk": TOP_K, "op10_secrets": secrets()}
+PHRASES = r"""
+    WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[ \t]+'), lambda x: x <> '') AS w FROM d),
+    g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)),
+    f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100), n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+    c AS (SELECT lang, m, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+    s AS (SELECT c.lang, c.m, c.phrase, c.a, k, h.a AS l, t.a AS r, n, CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score
+        FROM c JOIN f h ON h.lang = c.lang AND h.m = k AND h.phrase = head JOIN f t ON t.lang = c.lang AND t.m = c.m - k AND t.phrase = tail JOIN n ON n.lang = c.lang),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    z AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.m > b.m AND 100 * f.a >= 100 * b.a AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM z QUALIFY rank <= 2000
+"""
+
+SQL = {"op13_phrases": PHRASES, "op1_tool_calls": TOOL_CALLS, "op3_vafile_topk": TOP_K, "op10_secrets": secrets()}
