@@ -10,21 +10,21 @@ stay, so that no task and no driver holds the phrases of all blocks.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
 
 #: Words of a block; a piece is never cut, so a block may hold one piece more.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Bytes of text that are taken apart at once.
-SLICE = 8_000_000
+SLICE = 2_000_000
 #: Classes of bytes: 0 of a word, 1 blank, 2 end of a piece.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -32,9 +32,24 @@ KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-#: A block's row: positions of its words' lists and their words, then those of its phrases and their numbers.
-ROW = "block string, lang string, word binary, prefix long, last long, local int, n long, at binary, of binary, starts binary, phrase binary"
-FIELDS = [pa.field(n, t) for n, t in (("block", pa.string()), ("lang", pa.string()), ("word", pa.binary()), ("prefix", pa.int64()), ("last", pa.int64()), ("local", pa.int32()), ("n", pa.int64()), ("at", pa.binary()), ("of", pa.binary()), ("starts", pa.binary()), ("phrase", pa.binary()))]
+#: A row for each list of a block; and one for the block, with packed numbers: positions and their words (from the
+#: second level on), the ids of these words, the phrases' beginnings list by list, and the lists' lengths.
+ROW = "block long, lang string, word binary, prefix long, last long, local int, n long, at binary, of binary, ids binary, starts binary, sizes binary"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+FIELDS = [pa.field(n, KINDS[t]) for n, t in (f.split() for f in ROW.split(", "))]
+LISTS = [f.name for f in FIELDS[7:]]
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as differences, their bytes by place, compressed."""
+    raw = np.diff(x.astype(np.int64), prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(b: bytes) -> np.ndarray:
+    size = int.from_bytes(b[:8], "little")
+    raw = pa.decompress(b[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel())
 
 
 def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -56,17 +71,16 @@ def _lists(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa
     """Blocks of (lang, text): a row for each of a block's words with its frequency, and one with the lists."""
     held: dict[tuple[str, bytes], int] = {}
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    size = gap = 0
+    size = gap = made = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal held, parts, size, gap
+        nonlocal held, parts, size, gap, made
         at, of = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(of, kind="stable")  # the lists, one word after the other, each ascending
-        name, keys, n = uuid.uuid4().hex, list(held), np.bincount(of, minlength=len(held))
-        rows = {"block": [name] * len(keys), "lang": [k for k, _ in keys], "word": [w for _, w in keys], "local": np.arange(len(keys), dtype=np.int32), "n": n}
-        yield from _rows(rows)
-        yield from _rows({"block": [name], "at": [at[order].astype(np.int32).tobytes()], "of": [of[order].astype(np.int32).tobytes()]})
-        held, parts, size, gap = {}, [], 0, 0
+        name, keys, n = (TaskContext.get().partitionId() << 32) + made, list(held), np.bincount(of, minlength=len(held))
+        yield from _rows({"block": np.full(len(keys), name), "lang": [k for k, _ in keys], "word": [w for _, w in keys], "local": np.arange(len(keys), dtype=np.int32), "n": n})
+        yield from _rows({"block": [name], "starts": [pack(at[order])], "sizes": [pack(n)]})
+        held, parts, size, gap, made = {}, [], 0, 0, made + 1
 
     for b in batches:
         langs = b.column(0).to_pylist()
@@ -110,45 +124,32 @@ def _extended(key: tuple, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     """A block's phrases of k + 1 words: left holds its lists, right (local, id) of the lists that stay."""
     if not left.num_rows or not right.num_rows:
         return pa.schema(FIELDS).empty_table()
-    row = {c: left.column(c)[0].as_py() for c in ("block", "at", "of", "starts", "phrase")}
+    row = {c: left.column(c)[0].as_py() for c in ("block", *LISTS)}
     local, ids = (right.column(c).to_numpy() for c in ("local", "id"))
-    by = np.argsort(local)
-    local, ids = local[by], ids[by]
-
-    def kept(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which entries' lists stay, their places in local)."""
-        at = np.minimum(np.searchsorted(local, of), len(local) - 1)
-        good = local[at] == of
-        return good, at[good]
-
-    at, of = np.frombuffer(row["at"], np.int32), np.frombuffer(row["of"], np.int64 if k > 1 else np.int32)
-    if k == 1:  # words are phrases of one word
-        good, mine = kept(of)
-        at = at[good]
-        of = ids[mine]
-        starts, phrase = at, mine
-    else:
-        starts, phrase = np.frombuffer(row["starts"], np.int32), np.frombuffer(row["phrase"], np.int32)
-        good, phrase = kept(phrase)
-        starts = starts[good]
-    near = np.argsort(at)  # the adjacent words' lists in the order of their positions
-    at, of = at[near], of[near]
+    sizes, starts = unpack(row["sizes"]), unpack(row["starts"])
+    stays = np.full(len(sizes), -1)
+    stays[local] = np.arange(len(local))
+    phrase = np.repeat(stays, sizes)
+    starts, phrase = starts[phrase >= 0], phrase[phrase >= 0]
     go = np.argsort(starts)
     starts, phrase = starts[go], phrase[go]
+    # the adjacent words' lists in the order of their positions; words are phrases of one word
+    at, of, names = (starts, phrase, ids) if k == 1 else (unpack(row["at"]), unpack(row["of"]), unpack(row["ids"]))
+    if not len(at) or not len(starts):
+        return pa.schema(FIELDS).empty_table()
     meet = np.searchsorted(at, starts + k)  # both ascend: a merge of the lists
     meet[meet == len(at)] = 0
     hit = at[meet] == starts + k
     starts, phrase, last = starts[hit], phrase[hit], of[meet[hit]]
-    if not len(starts):
-        return pa.schema(FIELDS).empty_table()
-    names, code = np.unique(last, return_inverse=True)
-    both, list_of, n = np.unique(phrase.astype(np.int64) * len(names) + code, return_inverse=True, return_counts=True)
-    order = np.argsort(list_of, kind="stable")
     # an adjacent word that ends no list of this level ends none of the next, so its positions go
-    used = np.isin(at, starts + k)
-    told = {"block": [row["block"]] * len(both), "prefix": ids[both // len(names)], "last": names[both % len(names)], "local": np.arange(len(both), dtype=np.int32), "n": n}
-    lists = {"block": [row["block"]], "at": [at[used].tobytes()], "of": [of[used].tobytes()], "starts": [starts[order].astype(np.int32).tobytes()], "phrase": [list_of[order].astype(np.int32).tobytes()]}
-    return pa.Table.from_batches([*_rows(told), *_rows(lists)])
+    used = np.zeros(len(at), bool)
+    used[meet[hit]] = True
+    at, of = at[used], of[used]
+    both, list_of, n = np.unique(phrase * len(names) + last, return_inverse=True, return_counts=True)
+    order = np.argsort(list_of, kind="stable")
+    told = {"block": np.full(len(both), row["block"]), "prefix": ids[both // len(names)], "last": names[both % len(names)], "local": np.arange(len(both), dtype=np.int32), "n": n}
+    lists = dict(zip(LISTS, ([pack(x)] for x in (at, of, names, starts[order], n))))
+    return pa.Table.from_batches([*_rows(told), *_rows({"block": [row["block"]]} | lists)])
 
 
 #: Bytes of keys up to which frequent phrases go to every task; more of them are joined by shuffle.
@@ -174,18 +175,19 @@ def count(docs: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lan
     known, back = _frequent(level.where("word is not null").select("block", "local", "lang", "word", "n"), ["lang", "word"], least, "phrases-1")
     found = known.select("lang", F.array(F.col("word").cast("string")).alias("words"), "a", "id")
     single, out = found, [found]
-    used = [level, known]
+    used = [known]
     for k in range(1, most):
-        lists = level.where("at is not null").select("block", "at", "of", "starts", "phrase")
+        lists = level.where("sizes is not null").select("block", *LISTS)
         grown = written(lists.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(partial(_extended, k=k), ROW), f"lists-{k + 1}")
         known, back = _frequent(grown.where("prefix is not null").select("block", "local", "prefix", "last", "n"), ["prefix", "last"], least, f"phrases-{k + 1}")
         longer = known.join(found.select(F.col("id").alias("prefix"), "lang", "words"), "prefix").join(single.select(F.col("id").alias("last"), F.col("words").alias("more")), "last")
         found = longer.select("lang", F.concat("words", "more").alias("words"), "a", "id")
         out.append(found)
-        used += [grown, known]
+        forget(level)
+        used.append(known)
         level = grown
     whole = written(reduce(DataFrame.unionByName, (f.select("lang", "words", F.size("words").alias("m"), "a") for f in out)), "phrases")
-    for t in used:
+    for t in (level, *used):
         forget(t)
     return whole, total
 
