@@ -4,8 +4,9 @@ Texts are cut into blocks of bounded size; a block gives each of its words a lis
 gap wherever a piece ends. A phrase's list holds where it begins. Phrases of k words are extended by merging the places
 where they would go on (start + k) with the lists of the adjacent words; what meets is the list of the longer phrase in
 that block, and the sum of the lists' lengths over all blocks is its exact frequency. Only phrases that are frequent
-over all blocks are extended: between two levels a block sends the lengths of its lists and gets back which of them
-stay, so that no task and no driver holds the phrases of all blocks.
+over all blocks are extended: between two levels a block sends the lengths of its lists and learns which of them
+stay: from a copy of all frequent phrases where these take SENT bytes at most, else by a join, so that no task and no
+driver need hold the phrases of all blocks.
 """
 
 from __future__ import annotations
@@ -32,12 +33,19 @@ KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-#: A row for each list of a block; and one for the block, with packed numbers: positions and their words (from the
-#: second level on), the ids of these words, the phrases' beginnings list by list, and the lists' lengths.
-ROW = "block long, lang string, word binary, prefix long, last long, local int, n long, at binary, of binary, ids binary, starts binary, sizes binary"
+#: A row for each list of a block's words, and one for the block with packed numbers: its lists, one after the other,
+#: and their lengths.
+WORDS = "block long, lang string, word binary, local int, n long, starts binary, sizes binary"
+#: A block at a level: positions of the adjacent words, these words and their ids; the phrases' beginnings, the phrases
+#: and their ids.
+LEVEL = "block long, at binary, of binary, ids binary, starts binary, phrase binary, phrases binary"
+#: Lengths of a block's lists of longer phrases.
+GROWN = "block long, local int, prefix long, last long, n long"
 KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-FIELDS = [pa.field(n, KINDS[t]) for n, t in (f.split() for f in ROW.split(", "))]
-LISTS = [f.name for f in FIELDS[7:]]
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(n, KINDS[t]) for n, t in (f.split() for f in ddl.split(", "))])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -113,79 +121,149 @@ def _lists(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa
         yield from flush()
 
 
-def _rows(cols: dict) -> Iterator[pa.RecordBatch]:
-    n = len(cols["block"])
+def _rows(cols: dict, ddl: str = WORDS) -> Iterator[pa.RecordBatch]:
+    n, kind = len(cols["block"]), _schema(ddl)
     for i in range(0, n, 100_000):
-        some = [pa.array(cols[f.name][i : i + 100_000], f.type) if f.name in cols else pa.nulls(min(n - i, 100_000), f.type) for f in FIELDS]
-        yield pa.RecordBatch.from_arrays(some, schema=pa.schema(FIELDS))
+        some = [pa.array(cols[f.name][i : i + 100_000], f.type) if f.name in cols else pa.nulls(min(n - i, 100_000), f.type) for f in kind]
+        yield pa.RecordBatch.from_arrays(some, schema=kind)
+
+
+class Level:
+    """A block's lists at a level: at ascends and tells with of where which adjacent word stands, starts ascends and
+    tells with phrase where which phrase begins; both name ids by their places."""
+
+    def __init__(self, block: int, *parts: np.ndarray):
+        self.block = block
+        self.at, self.of, self.ids, self.starts, self.phrase, self.phrases = parts
+
+    @classmethod
+    def each(cls, rows: pa.RecordBatch | pa.Table) -> Iterator[Level]:
+        for r in rows.to_pylist():
+            yield cls(r["block"], *(unpack(r[f.name]) for f in _schema(LEVEL) if f.name != "block"))
+
+    def row(self) -> Iterator[pa.RecordBatch]:
+        parts = (self.at, self.of, self.ids, self.starts, self.phrase, self.phrases)
+        yield from _rows({"block": [self.block]} | {f.name: [pack(x)] for f, x in zip(list(_schema(LEVEL))[1:], parts)}, LEVEL)
 
+    def extend(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lists of k + 1 words: (prefix, last) ids and length of each; where they begin, which list begins there.
 
-def _extended(key: tuple, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    """A block's phrases of k + 1 words: left holds its lists, right (local, id) of the lists that stay."""
+        Positions of phrases and of adjacent words both ascend, so the search is a merge of the lists.
+        """
+        meet = np.searchsorted(self.at, self.starts + k)
+        hit = meet < len(self.at)
+        hit[hit] = self.at[meet[hit]] == self.starts[hit] + k
+        both, lists, n = np.unique(self.phrase[hit] * len(self.ids) + self.of[meet[hit]], return_inverse=True, return_counts=True)
+        width = max(1, len(self.ids))
+        return self.phrases[both // width], self.ids[both % width], n, self.starts[hit], lists
+
+    def kept(self, k: int, local: np.ndarray, ids: np.ndarray, starts: np.ndarray, lists: np.ndarray) -> Level:
+        """The next level of lists ``local``, now called ``ids``; other words' positions can end no longer phrase."""
+        stays = np.full(int(lists.max(initial=-1)) + 1, -1)
+        stays[local] = np.arange(len(local))
+        phrase = stays[lists]
+        starts, phrase = starts[phrase >= 0], phrase[phrase >= 0]
+        used = np.isin(self.at, starts + k, assume_unique=True)
+        names, of = np.unique(self.of[used], return_inverse=True)
+        return Level(self.block, self.at[used], of, self.ids[names], starts, phrase, ids)
+
+
+def _first(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Level 1 of a block: left holds its words' lists, right the (local, id) of those that stay."""
     if not left.num_rows or not right.num_rows:
-        return pa.schema(FIELDS).empty_table()
-    row = {c: left.column(c)[0].as_py() for c in ("block", *LISTS)}
+        return _schema(LEVEL).empty_table()
     local, ids = (right.column(c).to_numpy() for c in ("local", "id"))
-    sizes, starts = unpack(row["sizes"]), unpack(row["starts"])
+    starts, sizes = (unpack(left.column(c)[0].as_py()) for c in ("starts", "sizes"))
     stays = np.full(len(sizes), -1)
     stays[local] = np.arange(len(local))
     phrase = np.repeat(stays, sizes)
     starts, phrase = starts[phrase >= 0], phrase[phrase >= 0]
     go = np.argsort(starts)
     starts, phrase = starts[go], phrase[go]
-    # the adjacent words' lists in the order of their positions; words are phrases of one word
-    at, of, names = (starts, phrase, ids) if k == 1 else (unpack(row["at"]), unpack(row["of"]), unpack(row["ids"]))
-    if not len(at) or not len(starts):
-        return pa.schema(FIELDS).empty_table()
-    meet = np.searchsorted(at, starts + k)  # both ascend: a merge of the lists
-    meet[meet == len(at)] = 0
-    hit = at[meet] == starts + k
-    starts, phrase, last = starts[hit], phrase[hit], of[meet[hit]]
-    # an adjacent word that ends no list of this level ends none of the next, so its positions go
-    used = np.zeros(len(at), bool)
-    used[meet[hit]] = True
-    at, of = at[used], of[used]
-    both, list_of, n = np.unique(phrase * len(names) + last, return_inverse=True, return_counts=True)
-    order = np.argsort(list_of, kind="stable")
-    told = {"block": np.full(len(both), row["block"]), "prefix": ids[both // len(names)], "last": names[both % len(names)], "local": np.arange(len(both), dtype=np.int32), "n": n}
-    lists = dict(zip(LISTS, ([pack(x)] for x in (at, of, names, starts[order], n))))
-    return pa.Table.from_batches([*_rows(told), *_rows({"block": [row["block"]]} | lists)])
-
-
-#: Bytes of keys up to which frequent phrases go to every task; more of them are joined by shuffle.
+    return pa.Table.from_batches(list(Level(left.column("block")[0].as_py(), starts, phrase, ids, starts, phrase, ids).row()))
+
+
+def _grown(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for level in Level.each(b):
+            prefix, last, n, *_ = level.extend(k)
+            yield from _rows({"block": np.full(len(n), level.block), "local": np.arange(len(n), dtype=np.int32), "prefix": prefix, "last": last, "n": n}, GROWN)
+
+
+def _sent(batches: Iterator[pa.RecordBatch], k: int, known) -> Iterator[pa.RecordBatch]:
+    """The next level, by the frequent phrases: what prefixes and last words they have, their pairs of places, their ids."""
+    prefixes, lasts, pairs, ids = known.value
+    for b in batches:
+        for level in Level.each(b):
+            prefix, last, _, starts, lists = level.extend(k)
+            p, x = (np.minimum(np.searchsorted(a, b), len(a) - 1) for a, b in ((prefixes, prefix), (lasts, last)))
+            own = p * len(lasts) + x
+            at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+            local = np.flatnonzero((pairs[at] == own) & (prefixes[p] == prefix) & (lasts[x] == last))
+            yield from level.kept(k, local, ids[at[local]], starts, lists).row()
+
+
+def _joined(key: tuple, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The next level of a block, where the frequent phrases are too many to send to every task."""
+    if not left.num_rows or not right.num_rows:
+        return _schema(LEVEL).empty_table()
+    level = next(Level.each(left))
+    *_, starts, lists = level.extend(k)
+    return pa.Table.from_batches(list(level.kept(k, right.column("local").to_numpy(), right.column("id").to_numpy(), starts, lists).row()))
+
+
+#: Bytes of frequent phrases up to which they go to every task; more of them are joined by shuffle.
 SENT = 32_000_000
 
 
-def _frequent(rows: DataFrame, keys: list[str], least: int, what: str) -> tuple[DataFrame, DataFrame]:
-    """(the frequent phrases with an id each; which lists of which block stay)."""
+def _frequent(rows: DataFrame, keys: list[str], least: int, what: str) -> DataFrame:
     known = rows.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    known = written(known.withColumn("id", F.monotonically_increasing_id()), what)
-    told = known.agg(F.count("*").alias("n"), F.sum(reduce(Column.__add__, [F.coalesce(F.length(c), F.lit(0)) + 16 if known.schema[c].dataType.simpleString() != "bigint" else F.lit(16) for c in keys])).alias("bytes")).first()
-    few = (told["bytes"] or 0) + 24 * told["n"] <= SENT
-    back = rows.select(F.col("block").alias("to"), "local", *keys).join(F.broadcast(known.drop("a")) if few else known.drop("a"), keys).select("to", "local", "id")
-    return known, back
+    return written(known.withColumn("id", F.monotonically_increasing_id()), what)
+
+
+def _back(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Which lists of which block stay, by their ids."""
+    return rows.select(F.col("block").alias("to"), "local", *keys).join(known.drop("a"), keys).select("to", "local", "id")
+
+
+def _next(level: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    spark, n = level.sparkSession, known.count()
+    if 24 * n > SENT:
+        back = _back(level.mapInArrow(partial(_grown, k=k), GROWN), known, ["prefix", "last"])
+        return level.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(partial(_joined, k=k), LEVEL)
+    if not n:
+        return level.limit(0)
+    table = known.select("prefix", "last", "id").toPandas()  # SENT bytes at most
+    prefixes, p = np.unique(table["prefix"].to_numpy(np.int64), return_inverse=True)
+    lasts, x = np.unique(table["last"].to_numpy(np.int64), return_inverse=True)
+    pairs = p * len(lasts) + x
+    by = np.argsort(pairs)
+    sent = spark.sparkContext.broadcast((prefixes, lasts, pairs[by], table["id"].to_numpy(np.int64)[by]))
+    return level.mapInArrow(partial(_sent, k=k, known=sent), LEVEL)
 
 
 def count(docs: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, words, m, a) of every phrase of 1 to ``most`` words that occurs ``least`` times or more in its language,
     and (lang, n) of all words of each."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    level = written(rows.mapInArrow(_lists, ROW), "lists-1")
-    total = written(level.where("word is not null").groupBy("lang").agg(F.sum("n").alias("n")), "words-of-languages")
-    known, back = _frequent(level.where("word is not null").select("block", "local", "lang", "word", "n"), ["lang", "word"], least, "phrases-1")
+    lists = written(rows.mapInArrow(_lists, WORDS), "lists")
+    each = lists.where("word is not null").select("block", "local", "lang", "word", "n")
+    total = written(each.groupBy("lang").agg(F.sum("n").alias("n")), "words-of-languages")
+    known = _frequent(each, ["lang", "word"], least, "phrases-1")
+    blocks = lists.where("sizes is not null").select("block", "starts", "sizes")
+    level = written(blocks.groupBy("block").cogroup(_back(each, known, ["lang", "word"]).groupBy("to")).applyInArrow(_first, LEVEL), "level-1")
+    forget(lists)
     found = known.select("lang", F.array(F.col("word").cast("string")).alias("words"), "a", "id")
-    single, out = found, [found]
-    used = [known]
+    single, out, used = found, [found], [known]
     for k in range(1, most):
-        lists = level.where("sizes is not null").select("block", *LISTS)
-        grown = written(lists.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(partial(_extended, k=k), ROW), f"lists-{k + 1}")
-        known, back = _frequent(grown.where("prefix is not null").select("block", "local", "prefix", "last", "n"), ["prefix", "last"], least, f"phrases-{k + 1}")
+        known = _frequent(level.mapInArrow(partial(_grown, k=k), GROWN), ["prefix", "last"], least, f"phrases-{k + 1}")
         longer = known.join(found.select(F.col("id").alias("prefix"), "lang", "words"), "prefix").join(single.select(F.col("id").alias("last"), F.col("words").alias("more")), "last")
         found = longer.select("lang", F.concat("words", "more").alias("words"), "a", "id")
         out.append(found)
-        forget(level)
         used.append(known)
-        level = grown
+        if k + 1 < most:
+            last, level = level, written(_next(level, known, k), f"level-{k + 1}")
+            forget(last)
     whole = written(reduce(DataFrame.unionByName, (f.select("lang", "words", F.size("words").alias("m"), "a") for f in out)), "phrases")
     for t in (level, *used):
         forget(t)
