@@ -345,7 +345,7 @@ def _(s, d):
     return texts(s, d, HTML).select("k", F.explode(P.cards("t")).alias("c")).select("k", "c.*")
 
 
-UNESCAPED = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
 FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 

@@ -255,12 +255,12 @@ RAW = f"""raw AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN lower(l_returnflag)
     CASE WHEN l_partkey % 11 = 0 THEN concat('keyword', l_partkey % 3) ELSE concat('type-with-a-name-longer-than-32-chars-', l_linestatus) END AS product_type,
     CASE WHEN l_partkey % 50 > 0 THEN CAST(l_partkey % 50 AS VARCHAR) ELSE concat('url#', substring(md5(concat('https://example.org/i/', l_partkey % 200)), 1, 12)) END AS spec_weight_normalized,
     concat('https://example.org/i/', l_partkey % 200) AS detail_url, l_quantity AS sales_or_commit, l_tax > 0.04 AS is_wild, 'x' AS origin_raw, l_orderkey AS raw_id, date_trunc('year', l_shipdate) AS snapshot_time, ({', '.join(ORDER)}) AS seq FROM lineitem),
-    keyed AS (SELECT *, (lower(substring(platform, 1, 16)), lower(substring(product_type, 1, 32)), lower(substring(spec_weight_normalized, 1, 16)), lower(substring(shop, 1, 48)), snapshot_time) AS k FROM raw),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS f, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS l FROM keyed)"""
+    keyed AS (SELECT *, (lower(substring(platform, 1, 16)), lower(substring(product_type, 1, 32)), lower(substring(spec_weight_normalized, 1, 16)), lower(substring(shop, 1, 48)), snapshot_time) AS k FROM raw)"""
+LAST = ("keyword", "title", "price", "price_per_kg", "price_unit", "currency", "shop", "detail_url", "sales_or_commit", "is_wild", "origin_raw", "raw_id")
 
 
-@q("upsert_snapshot", """SELECT f.platform, f.product_type, f.spec_weight_normalized, f.snapshot_time, l.keyword, l.title, l.price, l.price_per_kg, l.price_unit, l.currency, l.shop, l.detail_url, l.sales_or_commit, l.is_wild, l.origin_raw, l.raw_id
-    FROM ranked f JOIN ranked l ON f.f = 1 AND l.l = 1 AND f.k = l.k""", RAW)
+@q("upsert_snapshot", f"""SELECT f.platform, f.product_type, f.spec_weight_normalized, f.snapshot_time, {', '.join(f'l.{c}' for c in LAST)} FROM (
+    SELECT arg_min(struct_pack(platform, product_type, spec_weight_normalized, snapshot_time), seq) AS f, arg_max(struct_pack({', '.join(LAST)}), seq) AS l FROM keyed GROUP BY k)""", RAW)
 def _(s, d):
     return merge.upsert(merge.snapshot_defaults(_raw(s, d)), merge.SNAPSHOT, ["seq"]).drop("seq")
 
