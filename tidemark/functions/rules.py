@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import first_rule
 from .text import price_per_kg, strip
 
 
@@ -243,11 +244,13 @@ def enrich(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
-def classify_join(df: DataFrame, rules: DataFrame, text: str, key: str) -> DataFrame:
-    """The first rule by (priority, id) whose pattern the text holds: rows against a rule table, kept small by its check."""
-    n = rules.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("more than 10,000 rules")
-    hit = df.join(F.broadcast(rules), F.expr(f"{text} rlike concat('(?i)', pattern)"))
-    first = hit.groupBy(key).agg(F.min_by("product_type", F.struct("priority", "id")).alias("product_type"))
-    return df.join(first, key, "left").select(key, F.coalesce("product_type", F.lit("unknown")).alias("product_type"))
+def classify_join(df: DataFrame, rules: DataFrame, text: str, key: str, most: int = 10_000) -> DataFrame:
+    """(key, product_type) of each row: the first rule by (priority, id) whose pattern the text holds, else ``unknown``.
+
+    The rule table is small by a check of its size. A null text is ``unknown``; of rows of equal key each has its own.
+    """
+    some = rules.select("priority", "id", "pattern", "product_type").limit(most + 1).collect()
+    if len(some) > most:
+        raise ValueError(f"more than {most:,} rules")
+    ordered = [(r["pattern"], r["product_type"]) for r in sorted(some, key=lambda r: (r["priority"], r["id"])) if r["pattern"] is not None]
+    return df.select(key, F.coalesce(first_rule(F.col(text), ordered), F.lit("unknown")).alias("product_type"))

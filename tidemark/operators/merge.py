@@ -76,6 +76,31 @@ def upsert(df: DataFrame, policy: Policy, seq: list[str]) -> DataFrame:
     return done.select(*((F.col("__u") if c in update else F.col("__i"))[c].alias(c) for c in df.columns))
 
 
+def started(df: DataFrame, policy: Policy, seq: list[str]) -> DataFrame:
+    """Rows as an upsert's state: a row for each key, with its first row and the update columns of its last.
+
+    Equal rows give equal states, in whatever order or number they come; ``merged`` unites states.
+    """
+    for c in policy.required:
+        df = df.where(F.col(c).isNotNull() & (F.trim(c) != ""))
+    update = policy.updates([c for c in df.columns if c not in seq])
+    order = F.struct(*seq)
+    insert = F.struct(*(c for c in df.columns if c not in update))
+    return merged(df.select(F.struct(*_key(df, policy)).alias("__key"), order.alias("__from"), insert.alias("__first"), order.alias("__to"), F.struct(*update, *seq).alias("__last")))
+
+
+def merged(states: DataFrame) -> DataFrame:
+    least, most = F.min_by("__first", "__from"), F.max_by("__last", "__to")
+    return states.groupBy("__key").agg(F.min("__from").alias("__from"), least.alias("__first"), F.max("__to").alias("__to"), most.alias("__last"))
+
+
+def finished(states: DataFrame, columns: list[str]) -> DataFrame:
+    """What row-by-row upserts would have left: see ``upsert``."""
+    last = set(states.schema["__last"].dataType.names)
+    first = set(states.schema["__first"].dataType.names)
+    return states.select(*(F.col("__first" if c in first else "__last")[c].alias(c) for c in columns if c in first | last))
+
+
 def start_run(log: DataFrame, started: DataFrame) -> DataFrame:
     """The run log with a RUNNING row, of no items, for each of started(id, source_name, started_at)."""
     return log.unionByName(started.select("id", "source_name", "started_at", F.lit("RUNNING").alias("status"), F.lit(0).cast("long").alias("items")), allowMissingColumns=True)

@@ -233,6 +233,19 @@ def _(s, d):
     return R.classify_join(texts(s, d, TITLES), rules, "t", "k")
 
 
+#: A rule for each pair of openings and middles of 32 syllables: 1,024 rules, some with alternatives or without literals.
+OPENINGS = ("an", "be", "bl", "bo", "ca", "ch", "co", "de", "en", "er", "ge", "ha", "he", "in", "is", "it", "le", "me", "nd", "on", "or", "ou", "re", "sc", "se", "st", "th", "ti", "un", "ve", "wh", "ze")
+MANY_RULES = [(i, f"{a}{b}(?:{a}|{b}s|[xyz]+q)" if i % 3 else f"(?:{a}|{b})[a-c]{{2}}{b}{a}" if i % 2 else f"\\b{b}{a}{b}\\b|{a} {b}{a}", f"type{i % 41}", i * 7 % 13) for i, (a, b) in enumerate((a, b) for a in OPENINGS for b in OPENINGS)]
+_many = ", ".join(f"({i}, '{p}', '{t}', {k})" for i, p, t, k in MANY_RULES)
+
+
+@q("rule_classify_many", f"WITH r(id, pattern, product_type, priority) AS (VALUES {_many}), h AS (SELECT page_id AS k, arg_min(product_type, (priority, id)) AS y FROM pages JOIN r ON regexp_matches(url, '(?i)' || pattern) GROUP BY 1) SELECT page_id AS k, coalesce(y, 'unknown') AS product_type FROM pages LEFT JOIN h ON page_id = k")
+def _(s, d):
+    """Addresses by 1,024 rules."""
+    rules = s.createDataFrame([(i, t, p, k) for i, p, t, k in MANY_RULES], "id int, product_type string, pattern string, priority int")
+    return R.classify_join(V.table(s, d, "pages").withColumnRenamed("page_id", "k"), rules, "url", "k")
+
+
 @q("keyword_filter_strict", sql_texts(TITLES, "t") + " WHERE regexp_matches(t, '(?i)三文鱼|鲑|鳟|salmon|trout')")
 def _(s, d):
     return S.keyword_filter(texts(s, d, TITLES), "t", (), strict=True)
@@ -539,10 +552,15 @@ def _(s, d):
     return texts(s, d, ("养殖水质与饲料", "不涉及水产养殖", "冷冻三文鱼的品质")).select("k", F.array_join(C.domain_terms(F.col("t")), "|").alias("v"))
 
 
-@q("term_coverage", "SELECT (SELECT count(*) FROM region WHERE EXISTS (SELECT 1 FROM documents WHERE contains(text, substring(lower(r_name), 1, 2)))) AS covered, (SELECT count(*) FROM region) AS total")
+#: What documents may hold: all domain terms, and pairs and triples of syllables, 10,648 in number.
+SYLLABLES = ("an", "be", "ch", "de", "en", "er", "ha", "he", "in", "is", "le", "nd", "on", "or", "ou", "re", "sc", "st", "th", "ti", "un", "ve")
+SOUGHT = (*C.TERMS, *(a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES))
+
+
+@q("term_coverage", f"SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM documents WHERE contains(text, y))) AS covered, count(*) AS total FROM (SELECT unnest([{', '.join(f"'{t}'" for t in C.TERMS)}]) AS y UNION ALL SELECT concat(a.y, b.y, c.y) FROM s a, s b, s c)".replace("SELECT count(*) FILTER", f"WITH s AS (SELECT unnest({list(SYLLABLES)}) AS y) SELECT count(*) FILTER", 1))
 def _(s, d):
-    terms = V.table(s, d, "region").select(F.substring(F.lower("r_name"), 1, 2).alias("term"))
-    return C.term_coverage(V.table(s, d, "documents"), terms, "text")
+    """All domain terms and 10,648 more over whole texts."""
+    return C.term_coverage(V.table(s, d, "documents"), s.createDataFrame([(t,) for t in SOUGHT], "term string"), "text")
 
 
 def _samples(s, d) -> DataFrame:

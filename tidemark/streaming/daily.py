@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.merge import Policy, upsert
+from tidemark.operators.merge import Policy
 from tidemark.operators.store import shared_dir
+from tidemark.streaming.upserts import BucketedTable, append_once, upsert_stream
 
 
 def daily_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", late: str = "1 day") -> DataFrame:
@@ -31,19 +32,35 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
     df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_stream(rows: DataFrame, state: str, checkpoint: str, policy: Policy, seq: list[str]) -> None:
-    """Merges each micro-batch into a table; a batch that is delivered twice changes nothing.
+#: The last event of a user and type in an hour counts; the first one's time stays.
+VISITS = Policy({"user_id": None, "event_type": None, "hour": None}, ("value", "props"))
 
-    The table's versions alternate between two folders, so that no batch overwrites what it reads.
-    """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old, new = f"{state}/v{(number - 1) % 2}", f"{state}/v{number % 2}"
-        before = spark.read.schema(batch.schema).parquet(old) if number else batch.limit(0)
-        upsert(before.unionByName(batch), policy, seq).write.mode("overwrite").parquet(new)
+def visits(events: DataFrame) -> DataFrame:
+    return events.withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
+
 
-    rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def _stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Events upserted from a stream whose only batch is delivered three times: by the stream, again under its number,
+    and again under the next one. The table is as after one delivery."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    base = f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    stream = visits(spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(d))
+    table = BucketedTable(spark, f"{base}/table", stream.schema, VISITS, ["ts", "event_id"], buckets=16)
+    upsert_stream(stream, table, f"{base}/checkpoint")
+    last = table._manifests()[-1]
+    table.merge(visits(events), last)
+    table.merge(visits(events), last + 1)
+    return table.rows().select("user_id", "event_type", "hour", F.col("event_id").alias("first_id"), "value", "props")
+
+
+def _stream_append(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a feed that delivers each of them twice, once each, by type."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    base = f"{shared_dir(spark)}/appends-{uuid.uuid4().hex}"
+    twice = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    run_available(append_once(twice, ["event_id"], "ts").drop("copy"), f"{base}/events", f"{base}/checkpoint")
+    return spark.read.schema(events.schema).parquet(f"{base}/events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def _stream_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -66,5 +83,10 @@ Q = {
     "stream_daily": (
         _stream_daily,
         "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
-    )
+    ),
+    "stream_upsert": (
+        _stream_upsert,
+        "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H') AS hour, arg_min(event_id, (ts, event_id)) AS first_id, arg_max({'v': value}, (ts, event_id)).v AS value, arg_max({'p': props}, (ts, event_id)).p AS props FROM events GROUP BY 1, 2, 3",
+    ),
+    "stream_append": (_stream_append, "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1"),
 }
