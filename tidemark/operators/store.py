@@ -1,8 +1,10 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""Cutting lineage in the shared checkpoint folder, and logs of what was committed to a folder."""
 
 from __future__ import annotations
 
+import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,34 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+class Log:
+    """Small JSON files, each renamed into a folder once: what has been committed there."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def hadoop(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def fs(self):
+        return self.hadoop().getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def names(self) -> list[str]:
+        fs = self.fs()
+        found = [x.getPath().getName() for x in fs.listStatus(self.hadoop())] if fs.exists(self.hadoop()) else []
+        return sorted(n for n in found if n[0] not in "._")
+
+    def read(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0])
+
+    def commit(self, name: str, told: dict) -> None:
+        """An error if the name is there already."""
+        fs, hidden = self.fs(), self.hadoop(f"_{name}-{uuid.uuid4().hex}")
+        out = fs.create(hidden, True)
+        out.write(bytearray(json.dumps(told).encode()))
+        out.close()
+        if fs.exists(self.hadoop(name)) or not fs.rename(hidden, self.hadoop(name)):
+            fs.delete(hidden, False)
+            raise RuntimeError(f"{name} was committed by another writer")

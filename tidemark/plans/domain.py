@@ -17,6 +17,8 @@ from tidemark.plans import views as V
 from tidemark.sources import pages as P
 from tidemark.sources import prices as S
 from tidemark.sources import tables
+from tidemark.sources.dictionaries import Dictionary, type_seeds
+from tidemark.streaming.polling import poll
 
 Q: dict[str, tuple] = {}
 
@@ -246,6 +248,70 @@ def _(s, d):
     return R.classify_join(V.table(s, d, "pages").withColumnRenamed("page_id", "k"), rules, "url", "k")
 
 
+def _part_rules(s, d) -> DataFrame:
+    """A type rule for each part's name, in the order of parts: names come often, and the last part's size is the priority."""
+    name = F.lower("p_name")
+    return V.table(s, d, "part").select(
+        F.col("p_partkey").cast("long").alias("seq"), F.regexp_replace(name, " ", "_").alias("product_type"), F.regexp_replace(name, " ", "\\\\s*").alias("pattern"),
+        F.col("p_size").cast("int").alias("priority"), F.lit(0.9).alias("confidence"), (F.col("p_size") % 5 > 0).alias("is_active"),
+    )
+
+
+def _stored_rules(s, d) -> Dictionary:
+    """The fixed rules and those of odd parts, then those of all parts on top."""
+    stored = Dictionary(s, f"{shared_dir(s)}/rules-{uuid.uuid4().hex}")
+    stored.upsert(type_seeds(s))
+    stored.upsert(_part_rules(s, d).where("seq % 2 = 1"))
+    stored.upsert(_part_rules(s, d))
+    return stored
+
+
+_FIXED = ", ".join(f"({i + 1}, '{r.product_type}', '{r.pattern}', {r.priority}, {r.confidence}, true)" for i, r in enumerate(R.TYPE_RULES))
+RULE_TABLE = f"""f(id, product_type, pattern, priority, confidence, is_active) AS (VALUES {_FIXED}),
+    n AS (SELECT lower(p_name) AS name, min(p_partkey) FILTER (WHERE p_partkey % 2 = 1) AS odd, min(p_partkey) AS born, arg_max(p_size, p_partkey) AS size FROM part GROUP BY 1),
+    rules AS (SELECT CAST(id AS BIGINT) AS id, product_type, pattern, CAST(priority AS INTEGER) AS priority, CAST(confidence AS DOUBLE) AS confidence, is_active FROM f
+        UNION ALL SELECT {len(R.TYPE_RULES)} + row_number() OVER (ORDER BY odd IS NULL, coalesce(odd, born)), replace(name, ' ', '_'), replace(name, ' ', '\\s*'), CAST(size AS INTEGER), 0.9, size % 5 > 0 FROM n)"""
+
+
+@q("rules_upsert", f"WITH {RULE_TABLE} SELECT * FROM rules")
+def _(s, d):
+    return _stored_rules(s, d).rows()
+
+
+@q("rules_applied", f"WITH {RULE_TABLE} SELECT p_partkey AS k, coalesce(arg_min(product_type, (priority, id)), 'unknown') AS product_type, coalesce(arg_min(id, (priority, id)), 0) AS type_rule_id FROM part LEFT JOIN rules ON is_active AND regexp_matches(p_name, '(?i)' || pattern) GROUP BY 1")
+def _(s, d):
+    """enrich() by the stored rules."""
+    none = {c: F.lit("") for c in ("keyword", "category", "spec", "province", "city", "origin")}
+    rows = V.table(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title"), *(v.alias(c) for c, v in none.items()), F.col("p_retailprice").alias("price"))
+    return R.enrich(rows, _stored_rules(s, d).rules()).select("k", "product_type", F.coalesce("type_rule_id", F.lit(0)).cast("long").alias("type_rule_id"))
+
+
+@q("stream_rules", f"WITH {RULE_TABLE}, t AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 3 END AS rules FROM part) SELECT p_partkey AS k, t.rules, coalesce(arg_min(product_type, (priority, id)), 'unknown') AS product_type FROM t LEFT JOIN rules r ON (t.rules = 3 OR id <= {len(R.TYPE_RULES)}) AND is_active AND regexp_matches(p_name, '(?i)' || pattern) GROUP BY 1, 2")
+def _(s, d):
+    """Parts polled from a feed in two runs; between them the rules of parts come to the fixed ones."""
+    base = f"{shared_dir(s)}/polls-{uuid.uuid4().hex}"
+    stored, parts = Dictionary(s, f"{base}/rules"), V.table(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t"))
+    stored.upsert(type_seeds(s))
+    for odd in (1, 0):
+        parts.where(F.col("k") % 2 == odd).write.mode("append").parquet(f"{base}/feed")
+        poll(s.readStream.schema(parts.schema).parquet(f"{base}/feed"), stored, f"{base}/out", f"{base}/checkpoint", "t")
+        if odd:
+            stored.upsert(_part_rules(s, d).where("seq % 2 = 1"))
+            stored.upsert(_part_rules(s, d))
+    return s.read.parquet(f"{base}/out").select("k", "rules", "product_type")
+
+
+@q("raw_append_ids", "SELECT user_id, count(*) AS n, count(*) AS ids FROM (SELECT user_id FROM events UNION ALL SELECT user_id FROM events) GROUP BY 1 UNION ALL SELECT -1, count(*) * 2, count(*) * 2 FROM events")
+def _(s, d):
+    """Events appended twice under two names and once more under the second: ids are distinct, and run from 1 without a gap."""
+    base, events = f"{shared_dir(s)}/raw-{uuid.uuid4().hex}", V.table(s, d, "events")
+    for batch in ("a", "b", "b"):
+        tables.append_raw(events, base, batch)
+    rows = s.read.parquet(base)
+    whole = rows.agg(F.lit(-1).cast("long").alias("user_id"), F.count("*").alias("n"), (F.max("id") - F.min("id") + 1).alias("ids"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).unionByName(whole)
+
+
 @q("keyword_filter_strict", sql_texts(TITLES, "t") + " WHERE regexp_matches(t, '(?i)三文鱼|鲑|鳟|salmon|trout')")
 def _(s, d):
     return S.keyword_filter(texts(s, d, TITLES), "t", (), strict=True)

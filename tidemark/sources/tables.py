@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.udf import arrow_udf
+from tidemark.operators.store import Log
 
 Source = Callable[[SparkSession, str], DataFrame]
 SOURCES: dict[str, Source] = {
@@ -95,6 +97,25 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def append_raw(rows: DataFrame, path: str) -> None:
-    """raw_event: append-only; ids are hashes, so that writers need no common counter."""
-    rows.withColumn("id", F.xxhash64(*rows.columns)).write.mode("append").parquet(path)
+def append_raw(rows: DataFrame, path: str, batch: str | None = None) -> tuple[int, int]:
+    """raw_event: append-only, with ids that go on where the last batch ended; gives the first id and the number of rows.
+
+    Equal rows get ids of their own. A batch that is given again under its name is left out and tells what it told
+    before, so that what points at its ids stays right after a retry. Rows are written once as they come, each with its
+    place in its partition; the partitions' sizes, a number each, then give every partition its first id.
+    """
+    spark, name = rows.sparkSession, batch or uuid.uuid4().hex
+    log = Log(spark, f"{path}/_log")
+    told = {n: log.read(n) for n in log.names()}
+    if name in told:
+        return told[name]["first"], told[name]["n"]
+    first = max((t["first"] + t["n"] for t in told.values()), default=1)
+    staged, own = f"{path}/_staged-{uuid.uuid4().hex}", F.monotonically_increasing_id()
+    rows.select("*", F.shiftright(own, 33).cast("int").alias("__part"), own.bitwiseAND(2**33 - 1).alias("__place")).write.parquet(staged)
+    there = spark.read.parquet(staged)
+    sizes = sorted((r["__part"], r["n"]) for r in there.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    starts = spark.createDataFrame([(p, first + sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)], "__part int, __first long")  # a row for each task
+    there.join(F.broadcast(starts), "__part").withColumn("id", F.col("__first") + F.col("__place")).drop("__part", "__place", "__first").write.mode("overwrite").parquet(f"{path}/batch={name}")
+    log.commit(name, {"first": first, "n": sum(n for _, n in sizes)})
+    log.fs().delete(log.hadoop(f"../{staged.rpartition('/')[2]}"), True)
+    return first, sum(n for _, n in sizes)

@@ -9,7 +9,6 @@ again under another number change nothing: the table keeps of each key the first
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.merge import Policy, finished, merged, started
+from tidemark.operators.store import Log
 
 
 class BucketedTable:
@@ -28,32 +28,19 @@ class BucketedTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, policy: Policy, seq: list[str], buckets: int = 64):
         self.spark, self.path, self.schema, self.policy, self.seq = spark, path.rstrip("/"), schema, policy, seq
+        self.log = Log(spark, f"{self.path}/log")
         self.state = started(spark.createDataFrame([], schema), policy, seq).schema
         found = self._manifests()
         self.buckets = self._manifest(found[-1])["buckets"] if found else buckets
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
     def _manifests(self) -> list[int]:
-        fs, log = self._fs(), self._path("log")
-        return sorted(int(x.getPath().getName()) for x in fs.listStatus(log) if x.getPath().getName().isdigit()) if fs.exists(log) else []
+        return sorted(int(n) for n in self.log.names() if n.isdigit())
 
     def _manifest(self, number: int) -> dict:
-        lines = self.spark.read.text(f"{self.path}/log/{number}", wholetext=True).first()
-        return json.loads(lines[0])
+        return self.log.read(str(number))
 
     def _commit(self, number: int, told: dict) -> None:
-        fs, hidden = self._fs(), self._path(f"log/_{number}-{uuid.uuid4().hex}")
-        out = fs.create(hidden, True)
-        out.write(bytearray(json.dumps(told).encode()))
-        out.close()
-        if fs.exists(self._path(f"log/{number}")) or not fs.rename(hidden, self._path(f"log/{number}")):
-            fs.delete(hidden, False)
-            raise RuntimeError(f"batch {number} was committed by another writer")
+        self.log.commit(str(number), told)
 
     def _read(self, folders: dict[int, str], some: list[int] | None = None) -> DataFrame:
         paths = [f"{self.path}/{f}/bucket={b}" for b, f in sorted(folders.items()) if some is None or b in some]
@@ -76,7 +63,7 @@ class BucketedTable:
         self._commit(number, {"buckets": self.buckets, "folders": folders | {b: own for b in touched}, "replaced": {b: folders[b] for b in touched if b in folders}})
         if found:  # what the batch before replaced is read by nobody but those who read the table two batches ago
             for b, f in self._manifest(found[-1])["replaced"].items():
-                self._fs().delete(self._path(f"{f}/bucket={b}"), True)
+                self.log.fs().delete(self.log.hadoop(f"../{f}/bucket={b}"), True)
         return touched
 
     def rows(self) -> DataFrame:
