@@ -51,7 +51,8 @@ def test_against_brute_force(spark, monkeypatch, block, sent):
     rows = rows_of(5)
     given = spark.createDataFrame([(*r, 1, "w", ["p"]) for r in rows], DOCS)
     # blocks are cut in the workers, which get the bound from here
-    monkeypatch.setattr(phrases, "_lists", phrases.partial(phrases._lists, block=block))
+    for name in ("_lists", "_counted", "_sent_lists"):
+        monkeypatch.setattr(phrases, name, phrases.partial(getattr(phrases, name), block=block))
     for least, top in ((12, 2000), (30, 3)):
         want = plain(rows, least, top=top)
         assert len(want) > (4 if top == 3 else 30)

@@ -36,6 +36,8 @@ LOWER[0x41:0x5B] += 32
 #: A row for each list of a block's words, and one for the block with packed numbers: its lists, one after the other,
 #: and their lengths.
 WORDS = "block long, lang string, word binary, local int, n long, starts binary, sizes binary"
+#: Frequencies of a block's words.
+COUNTED = "block long, lang string, word binary, n long"
 #: A block at a level: positions of the adjacent words, these words and their ids; the phrases' beginnings, the phrases
 #: and their ids.
 LEVEL = "block long, at binary, of binary, ids binary, starts binary, phrase binary, phrases binary"
@@ -75,20 +77,17 @@ def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return found, piece, np.searchsorted(ends, begin, side="right")
 
 
-def _lists(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Blocks of (lang, text): a row for each of a block's words with its frequency, and one with the lists."""
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[int, list[tuple[str, bytes]], np.ndarray, np.ndarray]]:
+    """Blocks of (lang, text): number, (lang, word) of each word, all positions ascending and the word at each."""
     held: dict[tuple[str, bytes], int] = {}
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     size = gap = made = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush() -> tuple:
         nonlocal held, parts, size, gap, made
-        at, of = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(of, kind="stable")  # the lists, one word after the other, each ascending
-        name, keys, n = (TaskContext.get().partitionId() << 32) + made, list(held), np.bincount(of, minlength=len(held))
-        yield from _rows({"block": np.full(len(keys), name), "lang": [k for k, _ in keys], "word": [w for _, w in keys], "local": np.arange(len(keys), dtype=np.int32), "n": n})
-        yield from _rows({"block": [name], "starts": [pack(at[order])], "sizes": [pack(n)]})
+        done = (TaskContext.get().partitionId() << 32) + made, list(held), *(np.concatenate(x) for x in zip(*parts))
         held, parts, size, gap, made = {}, [], 0, 0, made + 1
+        return done
 
     for b in batches:
         langs = b.column(0).to_pylist()
@@ -116,9 +115,34 @@ def _lists(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa
                 size += upto - done
                 done = upto
                 if size >= block:
-                    yield from flush()
+                    yield flush()
     if parts:
-        yield from flush()
+        yield flush()
+
+
+def _counted(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of each block."""
+    for name, keys, _, of in _blocks(batches, block):
+        yield from _rows({"block": [name] * len(keys), "lang": [k for k, _ in keys], "word": [w for _, w in keys], "n": np.bincount(of, minlength=len(keys))}, COUNTED)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """A row for each of a block's words with its frequency, and one with the lists."""
+    for name, keys, at, of in _blocks(batches, block):
+        order, n = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(keys))  # the lists, each ascending
+        yield from _rows({"block": np.full(len(keys), name), "lang": [k for k, _ in keys], "word": [w for _, w in keys], "local": np.arange(len(keys), dtype=np.int32), "n": n})
+        yield from _rows({"block": [name], "starts": [pack(at[order])], "sizes": [pack(n)]})
+
+
+def _sent_lists(batches: Iterator[pa.RecordBatch], known, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Level 1 of each block, by the ids of the frequent words."""
+    ids = known.value
+    for name, keys, at, of in _blocks(batches, block):
+        own = np.array([ids.get(k, -1) for k in keys])
+        stays = np.where(own >= 0, np.cumsum(own >= 0) - 1, -1)
+        word, own = stays[of], own[own >= 0]
+        at, word = at[word >= 0], word[word >= 0]
+        yield from Level(name, at, word, own, at, word, own).row()
 
 
 def _rows(cols: dict, ddl: str = WORDS) -> Iterator[pa.RecordBatch]:
@@ -246,13 +270,19 @@ def count(docs: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lan
     """(lang, words, m, a) of every phrase of 1 to ``most`` words that occurs ``least`` times or more in its language,
     and (lang, n) of all words of each."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    lists = written(rows.mapInArrow(_lists, WORDS), "lists")
-    each = lists.where("word is not null").select("block", "local", "lang", "word", "n")
-    total = written(each.groupBy("lang").agg(F.sum("n").alias("n")), "words-of-languages")
-    known = _frequent(each, ["lang", "word"], least, "phrases-1")
-    blocks = lists.where("sizes is not null").select("block", "starts", "sizes")
-    level = written(blocks.groupBy("block").cogroup(_back(each, known, ["lang", "word"]).groupBy("to")).applyInArrow(_first, LEVEL), "level-1")
-    forget(lists)
+    counts = written(rows.mapInArrow(_counted, COUNTED).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    total = written(counts.groupBy("lang").agg(F.sum("n").alias("n")), "words-of-languages")
+    known = written(counts.where(F.col("n") >= least).select("lang", "word", F.col("n").alias("a"), F.monotonically_increasing_id().alias("id")), "phrases-1")
+    forget(counts)
+    if (known.agg(F.sum(F.length("lang") + F.length("word") + 24)).first()[0] or 0) <= SENT:
+        sent = rows.sparkSession.sparkContext.broadcast({(r["lang"], bytes(r["word"])): r["id"] for r in known.collect()})  # SENT bytes at most
+        level = written(rows.mapInArrow(partial(_sent_lists, known=sent), LEVEL), "level-1")
+    else:
+        lists = written(rows.mapInArrow(_lists, WORDS), "lists")
+        blocks = lists.where("sizes is not null").select("block", "starts", "sizes")
+        back = _back(lists.where("word is not null"), known, ["lang", "word"])
+        level = written(blocks.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(_first, LEVEL), "level-1")
+        forget(lists)
     found = known.select("lang", F.array(F.col("word").cast("string")).alias("words"), "a", "id")
     single, out, used = found, [found], [known]
     for k in range(1, most):
