@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 #: Words of a block; a piece is never cut, so a block may hold one piece more.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Bytes of text that are taken apart at once.
 SLICE = 2_000_000
 #: Classes of bytes: 0 of a word, 1 blank, 2 end of a piece.
