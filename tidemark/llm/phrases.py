@@ -11,20 +11,19 @@ driver need hold the phrases of all blocks.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
 
 #: Words of a block; a piece is never cut, so a block may hold one piece more.
-BLOCK = 500_000
+BLOCK = 1_000_000
 #: Bytes of text that are taken apart at once.
 SLICE = 2_000_000
 #: Classes of bytes: 0 of a word, 1 blank, 2 end of a piece.
@@ -241,13 +240,6 @@ def _joined(key: tuple, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 SENT = 32_000_000
 
 
-def _swept(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of levels that are done, which it does once the driver has collected what refers to
-    them; else the files of all levels would lie there until it happens to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _frequent(rows: DataFrame, keys: list[str], least: int, what: str) -> DataFrame:
     known = rows.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return written(known.withColumn("id", F.monotonically_increasing_id()), what)
@@ -282,7 +274,6 @@ def count(docs: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lan
     total = written(counts.groupBy("lang").agg(F.sum("n").alias("n")), "words-of-languages")
     known = written(counts.where(F.col("n") >= least).select("lang", "word", F.col("n").alias("a"), F.monotonically_increasing_id().alias("id")), "phrases-1")
     forget(counts)
-    _swept(rows.sparkSession)
     if (known.agg(F.sum(F.length("lang") + F.length("word") + 24)).first()[0] or 0) <= SENT:
         sent = rows.sparkSession.sparkContext.broadcast({(r["lang"], bytes(r["word"])): r["id"] for r in known.collect()})  # SENT bytes at most
         level = written(rows.mapInArrow(partial(_sent_lists, known=sent), LEVEL), "level-1")
@@ -303,7 +294,6 @@ def count(docs: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lan
         if k + 1 < most:
             last, level = level, written(_next(level, known, k), f"level-{k + 1}")
             forget(last)
-        _swept(rows.sparkSession)
     whole = written(reduce(DataFrame.unionByName, (f.select("lang", "words", F.size("words").alias("m"), "a") for f in out)), "phrases")
     for t in (level, *used):
         forget(t)
