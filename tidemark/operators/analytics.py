@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNSORTED = "未分类"
@@ -108,21 +108,77 @@ def theme_kpis(compared: DataFrame) -> DataFrame:
     return compared.agg(weighted_average(compared).alias("avg_price"), spread().alias("spread"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"))
 
 
+#: Buckets of a doubling of the value, in the histograms by which medians are found.
+FINE = 64
+
+
+def bucket(value: Column, fine: int = FINE) -> Column:
+    """A whole number that never falls as the value rises: its place on a logarithmic scale, with both signs and nan last."""
+    size = F.floor(F.log2(F.least(F.abs(value), F.lit(1e308)) + 1) * fine)
+    return F.when(F.isnan(value), 2**20).when(value < 0, -size - 1).otherwise(size).cast("int")
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, buckets: DataFrame) -> DataFrame:
+    """(keys, median) of the rows' value, exactly: the mean of the two middle ones.
+
+    ``buckets`` is the rows' histogram (keys, b, n, lo, hi) by ``bucket``, with each bucket's least and greatest value. It
+    tells in which bucket each middle place lies; a bucket of one or two rows, or of one value, tells the value too. The
+    rows of the others are read once more, counted by value and numbered within their bucket. So no task holds a group,
+    and what is sorted together is the distinct values of one bucket: a doubling's 64th.
+    """
+    group = Window.partitionBy(*keys)
+    placed = buckets.withColumn("till", F.sum("n").over(group.orderBy("b"))).withColumn("n_all", F.sum("n").over(group))
+    low, high = F.expr("(n_all - 1) div 2"), F.expr("n_all div 2")
+    held = placed.select(
+        *keys, "b", "n", "lo", "hi", *((at - (F.col("till") - F.col("n"))).alias(name) for name, at in (("at_low", low), ("at_high", high)))
+    ).where("at_low BETWEEN 0 AND n - 1 OR at_high BETWEEN 0 AND n - 1")
+    told = (F.col("n") <= 2) | (F.col("lo") == F.col("hi"))
+    ends = [F.when(F.col(c).between(0, F.col("n") - 1), F.when(F.col(c) == 0, F.col("lo")).otherwise(F.col("hi"))).alias(c[3:]) for c in ("at_low", "at_high")]
+    known = held.where(told).select(*keys, *ends)
+    open_ = held.where(~told).select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), F.col("b").alias("kb"), "at_low", "at_high")
+    same = F.col("b") == F.col("kb")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"k{i}"))
+    counted = rows.select(*keys, F.col(value).alias("v"), bucket(F.col(value)).alias("b")).groupBy(*keys, "b", "v").agg(F.count("*").alias("n"))
+    inside = counted.join(open_, same).withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "b").orderBy("v")))
+    hits = [F.when((F.col(c) >= F.col("upto") - F.col("n")) & (F.col(c) < F.col("upto")), F.col("v")).alias(c[3:]) for c in ("at_low", "at_high")]
+    found = known.unionByName(inside.select(*keys, *hits).where("low IS NOT NULL OR high IS NOT NULL"))
+    return found.groupBy(*keys).agg(((F.max("low") + F.max("high")) / 2).alias("median"))
+
+
+def median_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): the exact median of each group's values, nulls apart; groups without a value give no row."""
+    rows = rows.where(F.col(value).isNotNull())
+    buckets = rows.groupBy(*keys, bucket(F.col(value)).alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return medians(rows, keys, value, buckets)
+
+
 def price_rollup(df: DataFrame, grain: str) -> DataFrame:
-    """price_history_agg: per day, week or month and key, number, least, highest, average, median and last price."""
-    keys = ["platform", "product_type", "spec"]
+    """price_history_agg: per day, week or month and key, number, least, highest, average, median and last price.
+
+    Rows are first aggregated by group and bucket of the price, so that a group of any size is dealt to many tasks.
+    """
+    keys = ["agg_date", "platform", "product_type", "spec"]
     at = F.date_format(F.date_trunc(grain, F.col("snapshot_time").cast("timestamp_ntz")), "yyyy-MM-dd")
-    return df.where("price IS NOT NULL").groupBy(at.alias("agg_date"), *keys).agg(
-        F.lit(grain).alias("agg_grain"), F.count("*").alias("sample_size"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
-        mean_price("price").alias("avg_price"), F.round(F.percentile("price", F.lit(0.5)), 4).alias("p50_price"),
-        F.max_by("price", F.struct("snapshot_time", "row_key", "price")).alias("last_price"),
+    rows = df.where("price IS NOT NULL").select(at.alias("agg_date"), *keys[1:], "price", "snapshot_time", "row_key")
+    last = F.struct("snapshot_time", "row_key", "price")
+    parts = rows.groupBy(*keys, bucket(F.col("price")).alias("b")).agg(
+        F.count("*").alias("n"), F.min("price").alias("lo"), F.max("price").alias("hi"), F.sum(F.expr("CAST(round(price * 100) AS bigint)")).alias("cents"), F.max(last).alias("last")
+    )
+    mid = medians(rows, keys, "price", parts.select(*keys, "b", "n", "lo", "hi"))
+    whole = parts.groupBy(*keys).agg(
+        F.sum("n").alias("sample_size"), F.min("lo").alias("min_price"), F.max("hi").alias("max_price"),
+        F.expr("((2 * sum(cents) + sum(n)) div (2 * sum(n))) / 100").alias("avg_price"), F.max("last").getField("price").alias("last_price"),
     )
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        mid = mid.withColumnRenamed(c, f"m{i}")
+        same = same & F.col(c).eqNullSafe(F.col(f"m{i}"))
+    return whole.join(mid, same).select("agg_date", F.lit(grain).alias("agg_grain"), *keys[1:], "sample_size", "min_price", "max_price", "avg_price", F.round("median", 4).alias("p50_price"), "last_price")
 
 
 def cap_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """The first n rows of each group: a windowed rank, limited before the shuffle."""
-    from pyspark.sql import Window
-
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
 
 

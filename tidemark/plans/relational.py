@@ -188,6 +188,12 @@ for _grain in ("day", "week", "month"):
         return A.price_rollup(V.products(s, d), grain)
 
 
+@q("price_median", "SELECT platform, status, round(quantile_cont(price, 0.5), 4) AS median FROM products WHERE price IS NOT NULL GROUP BY 1, 2", V.PRODUCTS)
+def _(s, d):
+    """Groups that hold up to half of all rows."""
+    return A.median_by(V.products(s, d, part=False), ["platform", "status"], "price").withColumn("median", F.round("median", 4))
+
+
 @q("today_count", "SELECT count(*) AS n FROM runs WHERE CAST(started_at AS DATE) = DATE '2024-01-15'", V.RUNS)
 def _(s, d):
     return V.runs(s, d).where(F.to_date("started_at") == "2024-01-15").agg(F.count("*").alias("n"))
