@@ -142,6 +142,22 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return placed.join(F.broadcast(starts), F.col("__p") == F.col("__q")).withColumn(name, F.col("__r") + F.col("__start")).drop("__p", "__q", "__n", "__r", "__start")
 
 
+def nth(df: DataFrame, column: str, n: int, buckets: int = 4096) -> int | None:
+    """The n-th smallest whole number of a column, None if there are fewer: histograms of ``buckets`` counts narrow its range."""
+    low, high, count = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if n < 1 or count < n:
+        return None
+    while low < high:
+        width = (high - low) // buckets + 1
+        inside = df.where(F.col(column).between(low, high)).select(F.expr(f"(CAST({column} AS DECIMAL(20, 0)) - {low}BD) div {width}").alias("b"))
+        for b, c in sorted((r["b"], r["n"]) for r in inside.groupBy("b").agg(F.count("*").alias("n")).collect()):
+            if c >= n:
+                break
+            n -= c
+        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+    return low
+
+
 def rouge_summary(rows: DataFrame, by: str, keys: tuple[str, ...], predict: str = "predict", target: str = "label") -> DataFrame:
     """(by, n, rouge1, rouge2, rougel): mean F1 of each group, to four places."""
     own = rows.select(*keys, by)

@@ -690,11 +690,6 @@ def _blocks(s, d) -> DataFrame:
     )
 
 
-@q("sft_generate")
-def _(s, d):
-    return C.generate(_blocks(s, d), dict.fromkeys(C.TEMPLATES, 4)).drop("terms")
-
-
 @q("key_sentences", "SELECT doc_id, array_to_string(CASE WHEN len(x) <= 3 THEN x ELSE list_slice(x, doc_id % (len(x) - 2) + 1, doc_id % (len(x) - 2) + 3) END, '|') AS v FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all('水产养殖材料。' || replace(regexp_replace(text, '[ ]+', ' ', 'g'), '.', '。'), '[^。！？；!?;]+[。！？；!?;]?|[。！？；!?;]'), lambda y: trim(y, ' ' || chr(10) || chr(9))), lambda y: y <> '') AS x FROM documents)")
 def _(s, d):
     rows = _blocks(s, d).withColumn("sentences", T.split_sentences(F.col("content")))  # a column of its own: split once
@@ -745,6 +740,51 @@ for _name, _pick in (("context_input", "input"), ("sft_outputs", "plain"), ("cot
         return C.of_each_block(C.prepared(_blocks(s, d))).select("doc_id", "template", pick)
 
 
+#: Samples of each template, and how often each is tried.
+TARGET = 20
+TRIED = max(40 * TARGET, 200)
+FIT = {"definition": "len(focus) > 0 AND length(content) >= 60", "reasoning": "length(content) >= 100", "comparison": "len(focus) >= 2 OR contains(content, '对比') OR contains(content, '比较')", "summary": "length(content) >= 80", "application": "regexp_matches(content, '[0-9]') OR length(content) >= 100"}
+#: The sample SQL over attempts in the place of blocks: every block with its template and turn.
+GRID = f"""q AS ({' UNION ALL '.join(f"SELECT *, '{t}' AS kind, {x} AS fit FROM f" for t, x in FIT.items())}),
+    q2 AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ord) - 1 AS pos FROM (SELECT *, bool_or(fit) OVER (PARTITION BY kind) AS anyfit FROM q) WHERE fit OR NOT anyfit),
+    q3 AS (SELECT *, least(count(*) OVER (PARTITION BY kind), {TRIED}) AS n FROM q2),
+    grid AS (SELECT kind, CAST(ord AS VARCHAR) AS doc_id, title, section, content, x, focus, unnest(range(pos, {TRIED}, n)) AS ord FROM q3 WHERE pos < n)"""
+TURNS = EACH.replace("k AS (SELECT *, focus", f"{GRID}, k AS (SELECT *, focus", 1).replace("AS k2 FROM f)", "AS k2 FROM grid)", 1).replace("AS short FROM s", "AS short FROM s WHERE kind = '{}'")
+for _t in C.TEMPLATES:
+    TURNS = TURNS.replace("kind = '{}'", f"kind = '{_t}'", 1)
+
+
+def _sql_phases() -> str:
+    """CTEs of the taken and refused attempts of each phase; all blocks hold a domain term, so no sample is irrelevant."""
+    parts = []
+    phases = [(t, text, n) for t in C.TEMPLATES for text, n in C._phases(t, TARGET, C.SUMMARY_COT)]
+    for i, (t, text, n) in enumerate(phases):
+        after = f" AND ord > (SELECT max(ord) FROM t{i - 1}) AND (SELECT count(*) FROM t{i - 1}) = {phases[i - 1][2]}" if i and phases[i - 1][0] == t else ""
+        old = " OR ".join(f"key IN (SELECT key FROM t{j})" for j in range(i)) or "false"
+        forced = "true" if text == "cot" and t in (*C.FORCED, "summary") else "false"
+        parts.append(f"a{i} AS (SELECT *, {old} AS old FROM (SELECT template, ord, doc_id, instruction, input, {text} AS output, md5(instruction || chr(10) || input) AS key, length({text}) BETWEEN 50 AND 4096 AS whole, {forced} AS cot_injected FROM w WHERE template = '{t}'{after}))")
+        parts.append(f"c{i} AS (SELECT *, min(CASE WHEN whole AND NOT old THEN ord END) OVER (PARTITION BY key) AS claim FROM a{i})")
+        first = sum(m for u, _, m in phases[:i] if u == t)
+        parts.append(f"t{i} AS (SELECT *, r + {first} AS rank FROM (SELECT *, row_number() OVER (ORDER BY ord) AS r FROM c{i} WHERE ord = claim) WHERE r <= {n})")
+        parts.append(f"m{i} AS (SELECT template, CASE WHEN NOT whole THEN 'incomplete' ELSE 'duplicate' END AS reason FROM c{i} WHERE claim IS DISTINCT FROM ord AND ((SELECT count(*) FROM t{i}) < {n} OR ord <= (SELECT max(ord) FROM t{i})))")
+    return ", ".join(parts)
+
+
+_PHASES = range(len([1 for t in C.TEMPLATES for _ in C._phases(t, TARGET, C.SUMMARY_COT)]))
+TAKEN = f"WITH {TURNS}, {_sql_phases()} "
+
+
+@q("sft_generate", TAKEN + " UNION ALL ".join(f"SELECT template, ord AS attempt, doc_id, instruction, input, output, cot_injected, key, rank FROM t{i}" for i in _PHASES))
+def _(s, d):
+    return C.generate(_blocks(s, d), dict.fromkeys(C.TEMPLATES, TARGET)).drop("terms")
+
+
+@q("sft_refused", TAKEN + "SELECT template, reason, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in _PHASES) + ") GROUP BY 1, 2")
+def _(s, d):
+    """Why attempts were refused, until each template had its samples."""
+    return C.generated(_blocks(s, d), dict.fromkeys(C.TEMPLATES, TARGET))[1]
+
+
 @q("ensure_length", "SELECT doc_id, CASE WHEN length(text) >= 50 THEN text ELSE text || repeat('" + C.PADDING + "', CAST(ceil((50 - length(text)) / " + str(len(C.PADDING)) + ".0) AS INTEGER)) END AS v FROM documents")
 def _(s, d):
     return V.table(s, d, "documents").select("doc_id", C.ensure_length(F.col("text")).alias("v"))
