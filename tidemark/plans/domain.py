@@ -16,6 +16,7 @@ from tidemark.operators.store import shared_dir
 from tidemark.plans import views as V
 from tidemark.sources import pages as P
 from tidemark.sources import prices as S
+from tidemark.sources import selectors as L
 from tidemark.sources import tables
 from tidemark.sources.dictionaries import Dictionary, type_seeds
 from tidemark.streaming.polling import poll
@@ -440,6 +441,50 @@ def _(s, d):
     return V.table(s, d, "pages").select("page_id", P.detail("html").alias("x")).select("page_id", "x.*")
 
 
+CARDS = (
+    "<div data-sku='12'><h5>other</h5><i class='p-title' title='三文鱼 刺身'>x</i><i class='p-price'>¥ 88 . 50</i><b class='comment-n'>200+</b><em class='shop'>海之家</em></div><div data-sku='12'><h5>again</h5>¥1</div><div data-sku='13'><h5>虹鳟</h5> 每份 39.9 元</div><div data-sku='14'><h5>无价</h5></div>",
+    "<div data-sku=''><h5>x</h5>¥1</div><ul><li><a href='//item.jd.com/7.html' title='帝王鲑'>y</a><span>￥120</span></li></ul>", "<div><a href='https://item.m.jd.com/8.html'>金鳟 2斤</a></div><a href='https://item.m.jd.com/8.html'>again 5</a>", "<p>¥ 5</p>", "",
+)
+
+
+@q("html_items", expected(CARDS, "url, title, price, comment, shop, extractor", [
+    (0, "https://item.jd.com/12.html", "三文鱼 刺身", 88.5, "200+", "海之家", "card"), (0, "https://item.jd.com/13.html", "虹鳟", 39.9, "", "", "card"),
+    (1, "https://item.jd.com/7.html", "帝王鲑", 1.0, "", "", "anchor"), (2, "https://item.m.jd.com/8.html", "金鳟 2斤", 2.0, "", "", "anchor"),
+]))
+def _(s, d):
+    return texts(s, d, CARDS).select("k", F.explode(L.items("t")).alias("c")).select("k", "c.*")
+
+
+NOTICES = (
+    "<ul id='nav'><li><a href='/n'>no</a></li></ul><div class='x sj_e_tonzhi_list'><ul id='div'><li><a href='./1.htm'><span class='sj_gztzle'>通知一</span><span class='sj_gztzri'>2026-02-10</span></a></li><li><a href='/2.htm'>通知二</a> 发布 2025-12-31</li><li><a href=''>x</a></li><li><a href='3.htm'> </a></li></ul></div>",
+    "<ul id='div'><li><a href='https://b.cn/4.htm'>通知三</a></li><li>none</li></ul>", "<ul><li><a href='5.htm'>other list</a></li></ul>",
+)
+
+
+@q("html_notices", expected(NOTICES, "title, url, pub_time", [(0, "通知一", "http://a.cn/tzgg/1.htm", "2026-02-10"), (0, "通知二", "http://a.cn/2.htm", "2025-12-31"), (1, "通知三", "https://b.cn/4.htm", "")]))
+def _(s, d):
+    return texts(s, d, NOTICES).select("k", F.explode(L.notices("t", F.lit("http://a.cn/tzgg/index.htm"))).alias("c")).select("k", "c.*")
+
+
+#: Containers in turn: every third page has one by class, every third by id, the others by tag.
+HELD = ("div class=\"content\"", "section id=\"zoom\"", "article")
+
+
+@q("html_article", f"SELECT page_id, title, text AS content FROM ({Q['html_detail'][1]})")
+def _(s, d):
+    """The article of each page, by the first container of the cascade that the page has."""
+    pages = V.table(s, d, "pages").select("page_id", "html")
+    held = F.get(F.array(*map(F.lit, HELD)), (F.col("page_id") % 3).cast("int"))
+    html = F.replace(F.replace("html", F.lit("<article>"), F.concat(F.lit("<"), held, F.lit(">"))), F.lit("</article>"), F.concat(F.lit("</"), F.element_at(F.split(held, " "), 1), F.lit(">")))
+    return pages.select("page_id", L.article(html, (*L.CONTAINERS, "article")).alias("x")).select("page_id", "x.title", "x.content")
+
+
+@q("html_links_first", f"SELECT url, arg_min(page_id, (page_id, title)) AS page_id, arg_min(title, (page_id, title)) AS title FROM ({Q['html_links'][1]}) GROUP BY 1")
+def _(s, d):
+    """Each address once across all pages, as the first page names it."""
+    return L.first_of_url(Q["html_links"][0](s, d).select("page_id", "title", "url"), "url", "page_id", "title")
+
+
 META = ("日期：2026-02-10\n作者：张三 来源：报社【字号", "来源: 某网【字号 大】", "")
 
 
