@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidemark.sources import pages as P
 from tidemark.sources import selectors as L
 from tidemark.sources.pages import tree
 
@@ -37,3 +38,11 @@ def test_first_of_url(spark):
     rows = spark.createDataFrame([("u", 2, "b"), ("u", 1, "c"), ("u", 1, "a"), (None, 5, None), ("v", 3, None)], "url string, page_id int, title string")
     assert sorted(map(str, (tuple(r) for r in L.first_of_url(rows, "url", "page_id").collect()))) == sorted(map(str, [("u", 1, "a"), (None, 5, None), ("v", 3, None)]))
     assert L.first_of_url(rows.limit(0), "url", "page_id").count() == 0
+
+
+def test_references_without_a_semicolon_stay():
+    page = "<h1>A&amp;&amp b &lt; &quot &#39;&#39 &nosuch; &ampx;</h1><article><p>x &amp;amp y &amp</p></article>"
+    want = "A&&amp b < &quot '&#39 &nosuch; &ampx;"
+    found = L.article_of(page, ("article",))
+    assert (found["title"], found["content"]) == (want, "x &amp y &amp")
+    assert P.links_of("<li><a href='/a?b=1&copy=2'>t &lt</a></li>", "http://h") == [{"title": "t &lt", "url": "http://h/a?b=1&copy=2"}]
