@@ -445,3 +445,18 @@ def test_pipeline(spark, tmp_path):
     assert not any(i % 6 == 0 for i in got if i < 240) and 502 not in got and 501 not in got
     kept = [i for i in got if i < 240]
     assert len(kept) > 100  # what the mix takes of the clean ones
+
+
+def test_toxicity_frequencies(spark):
+    """Document frequencies are counted within tasks: a row for each goes on, however many terms the texts hold."""
+    terms = {w.encode(): i for i, w in enumerate("abcd")}
+    model = toxicity.Model(terms, np.array([1]), np.array([1.0]), np.array([1.0]), [(np.array([0]), np.array([1.0]))], 3, 64)
+    texts = ["a a b", "a c x", "", None, "y", "d"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    rows, scorer = toxicity._frequencies(docs, model, "doc_id", "text")
+    n = [100, 50, 50, 50, 100]
+    assert np.allclose(scorer.index.idf, [np.log(301 / (1 + x)) + 1 for x in n])
+    tasks = rows.rdd.getNumPartitions()
+    assert rows.select("terms").mapInArrow(lambda b: toxicity._tallies(b, 5, toxicity.ADDERS), "part int, n binary").count() == tasks
+    empty = toxicity._frequencies(docs.limit(0), model, "doc_id", "text")[1]
+    assert np.allclose(empty.index.idf, np.log(1.0) + 1)

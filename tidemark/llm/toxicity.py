@@ -23,6 +23,8 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -261,12 +263,35 @@ def _scored(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "score", "evidence"])
 
 
+def _tallies(batches: Iterator[pa.RecordBatch], terms: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """One row for each task: in how many of its texts each term is."""
+    n = np.zeros(terms, np.int64)
+    for b in batches:
+        n += np.bincount(pc.list_flatten(b.column(0)).to_numpy(), minlength=terms)
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["part", "n"])
+
+
+def _added(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(terms, np.int64)
+    for b in batches:
+        for one in b.column(1):
+            n += np.frombuffer(one.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+
+
+#: Tasks that add up the others' document frequencies.
+ADDERS = 16
+
+
 def _frequencies(docs: DataFrame, model: Model, id_col: str, text_col: str) -> tuple[DataFrame, Scorer]:
     """The terms and counts of each text, and the scorer with the document frequencies over all of them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = written(rows.mapInArrow(partial(_numbered, terms=model.terms), "id long, terms array<int>, counts array<int>"), "term-counts")
-    df = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most max_terms
-    return rows, Scorer(model, rows.count(), df)
+    size = len(model.terms) + 1  # max_terms and the background
+    each = rows.select("terms").mapInArrow(partial(_tallies, terms=size, parts=ADDERS), "part int, n binary").repartition(ADDERS, "part")
+    sums = each.mapInArrow(partial(_added, terms=size), "n binary").collect()  # ADDERS rows
+    df = sum((np.frombuffer(bytes(r["n"]), np.int64) for r in sums), np.zeros(size, np.int64))
+    return rows, Scorer(model, rows.count(), dict(enumerate(df.tolist())))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
