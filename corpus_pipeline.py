@@ -22,8 +22,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles) the document with the smallest id stays."""
-    return simhash.keep_one(docs, width=5)
+    """Of each group of near copies (5-word shingles: by SimHash, edited copies also by verified similarity) the document with the smallest id stays."""
+    return simhash.keep_one(docs, width=5, threshold=4)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

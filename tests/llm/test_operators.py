@@ -152,6 +152,18 @@ def test_keep_one_in_a_crowded_bucket(spark):
         assert got == part
 
 
+def test_keep_one_links_by_simhash(spark):
+    """The pipeline takes texts whose fingerprints lie within four bits as near copies, though their sets of shingles are unlike."""
+    import corpus_pipeline
+
+    base = text(40, 9) + " "
+    rows = [(i, base * 60 + text(50 + i, 20)) for i in range(3)] + [(7, text(60, 90))]
+    fps = [simhash.fingerprint(t.encode(), 5) for _, t in rows]
+    assert all((fps[0] ^ x).bit_count() <= 4 for x in fps[:3]) and (fps[0] ^ fps[3]).bit_count() > 4
+    assert jaccard(rows[0][1], rows[1][1]) < 0.5
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()} == {0, 7}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in rng.normal(0, 0.4, 8)]) for i in range(120)]

@@ -12,7 +12,7 @@ blocks with 4 million anchors keep the homes at an anchor few. Either finds ever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -52,8 +52,13 @@ def shingles(text: bytes | None, width: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes | None, width: int) -> int:
     """64-bit SimHash over the XXH64 (seed 42) of width-word shingles, repeats counted; no words: 0."""
+    return folded(shingles(text, width))
+
+
+def folded(hashed: Iterable[np.ndarray]) -> int:
+    """The SimHash of shingles' hashes."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingles(text, width):
+    for hashes in hashed:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
@@ -284,9 +289,11 @@ PART, VOLUME = 512, 1 << 21
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps, sizes, bands = [], [], []
+        fps, sims, sizes, bands = [], [], [], []
         for t in b.column(1).to_pylist():
-            have = np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(t, width)]))
+            hashed = list(shingles(t, width))
+            sims.append(folded(hashed))
+            have = np.unique(np.concatenate([np.empty(0, "<u8"), *hashed]))
             low = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
             for at in range(0, len(have), 1024):
                 low = np.minimum(low, (have[None, at : at + 1024] * _SEEDS).min(axis=1))
@@ -295,7 +302,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, DEPTH))] if len(have) else [])
         ends = np.concatenate(([0], np.cumsum([len(x) for x in bands], dtype=np.int64)))
         keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(sum(bands, []), np.uint64).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), keys], names=["id", "h", "fp", "n", "bands"])
+        marks = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sims))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *marks, pa.array(sizes, pa.int32()), keys], names=["id", "h", "fp", "sim", "n", "bands"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -383,19 +391,33 @@ def _in_cells(crowded: DataFrame, texts: DataFrame, width: int, alike: float, pa
     return rows.mapInArrow(partial(_met, alike=alike), "u long, v long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8, follow: int = FOLLOW, part: int = PART) -> DataFrame:
+def _by_simhash(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links (u, v) between the sets of rows(fp, sim) whose SimHash fingerprints differ in at most ``threshold`` bits: a spanning forest."""
+    held = written(rows.select("fp", "sim").distinct(), "simhashes")
+    least = written(held.groupBy("sim").agg(F.min("fp").alias("least"), F.max("fp").alias("most")), "fingerprints")
+    many = least.where("least <> most").select(F.col("sim").alias("__sim"), "least")
+    same = held.join(many, F.col("sim") == F.col("__sim")).where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    met = links(least.select(F.col("sim").alias("fp")), threshold)
+    for end in ("u", "v"):
+        met = met.join(least.select(F.col("sim").alias(end), F.col("least").alias(f"__{end}")), end)
+    return written(same.union(met.select("__u", "__v")), "links")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8, follow: int = FOLLOW, part: int = PART, threshold: int | None = None) -> DataFrame:
     """(id, h, fp, component) for each row of docs: groups of texts linked by Jaccard similarity ``alike`` or more of their sets of shingles.
 
+    With a ``threshold``, texts whose SimHash fingerprints differ in as many bits or fewer link too, as in ``groups``;
+    anchors find these links.
     h: xxhash64 of the text, so that (id, h) tells rows with one id apart; component: the least (id, h) of the group,
-    null if all its ids are null. fp: hash of the set. Candidates share a band of MinHash minima; every link is
-    verified on the whole sets. First each set is compared with the smallest of its buckets, then, in buckets that
+    null if all its ids are null. fp: hash of the set. Candidates share a band of MinHash minima; every link by
+    similarity is verified on the whole sets. First each set is compared with the smallest of its buckets, then, in buckets that
     hold more than one group, with all others of another group: by a window in buckets of up to ``follow`` + 1 sets,
     in cells of ``part`` by ``part`` sets in larger ones. Null texts count as empty, and texts without words are one
     group.
     """
     text = F.col(text_col).cast("binary")
     given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows = written(given.mapInArrow(partial(_sketch_batches, width=width), "id long, h long, fp long, n int, bands array<long>"), "sketches")
+    rows = written(given.mapInArrow(partial(_sketch_batches, width=width), "id long, h long, fp long, sim long, n int, bands array<long>"), "sketches")
     place = F.struct("id", "h")
     nodes = rows.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), place)).alias("least"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     nodes = written(nodes, "nodes")
@@ -422,10 +444,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     second = few.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     crowded = _in_cells(rest.where(F.col("c") > follow + 1), texts, width, alike, part)
     more = _alike(written(second, "pairs"), texts, width, alike)
-    return _grouped(rows.select("id", "h", "fp"), nodes, written(components(star.union(more).union(crowded)), "roots"))
+    whole = star.union(more).union(crowded)
+    if threshold is not None:
+        whole = _by_simhash(rows, threshold).union(whole)
+    return _grouped(rows.select("id", "h", "fp"), nodes, written(components(whole), "roots"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, alike: float = 0.8, threshold: int | None = None) -> DataFrame:
     """docs without the near copies: of each group one row stays, with all columns of docs.
 
     Groups are those of near_groups. The row with the smallest id stays, of several with that id the one of smallest
@@ -433,7 +458,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     null id can't be, and all stay. Null and empty texts are one group. An empty table gives an empty result.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    marked = near_groups(named, id_col, text_col, width, alike)
+    marked = near_groups(named, id_col, text_col, width, alike, threshold=threshold)
     stay = marked.where((F.col("id") == F.col("component.id")) & (F.col("h") == F.col("component.h"))).select(F.col("id").cast(docs.schema[id_col].dataType).alias("__id"), F.col("h").alias("__h")).distinct()
     keys = named.withColumn("__k", F.xxhash64(F.col(text_col).cast("binary")))
     kept = keys.join(stay, (F.col(id_col) == F.col("__id")) & (F.col("__k") == F.col("__h")), "left_semi").dropDuplicates([id_col, "__k"]).drop("__k")
