@@ -1,12 +1,19 @@
 """Phrase collocations against brute force, over small blocks."""
 
+import glob
 import random
 import re
 from collections import Counter
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import phrases
+from tidemark.llm.common import written
 
 DOCS = "doc_id long, text string, lang string, n int, words string, phrase array<string>"
 
@@ -72,3 +79,19 @@ def test_words():
     found, piece, text = phrases.words([b"A b,c", b"", b" d\te.. f"])
     assert found.to_pylist() == [b"a", b"b", b"c", b"d", b"e", b"f"]
     assert piece.tolist() == [0, 0, 1, 2, 2, 3] and text.tolist() == [0, 0, 0, 2, 2, 2]
+
+
+def test_levels_are_small_in_memory(spark):
+    """However many blocks a task's input makes, it holds few: levels come in row groups of few blocks, word lists once."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), " ".join(f"w{x}" for x in rng.integers(0, 1 << 20, 20_000))) for i in range(64)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select(F.lit("en").alias("lang"), "text")
+    words = {f"w{x}".encode(): x for x in range(1 << 20)}
+    spelt = pa.array(list(words), pa.binary())
+    sent = spark.sparkContext.broadcast({"en": (spelt, np.arange(len(words)))})
+    level = written(given.mapInArrow(partial(phrases._sent_lists, known=sent, block=20_000), phrases.LEVEL), "level-1", phrases.ROWS | {"parquet.block.size": 1 << 18})
+    assert level.where("starts is null and phrase is null and phrases is null").count() == level.count() == 64
+    (path,) = glob.glob(level._written_to + "/*.parquet")
+    held = pq.ParquetFile(path).metadata
+    assert max(held.row_group(i).num_rows for i in range(held.num_row_groups)) <= 8
+    assert sum(len(one.at) for b in level.toArrow().to_batches() for one in phrases.Level.each(b)) == 64 * 20_000

@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, what: str, options: dict | None = None) -> DataFrame:
+    """df as a table in the shared folder, written with these options: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     done = spark.read.schema(df.schema).parquet(path)
     done._written_to = path
     return done

@@ -16,6 +16,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ from .common import forget, written
 
 #: Words of a block; a piece is never cut, so a block may hold one piece more.
 BLOCK = 1_000_000
+#: Different words that are counted together.
+COUNTS = 65_536
 #: Bytes of text that are taken apart at once.
-SLICE = 2_000_000
+SLICE = 500_000
 #: Classes of bytes: 0 of a word, 1 blank, 2 end of a piece.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -36,13 +39,16 @@ LOWER[0x41:0x5B] += 32
 #: A row for each list of a block's words, and one for the block with packed numbers: its lists, one after the other,
 #: and their lengths.
 WORDS = "block long, lang string, word binary, local int, n long, starts binary, sizes binary"
-#: Frequencies of a block's words.
-COUNTED = "block long, lang string, word binary, n long"
+#: Frequencies of words in some of the texts.
+COUNTED = "lang string, word binary, n long"
 #: A block at a level: positions of the adjacent words, these words and their ids; the phrases' beginnings, the phrases
-#: and their ids.
+#: and their ids (null at level 1, where they are the words').
 LEVEL = "block long, at binary, of binary, ids binary, starts binary, phrase binary, phrases binary"
 #: Lengths of a block's lists of longer phrases.
 GROWN = "block long, local int, prefix long, last long, n long"
+#: How levels are written: a row group for every few blocks, which take megabytes each, so that a task holds no more,
+#: writing and reading, however many blocks its input makes.
+ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
 KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -69,14 +75,31 @@ def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     inside = kind == 0
     first = inside & ~np.concatenate(([False], inside[:-1]))
     begin = np.flatnonzero(first)
-    piece = np.cumsum(np.diff(np.cumsum(kind == 2, dtype=np.int64)[begin], prepend=0) > 0)  # numbers without a gap
+    piece = np.cumsum(np.diff(np.cumsum(kind == 2, dtype=np.int32)[begin], prepend=0) > 0)  # numbers without a gap
     letters = data[inside]
-    offsets = np.append(np.cumsum(inside, dtype=np.int64)[begin] - 1, len(letters)).astype(np.int32)
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[begin] - 1, len(letters)).astype(np.int32)
     ends = np.cumsum([len(t) + 1 for t in texts])
     found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes())])
     return found, piece, np.searchsorted(ends, begin, side="right")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[str, bytes]], np.ndarray, np.ndarray]]:
+    """Slices of (lang, text): (lang, word) of each word, the word at each place and its piece."""
+    for b in batches:
+        langs, texts = b.column(0), b.column(1)
+        cut = np.cumsum(np.append(0, pc.binary_length(texts).fill_null(0).to_numpy()), dtype=np.int64)[:-1] // SLICE
+        for s in np.unique(cut):
+            some = np.flatnonzero(cut == s).tolist()
+            found, piece, text = words([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in (texts[i] for i in some)])
+            if not len(found):
+                continue
+            coded = found.dictionary_encode()
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            tongue, lang = np.unique([langs[i].as_py() for i in some], return_inverse=True)
+            both, own = np.unique(codes.astype(np.int64) * len(tongue) + lang[text], return_inverse=True)
+            yield [(str(tongue[x % len(tongue)]), names[x // len(tongue)]) for x in both.tolist()], own, piece
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[int, list[tuple[str, bytes]], np.ndarray, np.ndarray]]:
     """Blocks of (lang, text): number, (lang, word) of each word, all positions ascending and the word at each."""
     held: dict[tuple[str, bytes], int] = {}
@@ -89,41 +112,41 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[int
         held, parts, size, gap, made = {}, [], 0, 0, made + 1
         return done
 
-    for b in batches:
-        langs = b.column(0).to_pylist()
-        each = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)]
-        cut = np.cumsum([0, *map(len, each)]) // SLICE
-        for s in np.unique(cut[:-1]):
-            some = np.flatnonzero(cut[:-1] == s)
-            found, piece, text = words([each[i] for i in some])
-            if not len(found):
-                continue
-            coded = found.dictionary_encode()
-            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            tongue, lang = np.unique([langs[some[i]] for i in range(len(some))], return_inverse=True)
-            both, own = np.unique(codes.astype(np.int64) * len(tongue) + lang[text], return_inverse=True)
-            keys = [(str(tongue[x % len(tongue)]), names[x // len(tongue)]) for x in both.tolist()]
-            ends = np.flatnonzero(np.diff(piece, append=piece[-1] + 1)) + 1  # where pieces end
-            done = 0
-            while done < len(own):
-                upto = int(ends[min(np.searchsorted(ends, done + max(1, block - size)), len(ends) - 1)])
-                used = np.unique(own[done:upto])
-                named = np.zeros(len(keys), np.int64)
-                named[used] = [held.setdefault(keys[i], len(held)) for i in used.tolist()]
-                parts.append((np.arange(done, upto) + piece[done:upto] - done - piece[done] + size + gap, named[own[done:upto]]))
-                gap += int(piece[upto - 1] - piece[done]) + 1
-                size += upto - done
-                done = upto
-                if size >= block:
-                    yield flush()
+    for keys, own, piece in _slices(batches):
+        ends = np.flatnonzero(np.diff(piece, append=piece[-1] + 1)) + 1  # where pieces end
+        done = 0
+        while done < len(own):
+            upto = int(ends[min(np.searchsorted(ends, done + max(1, block - size)), len(ends) - 1)])
+            used = np.unique(own[done:upto])
+            named = np.zeros(len(keys), np.int64)
+            named[used] = [held.setdefault(keys[i], len(held)) for i in used.tolist()]
+            at = np.arange(done, upto) + piece[done:upto] - done - piece[done] + size + gap
+            parts.append((at.astype(np.int32), named[own[done:upto]].astype(np.int32)))
+            gap += int(piece[upto - 1] - piece[done]) + 1
+            size += upto - done
+            done = upto
+            if size >= block:
+                yield flush()
     if parts:
         yield flush()
 
 
-def _counted(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n) of each block."""
-    for name, keys, _, of in _blocks(batches, block):
-        yield from _rows({"block": [name] * len(keys), "lang": [k for k, _ in keys], "word": [w for _, w in keys], "n": np.bincount(of, minlength=len(keys))}, COUNTED)
+def _counted(batches: Iterator[pa.RecordBatch], block: int = COUNTS) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n), of some texts each, and given as soon as they name ``block`` words."""
+    held: dict[tuple[str, bytes], int] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        keys = list(held)
+        yield from _rows({"lang": [k for k, _ in keys], "word": [w for _, w in keys], "n": list(held.values())}, COUNTED)
+
+    for keys, own, _ in _slices(batches):
+        for k, n in zip(keys, np.bincount(own, minlength=len(keys)).tolist()):
+            held[k] = held.get(k, 0) + n
+        if len(held) >= block:
+            yield from told()
+            held.clear()
+    if held:
+        yield from told()
 
 
 def _lists(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
@@ -136,17 +159,22 @@ def _lists(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa
 
 def _sent_lists(batches: Iterator[pa.RecordBatch], known, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Level 1 of each block, by the ids of the frequent words."""
-    ids = known.value
+    frequent = known.value
     for name, keys, at, of in _blocks(batches, block):
-        own = np.array([ids.get(k, -1) for k in keys])
+        own = np.full(len(keys), -1)
+        tongues = np.array([k for k, _ in keys], object)
+        for lang, (spelt, ids) in frequent.items():
+            here = np.flatnonzero(tongues == lang)
+            found = pc.index_in(pa.array([keys[i][1] for i in here.tolist()], pa.binary()), spelt).fill_null(-1).to_numpy()
+            own[here] = np.where(found >= 0, ids[found], -1)
         stays = np.where(own >= 0, np.cumsum(own >= 0) - 1, -1)
         word, own = stays[of], own[own >= 0]
         at, word = at[word >= 0], word[word >= 0]
-        yield from Level(name, at, word, own, at, word, own).row()
+        yield from Level(name, at, word, own).row()
 
 
 def _rows(cols: dict, ddl: str = WORDS) -> Iterator[pa.RecordBatch]:
-    n, kind = len(cols["block"]), _schema(ddl)
+    n, kind = len(next(iter(cols.values()))), _schema(ddl)
     for i in range(0, n, 100_000):
         some = [pa.array(cols[f.name][i : i + 100_000], f.type) if f.name in cols else pa.nulls(min(n - i, 100_000), f.type) for f in kind]
         yield pa.RecordBatch.from_arrays(some, schema=kind)
@@ -154,20 +182,22 @@ def _rows(cols: dict, ddl: str = WORDS) -> Iterator[pa.RecordBatch]:
 
 class Level:
     """A block's lists at a level: at ascends and tells with of where which adjacent word stands, starts ascends and
-    tells with phrase where which phrase begins; both name ids by their places."""
+    tells with phrase where which phrase begins; both name ids by their places. At level 1 the words are the phrases,
+    and their lists are kept once."""
 
     def __init__(self, block: int, *parts: np.ndarray):
-        self.block = block
-        self.at, self.of, self.ids, self.starts, self.phrase, self.phrases = parts
+        self.block, self.parts = block, parts
+        self.at, self.of, self.ids, self.starts, self.phrase, self.phrases = parts if len(parts) == 6 else parts * 2
 
     @classmethod
     def each(cls, rows: pa.RecordBatch | pa.Table) -> Iterator[Level]:
-        for r in rows.to_pylist():
-            yield cls(r["block"], *(unpack(r[f.name]) for f in _schema(LEVEL) if f.name != "block"))
+        names = [f.name for f in _schema(LEVEL) if f.name != "block"]
+        for i in range(rows.num_rows):  # one block's lists at a time
+            packed = (rows.column(n)[i].as_py() for n in names)
+            yield cls(rows.column("block")[i].as_py(), *(unpack(x) for x in packed if x is not None))
 
     def row(self) -> Iterator[pa.RecordBatch]:
-        parts = (self.at, self.of, self.ids, self.starts, self.phrase, self.phrases)
-        yield from _rows({"block": [self.block]} | {f.name: [pack(x)] for f, x in zip(list(_schema(LEVEL))[1:], parts)}, LEVEL)
+        yield from _rows({"block": [self.block]} | {f.name: [pack(x)] for f, x in zip(list(_schema(LEVEL))[1:], self.parts)}, LEVEL)
 
     def extend(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lists of k + 1 words: (prefix, last) ids and length of each; where they begin, which list begins there.
@@ -204,7 +234,7 @@ def _first(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     starts, phrase = starts[phrase >= 0], phrase[phrase >= 0]
     go = np.argsort(starts)
     starts, phrase = starts[go], phrase[go]
-    return pa.Table.from_batches(list(Level(left.column("block")[0].as_py(), starts, phrase, ids, starts, phrase, ids).row()))
+    return pa.Table.from_batches(list(Level(left.column("block")[0].as_py(), starts, phrase, ids).row()))
 
 
 def _grown(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -275,13 +305,15 @@ def count(docs: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lan
     known = written(counts.where(F.col("n") >= least).select("lang", "word", F.col("n").alias("a"), F.monotonically_increasing_id().alias("id")), "phrases-1")
     forget(counts)
     if (known.agg(F.sum(F.length("lang") + F.length("word") + 24)).first()[0] or 0) <= SENT:
-        sent = rows.sparkSession.sparkContext.broadcast({(r["lang"], bytes(r["word"])): r["id"] for r in known.collect()})  # SENT bytes at most
-        level = written(rows.mapInArrow(partial(_sent_lists, known=sent), LEVEL), "level-1")
+        frequent = known.select("lang", "word", "id").toArrow()  # SENT bytes at most
+        each = {lang: frequent.filter(pc.equal(frequent["lang"], lang)) for lang in frequent["lang"].unique().to_pylist()}
+        sent = rows.sparkSession.sparkContext.broadcast({lang: (t["word"].combine_chunks(), t["id"].to_numpy()) for lang, t in each.items()})
+        level = written(rows.mapInArrow(partial(_sent_lists, known=sent), LEVEL), "level-1", ROWS)
     else:
         lists = written(rows.mapInArrow(_lists, WORDS), "lists")
         blocks = lists.where("sizes is not null").select("block", "starts", "sizes")
         back = _back(lists.where("word is not null"), known, ["lang", "word"])
-        level = written(blocks.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(_first, LEVEL), "level-1")
+        level = written(blocks.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(_first, LEVEL), "level-1", ROWS)
         forget(lists)
     found = known.select("lang", F.array(F.col("word").cast("string")).alias("words"), "a", "id")
     single, out, used = found, [found], [known]
@@ -292,7 +324,7 @@ def count(docs: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lan
         out.append(found)
         used.append(known)
         if k + 1 < most:
-            last, level = level, written(_next(level, known, k), f"level-{k + 1}")
+            last, level = level, written(_next(level, known, k), f"level-{k + 1}", ROWS)
             forget(last)
     whole = written(reduce(DataFrame.unionByName, (f.select("lang", "words", F.size("words").alias("m"), "a") for f in out)), "phrases")
     for t in (level, *used):
