@@ -142,3 +142,12 @@ def test_sample_builders_cover_every_block_and_template(spark, tmp_path):
     for name, pick in (("context_input", "input"), ("sft_outputs", "plain"), ("cot_inject", "cot"), ("sft_candidates", "instruction")):
         got = entry.queries()[name](spark, str(tmp_path)).collect()
         assert len({(r["doc_id"], r["template"]) for r in got}) == len(got) == 231 * 5 and all(r[pick] for r in got), name
+
+
+def test_rouge_n_counts_within_rows(spark):
+    """Repeated grams count as often as both texts hold them; nothing is shuffled, and rows of one key stay apart."""
+    rows = spark.createDataFrame([(1, "a a b", "a a a b"), (1, "x", "x y"), (2, "", None), (3, "水产 A", "水a产")], "k int, predict string, label string")
+    one = evaluate.rouge_n(rows, 1, ("k",))
+    assert sorted(tuple(r) for r in one.collect()) == [(1, round(2 / 3, 6)), (1, round(6 / 7, 6)), (2, 1.0), (3, 1.0)]
+    assert sorted(tuple(r) for r in evaluate.rouge_n(rows, 2, ("k",)).collect()) == [(1, 0.0), (1, 0.8), (2, 0.0), (3, 0.0)]
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
