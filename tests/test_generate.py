@@ -1,10 +1,12 @@
 """Sample acceptance against a plain loop over the same attempts, and places found by histograms."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.matching import held_terms
 from tidemark.operators import corpus as C
 from tidemark.operators.evaluate import nth
 
@@ -60,3 +62,30 @@ def test_against_loop(spark):
 def test_no_blocks(spark):
     samples, refused = C.generated(_blocks(spark).limit(0), {"definition": 2})
     assert samples.count() == refused.count() == 0
+
+
+def test_whole_texts_are_not_batched_by_arrow(spark):
+    """Arrow would hand a worker 10,000 texts at once."""
+    built = C.of_each_block(C.prepared(_blocks(spark))).withColumn("held", held_terms(F.col("cot"), C.TERMS))
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_terms_and_phrases_against_loops(seed):
+    at = random.Random(seed)
+    words = (*C.DOMAIN_TERMS, *C.NEGATIONS, *C.GENERIC, "abc", "x", "，", "。" * 13, " ")
+    for text in [None, "", *("".join(at.choices(words, k=at.randrange(60))) for _ in range(200))]:
+        want, weights = [], Counter()
+        for t in C.TERMS:
+            places = [i for i in range(len(text or "")) if text.startswith(t, i)]
+            free, end = False, 0
+            for i in places:
+                if i >= end and not free:
+                    free, end = not any(n in text[max(0, i - 12) : i + len(t) + 12] for n in C.NEGATIONS), i + len(t)
+            want += [t] if free else []
+        assert C.terms_in(text) == want[:8]
+        for p in C._RUN.findall(text or ""):
+            if p not in C.GENERIC:
+                weights[p] += 5 if p in C.TERMS else 1
+        assert C.phrases_in(text, frozenset(C.TERMS)) == [p for p, _ in weights.most_common(8)]

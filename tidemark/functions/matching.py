@@ -112,16 +112,11 @@ def held_terms(text: Column, terms: Sequence[str | None]) -> Column:
     words = _words([{t} if t else None for t in terms])
     empty = [i for i, t in enumerate(terms) if t == ""]
 
-    def bits(texts: pd.Series) -> pd.Series:
-        a, size = _automaton(words), -(-len(terms) // 8)
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            row = np.zeros(size * 8, np.uint8)
-            row[[*empty, *_held(t, a)]] = 1
-            out.append(np.packbits(row, bitorder="little").tobytes())
-        return pd.Series(out, index=texts.index, dtype=object)
-
-    return F.pandas_udf(bits, "binary")(text)
+    def bits(text: str | None) -> bytes | None:
+        if text is None:
+            return None
+        row = np.zeros(-(-len(terms) // 8) * 8, np.uint8)
+        row[[*empty, *_held(text, _automaton(words))]] = 1
+        return np.packbits(row, bitorder="little").tobytes()
+
+    return F.udf(bits, "binary", useArrow=False)(text)
