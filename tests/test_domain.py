@@ -1,5 +1,8 @@
 """Literal vectors of the domain functions."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
@@ -159,3 +162,36 @@ def test_texts_are_dealt_to_all_cores(spark):
     given = texts(spark, "/root/testdata/sf0.001", ("a", "b"))
     assert given.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     assert sum(n > 0 for n in given.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) > 1
+
+
+def folded(text: str, least: int = 30) -> list[tuple]:
+    """(section, idx, body) line by line, as blocks were built once."""
+    section, open_, done = "", "", []
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text.replace("\u3000", " ").replace("\xa0", " ").replace("\r\n", "\n").replace("\r", "\n"))).strip(T.BLANKS)
+    for line in (*(x.strip(T.BLANKS) for x in text.split("\n")), ""):
+        head = re.match(r"#{1,6}[ \t\n\x0b\f\r]", line)
+        if (head or line == "") and open_:
+            done.append((section, open_))
+        open_ = "" if head or line == "" else open_ + "\n" + line if open_ else line
+        section = re.sub(r"^#{1,6}[ \t\n\x0b\f\r]+", "", line).strip(T.BLANKS) if head else section
+    return [(s, i, b) for i, (s, b) in enumerate(done) if len(b) >= least and "参考文献" not in s and not b.lower().startswith("references") and not re.fullmatch(r"[-=*_\s]{3,}", b, re.A)]
+
+
+def test_blocks_against_loop(spark):
+    """Headings without a body, within a paragraph and of seven marks, blank lines of all kinds, rules and references; nothing is reckoned in an inferred filter."""
+    at = random.Random(5)
+    parts = ("# A", "## B b ", "#", "#x", "####### s", "###### six", "#\u2003wide", "# 参考文献", "References here", "---", "words", "a  b\tc", "\u3000", "\u2028", "\x85 y", "一句。", "\n", "\n", "\n\n", "\r\n", "\r", " ", "\x0b#\x0bq")
+    docs = [(i, "".join(at.choices(parts, k=at.randrange(40)))) for i in range(400)] + [(400, None), (401, "")]
+    df = spark.createDataFrame(docs, "k int, t string").withColumn("stem", F.lit("stem"))
+    made = documents.blocks(df, "k", "t", "stem", 10**6, 2)
+    want = {(k, *x[:2], x[2]) for k, t in docs for x in folded(t or "", 2)}
+    joined = {(k, s, i, "".join(y for x in re.split(r"(?<=[。！？；!?;])", re.sub(r"[ \t]+", " ", b)) if (y := x.strip(T.BLANKS)))) for k, s, i, b in want}
+    assert {(r["k"], r["section"], r["idx"], r["chunk"]) for r in made.collect()} == {x for x in joined if x[3]} and len(want) > 300
+    assert "(size(" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strip_and_short_chunks(spark):
+    at = random.Random(6)
+    texts = ["".join(at.choices([*T.BLANKS, "\u200b", "\u180e", "鱼", "a", "。", ". "], k=at.randrange(12))) for _ in range(500)] + [None, ""]
+    assert values(spark, texts, T.strip) == values(spark, texts, lambda c: T.sub(c, r"(?U)^\s+|\s+$", ""))
+    assert values(spark, texts, lambda c: T.chunks(c, 12)) == [[x] if x else [] for x in values(spark, texts, lambda c: F.array_join(T.split_sentences(c), ""))]

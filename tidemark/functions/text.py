@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space for Java's regexes.
 WS = r"(?U)\s"
+#: The same as a list of characters.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def sub(c: Column, pattern: str, to: str) -> Column:
@@ -16,7 +18,7 @@ def sub(c: Column, pattern: str, to: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return sub(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def clean_text(c: Column) -> Column:
@@ -30,9 +32,9 @@ def clean_nbsp(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    c = F.translate(F.coalesce(c, F.lit("")), "　 ", "  ")
+    c = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\u3000"), F.lit(" ")), F.lit("\xa0"), F.lit(" "))
     c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return strip(sub(sub(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(sub(sub(c, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
 
 
 def nonblank(c: Column) -> Column:
@@ -170,7 +172,9 @@ def chunks(c: Column, most: int = 1200) -> Column:
         fits = (F.length(acc["open"]) + F.length(s) <= most) | (acc["open"] == "")
         return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(fits, F.concat(acc["open"], s)).otherwise(s).alias("open"))
 
-    return F.aggregate(split_sentences(c), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    sentences = split_sentences(c)
+    folded = F.aggregate(sentences, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return F.when(F.length(c) <= most, F.filter(F.array(F.array_join(sentences, "")), lambda x: x != "")).otherwise(folded)  # a short text is one chunk
 
 
 def chain(c: Column, *steps: tuple[str, str]) -> Column:
