@@ -45,3 +45,25 @@ def test_no_group_in_memory(spark):
     df = spark.createDataFrame([("a", 1.0)], "k string, v double")
     plan = A.median_by(df, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "percentile" not in plan
+
+
+@pytest.mark.parametrize("sent", (0, A.SENT))
+def test_rollup_with_open_buckets(spark, monkeypatch, sent):
+    """Close prices in groups of one to 400 rows, a null key among them, whether open buckets are sent or joined by shuffle."""
+    monkeypatch.setattr(A, "SENT", sent)
+    at = random.Random(4)
+    rows = [(at.choice("AB"), at.choice(("t", None)), str(at.randrange(2)), at.randrange(10000, 10100) / 100, f"2026-01-{at.choice((1, 1, 1, 2, 9)):02d}", f"r{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "platform string, product_type string, spec string, price double, at string, row_key string").withColumn("snapshot_time", F.col("at").cast("timestamp_ntz"))
+    got = {(r["agg_date"], r["platform"], r["product_type"], r["spec"]): (r["sample_size"], r["p50_price"], r["last_price"]) for r in A.price_rollup(df, "day").collect()}
+    groups = {}
+    for p, t, s, price, day, key in rows:
+        groups.setdefault((day, p, t, s), []).append((key, price))
+    assert got.keys() == groups.keys()
+    assert all(got[k] == (len(v), pytest.approx(round(statistics.median(x for _, x in v), 4), abs=1e-9), max(v)[1]) for k, v in groups.items())
+
+
+def test_known_medians_are_not_read_again(spark):
+    """Where no bucket is left open, the written sums are all that the result needs: nothing is shuffled or joined once more."""
+    df = spark.createDataFrame([("a", 1.0), ("a", 900.0), ("b", 5.0)], "k string, v double")
+    plan = A.median_by(df, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.store import kept
+
 UNSORTED = "未分类"
 
 
@@ -118,37 +123,58 @@ def bucket(value: Column, fine: int = FINE) -> Column:
     return F.when(F.isnan(value), 2**20).when(value < 0, -size - 1).otherwise(size).cast("int")
 
 
-def medians(rows: DataFrame, keys: list[str], value: str, buckets: DataFrame) -> DataFrame:
-    """(keys, median) of the rows' value, exactly: the mean of the two middle ones.
+#: Most open buckets that are sent to all tasks.
+SENT = 500_000
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, buckets: DataFrame, sums: tuple[Column, ...] = (), near: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, sums, median) of the rows' value, exactly: the mean of the two middle ones.
 
-    ``buckets`` is the rows' histogram (keys, b, n, lo, hi) by ``bucket``, with each bucket's least and greatest value. It
-    tells in which bucket each middle place lies; a bucket of one or two rows, or of one value, tells the value too. The
-    rows of the others are read once more, counted by value and numbered within their bucket. So no task holds a group,
-    and what is sorted together is the distinct values of one bucket: a doubling's 64th.
+    ``buckets`` is the rows' histogram (keys, b, n, lo, hi) by ``bucket``, with each bucket's least and greatest value; sums
+    are further aggregates of its rows, told in the same pass. It tells in which bucket each middle place lies; a bucket
+    of one or two rows, or of one value, tells the value too. What is known is written once, a row for each group. Only
+    if buckets are left open are rows read once more, those of open buckets alone, counted by value and numbered within
+    their bucket. Up to SENT open buckets go to all tasks, so that no other row is shuffled; ``near`` names keys by which
+    rows can be left out before the joins that they come from. So no task holds a group, and what is sorted together is
+    the distinct values of one bucket: a doubling's 64th.
     """
     group = Window.partitionBy(*keys)
     placed = buckets.withColumn("till", F.sum("n").over(group.orderBy("b"))).withColumn("n_all", F.sum("n").over(group))
-    low, high = F.expr("(n_all - 1) div 2"), F.expr("n_all div 2")
-    held = placed.select(
-        *keys, "b", "n", "lo", "hi", *((at - (F.col("till") - F.col("n"))).alias(name) for name, at in (("at_low", low), ("at_high", high)))
-    ).where("at_low BETWEEN 0 AND n - 1 OR at_high BETWEEN 0 AND n - 1")
-    told = (F.col("n") <= 2) | (F.col("lo") == F.col("hi"))
-    ends = [F.when(F.col(c).between(0, F.col("n") - 1), F.when(F.col(c) == 0, F.col("lo")).otherwise(F.col("hi"))).alias(c[3:]) for c in ("at_low", "at_high")]
-    known = held.where(told).select(*keys, *ends)
-    open_ = held.where(~told).select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), F.col("b").alias("kb"), "at_low", "at_high")
-    same = F.col("b") == F.col("kb")
-    for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"k{i}"))
-    counted = rows.select(*keys, F.col(value).alias("v"), bucket(F.col(value)).alias("b")).groupBy(*keys, "b", "v").agg(F.count("*").alias("n"))
-    inside = counted.join(open_, same).withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "b").orderBy("v")))
-    hits = [F.when((F.col(c) >= F.col("upto") - F.col("n")) & (F.col(c) < F.col("upto")), F.col("v")).alias(c[3:]) for c in ("at_low", "at_high")]
-    found = known.unionByName(inside.select(*keys, *hits).where("low IS NOT NULL OR high IS NOT NULL"))
-    return found.groupBy(*keys).agg(((F.max("low") + F.max("high")) / 2).alias("median"))
+    told, middle = (F.col("n") <= 2) | (F.col("lo") == F.col("hi")), []
+    for name, place in (("low", F.expr("(n_all - 1) div 2")), ("high", F.expr("n_all div 2"))):
+        at = place - (F.col("till") - F.col("n"))
+        here = at.between(0, F.col("n") - 1)
+        middle += [F.max(F.when(here & told, F.when(at == 0, F.col("lo")).otherwise(F.col("hi")))).alias(name), F.max(F.when(here & ~told, F.struct("b", at.alias("at")))).alias(f"{name}_in")]
+    known = kept(placed.groupBy(*keys).agg(*sums, *middle), "medians")
+    open_ = known.where("low_in IS NOT NULL OR high_in IS NOT NULL").select(
+        *(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), "low_in", "high_in", F.explode(F.array_distinct(F.array_compact(F.array("low_in.b", "high_in.b")))).alias("kb"))
+    number = open_.count()
+    if not number:
+        return known.withColumn("median", (F.col("low") + F.col("high")) / 2).drop("low", "high", "low_in", "high_in")
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if number <= SENT else df
+
+    def same(names: Sequence[str], prefix: str) -> Column:
+        return reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{prefix}{keys.index(c)}")) for c in names), F.lit(True))
+
+    inner = rows.withColumn("b", bucket(F.col(value)))
+    if near:
+        some = open_.select(*(F.col(f"k{keys.index(c)}").alias(f"n{keys.index(c)}") for c in near), F.col("kb").alias("nb")).distinct()
+        inner = inner.join(sent(some), (F.col("b") == F.col("nb")) & same(near, "n"), "left_semi")
+    inner = inner.join(sent(open_), (F.col("b") == F.col("kb")) & same(keys, "k"))
+    counted = inner.groupBy(*keys, "b", "low_in", "high_in", F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    inside = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "b").orderBy("v")))
+    hits = [F.max(F.when((F.col(c)["b"] == F.col("b")) & (F.col(c)["at"] >= F.col("upto") - F.col("n")) & (F.col(c)["at"] < F.col("upto")), F.col("v"))).alias(f"{c}_v") for c in ("low_in", "high_in")]
+    found = inside.groupBy(*(F.col(c).alias(f"m{i}") for i, c in enumerate(keys))).agg(*hits)
+    whole = known.join(sent(found), same(keys, "m"), "left")
+    median = (F.coalesce("low", "low_in_v") + F.coalesce("high", "high_in_v")) / 2
+    return whole.withColumn("median", median).drop("low", "high", "low_in", "high_in", "low_in_v", "high_in_v", *(f"m{i}" for i in range(len(keys))))
 
 
 def median_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, median): the exact median of each group's values, nulls apart; groups without a value give no row."""
-    rows = rows.where(F.col(value).isNotNull())
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
     buckets = rows.groupBy(*keys, bucket(F.col(value)).alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     return medians(rows, keys, value, buckets)
 
@@ -159,22 +185,18 @@ def price_rollup(df: DataFrame, grain: str) -> DataFrame:
     Rows are first aggregated by group and bucket of the price, so that a group of any size is dealt to many tasks.
     """
     keys = ["agg_date", "platform", "product_type", "spec"]
-    at = F.date_format(F.date_trunc(grain, F.col("snapshot_time").cast("timestamp_ntz")), "yyyy-MM-dd")
+    at = F.date_trunc(grain, F.col("snapshot_time").cast("timestamp_ntz")).cast("date")
     rows = df.where("price IS NOT NULL").select(at.alias("agg_date"), *keys[1:], "price", "snapshot_time", "row_key")
     last = F.struct("snapshot_time", "row_key", "price")
     parts = rows.groupBy(*keys, bucket(F.col("price")).alias("b")).agg(
         F.count("*").alias("n"), F.min("price").alias("lo"), F.max("price").alias("hi"), F.sum(F.expr("CAST(round(price * 100) AS bigint)")).alias("cents"), F.max(last).alias("last")
     )
-    mid = medians(rows, keys, "price", parts.select(*keys, "b", "n", "lo", "hi"))
-    whole = parts.groupBy(*keys).agg(
+    sums = (
         F.sum("n").alias("sample_size"), F.min("lo").alias("min_price"), F.max("hi").alias("max_price"),
         F.expr("((2 * sum(cents) + sum(n)) div (2 * sum(n))) / 100").alias("avg_price"), F.max("last").getField("price").alias("last_price"),
     )
-    same = F.lit(True)
-    for i, c in enumerate(keys):
-        mid = mid.withColumnRenamed(c, f"m{i}")
-        same = same & F.col(c).eqNullSafe(F.col(f"m{i}"))
-    return whole.join(mid, same).select("agg_date", F.lit(grain).alias("agg_grain"), *keys[1:], "sample_size", "min_price", "max_price", "avg_price", F.round("median", 4).alias("p50_price"), "last_price")
+    whole = medians(rows.select(*keys, "price"), keys, "price", parts, sums, ("agg_date", "platform"))
+    return whole.select(F.date_format("agg_date", "yyyy-MM-dd").alias("agg_date"), F.lit(grain).alias("agg_grain"), *keys[1:], "sample_size", "min_price", "max_price", "avg_price", F.round("median", 4).alias("p50_price"), "last_price")
 
 
 def cap_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:

@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df, computed and written as a table in the shared folder, in columns and compressed."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Log:
     """Small JSON files, each renamed into a folder once: what has been committed there."""
 
